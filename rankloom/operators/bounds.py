@@ -1,0 +1,21 @@
+"""When a side may be broadcast: only with a stated limit on its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import NumericType
+
+BROADCAST_BYTES = 512 * 1024 * 1024
+ROW_BYTES = 32
+NUMBER_BYTES = 8
+TEXT_BYTES = 64
+
+
+def fits_broadcast(rows: DataFrame, max_rows: int | None) -> bool:
+    """Whether ``max_rows`` rows of this schema stay below the broadcast limit."""
+    if max_rows is None:
+        return False
+    width = ROW_BYTES
+    for field in rows.schema.fields:
+        width += NUMBER_BYTES if isinstance(field.dataType, NumericType) else TEXT_BYTES
+    return max_rows * width <= BROADCAST_BYTES

@@ -1,0 +1 @@
+"""Empty on purpose: every supported query is a batch query over closed dates."""
