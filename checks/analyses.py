@@ -32,6 +32,7 @@ from rankloom.operators.searches import request_to_visit, sample_searches
 from rankloom.params import ExperimentParams, RequestFilters, TopQueryParams
 from rankloom.plans import Sources, experiment_quicklook, top_query_report
 from rankloom.plans import experiment_report as build_report
+from rankloom.sources import TableStore
 
 EXPERIMENT = ExperimentParams(
     dates=R.DAYS,
@@ -73,14 +74,16 @@ def sources(spark, folder) -> Sources:
 
 
 def stage(spark, folder):
-    """The rank table of the experiment."""
-    logs = R.rpc_logs(spark, folder)
-    return stage_ranks_pivot(searches(spark, folder), logs, R.DAYS, R.PLACEMENT, CAP)
+    """The rank table of the experiment, from stored searches."""
+    stored = TableStore(spark).replace("searches", searches(spark, folder))
+    return stage_ranks_pivot(stored, R.rpc_logs(spark, folder), R.DAYS, R.PLACEMENT, CAP)
 
 
 def base(spark, folder):
+    """The stored rank table with page flags."""
+    stored = TableStore(spark).replace("stage_ranks", stage(spark, folder), "_date")
     tests, visits = R.ab_tests(spark, folder), R.visits(spark, folder)
-    return page_flags(stage(spark, folder), tests, visits, R.FLAG, R.DAYS, R.PAGE_SIZES)
+    return page_flags(stored, tests, visits, R.FLAG, R.DAYS, R.PAGE_SIZES)
 
 
 @check(f"""SELECT * FROM all_sample
@@ -218,17 +221,17 @@ def request_to_visit_(spark, folder):
 
 @check(report(SHARES))
 def experiment_report(spark, folder):
-    return build_report(sources(spark, folder), EXPERIMENT)
+    return build_report(sources(spark, folder), EXPERIMENT, TableStore(spark))
 
 
 @check(first_page("day_stage"), name="experiment_quicklook")
 def quicklook_overall(spark, folder):
-    return experiment_quicklook(sources(spark, folder), QUICKLOOK)[0]
+    return experiment_quicklook(sources(spark, folder), QUICKLOOK, TableStore(spark))[0]
 
 
 @check(first_page("day_stage", "query"), name="experiment_quicklook_by_query")
 def quicklook_by_query(spark, folder):
-    return experiment_quicklook(sources(spark, folder), QUICKLOOK)[1]
+    return experiment_quicklook(sources(spark, folder), QUICKLOOK, TableStore(spark))[1]
 
 
 _POPULAR_RANKS = f"""

@@ -63,7 +63,8 @@ def proj_struct_path(spark, folder):
     )
 
 
-@check("""SELECT request_uuid, variant AS first_value, NULL AS second_value FROM beacon""")
+@check("""SELECT request_uuid, variant AS first_value, CAST(NULL AS VARCHAR) AS second_value
+          FROM beacon""")
 def array_subscript(spark, folder):
     beacons = R.beacons(spark, folder)
     flag = F.get(pairs_with_key("ab.map", R.FLAG), F.lit(0))

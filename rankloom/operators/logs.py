@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.operators.bounds import fits_broadcast
+from rankloom.operators.joins import fits_broadcast
 from rankloom.operators.sampling import stable_sample
 from rankloom.params import ANY, RequestFilters
 from rankloom.sources import on_timestamp_dates, since_timestamp_date

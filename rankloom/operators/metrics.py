@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import page_flag, ratio, source_mask
+from rankloom.operators.joins import spread_join
 from rankloom.params import PAGE_SIZES, QUICKLOOK_PAGE_SIZE, RANK_CAP, REPORT_PAGES
 from rankloom.sources import on_dates
 
@@ -32,6 +33,8 @@ SHARES = {
     "solr_nir_xwalk_xml": 15,
     "other": 0,
 }
+# Rows of one visit in the rank table that a task joins with the visit's facts.
+HEAVY_LISTINGS = 2_000_000
 # Label of every report block and the prefix of its counters here.
 BLOCKS = {"First Page": "p1", "Three Pages": "p3", "1K": "all"}
 
@@ -73,7 +76,7 @@ def page_flags(
     The two small tables are joined first, so the large one meets a single join.
     """
     facts = visit_facts(ab_tests, visits, flag, dates)
-    joined = stage_ranks.join(facts, "visit_id")
+    joined = spread_join(stage_ranks, facts, ["visit_id"], HEAVY_LISTINGS)
     return with_page_flags(
         joined.select(*stage_ranks.columns, "ab_variant", "platform"), page_sizes, pages
     )
@@ -156,14 +159,15 @@ def washout_report_by_request(
 ) -> DataFrame:
     """The report over ranks by request, searches and visit facts, without the joined rank table.
 
-    Listings are counted once for each request and platform, and searches meet the counts, not
-    the listings. A request shared by very many visits costs a row for each visit.
+    Listings are counted within their request, once for each kind of platform, and searches meet
+    the counts, not the listings. A request shared by very many visits costs a row for each visit.
     """
+    # Platforms without known pages are alike: the empty text stands for them.
+    known = F.when(F.col("platform").isin(list(page_sizes)), F.col("platform"))
     seen = searches.distinct().join(facts, "visit_id")
-    # An unknown platform has no pages, nor has the empty text that stands for a missing one.
-    seen = seen.withColumn("platform", F.coalesce("platform", F.lit("")))
-    platforms = seen.select(*keys, "platform").distinct()
-    flagged = with_page_flags(ranks.join(platforms, list(keys)), page_sizes, pages)
+    seen = seen.withColumn("platform", F.coalesce(known, F.lit("")))
+    kinds = F.array(*[F.lit(name) for name in (*page_sizes, "")])
+    flagged = with_page_flags(ranks.withColumn("platform", F.explode(kinds)), page_sizes, pages)
     counts = block_counts(flagged, [*keys, "platform"], top)
     met = seen.select(*dict.fromkeys(["request_uuid", *keys]), "visit_id", "ab_variant", "platform")
     return report_blocks(variant_totals(met.join(counts, [*keys, "platform"])), strict)

@@ -32,10 +32,10 @@ def rank_by_count(rows: DataFrame, count: str, name: str = "rank") -> DataFrame:
 def top_queries(query_sessions: DataFrame, as_of: date, days: int = 7) -> DataFrame:
     """Queries of the last days by visits that used them, with their share of all visits."""
     recent = since_date(query_sessions, as_of - timedelta(days=days), "_date")
-    # Both counts are taken over the distinct pairs, which spread one popular query by its visits.
-    pairs = recent.select(F.col("query_raw").alias("query"), "visit_id").distinct()
-    used = pairs.groupBy("query").agg(F.count("visit_id").alias("visits_that_used_query"))
-    visits = pairs.select("visit_id").distinct().agg(F.count("visit_id").alias("visits"))
+    used = recent.groupBy(F.col("query_raw").alias("query")).agg(
+        F.countDistinct("visit_id").alias("visits_that_used_query")
+    )
+    visits = recent.agg(F.countDistinct("visit_id").alias("visits"))
     covered = used.withColumn(
         "pct_of_visits_covered", ratio(F.col("visits_that_used_query"), visits.scalar())
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankloom.operators.joins import spread_join
 from rankloom.operators.logs import sampled_logs
 from rankloom.params import RANK_CAP
 
@@ -39,6 +40,8 @@ STEPS = (
 STEP_NAMES = tuple(step.name for step in STEPS)
 # The step that decides what the user saw.
 FINAL = "mo_last"
+# Searches of one request that a task joins with the request's listings.
+HEAVY_SEARCHES = 20_000
 # Order of the stored rank table after the query text: the last step first.
 SORT_STEPS = ("mo_last", "mo_list", "ranking", "borda", "solr", "nir", "xwalk", "xml")
 
@@ -136,35 +139,28 @@ def running_ranks(
     """
     columns = list(dict.fromkeys([scope, *keys]))
     kept = [F.col(name) for name in columns]
+    # A struct with a NULL field equals another such struct, so a NULL scope joins with itself.
     lists = (
         step_lists(logs, [*columns, "query_time"], cap)
         .withColumn("_n", F.size("ids").cast("bigint"))
         .filter("_n > 0")
+        .withColumn("_scope", F.struct(scope))
         .withColumn("_minute", F.date_trunc("minute", "query_time"))
     )
-    minutes = Window.partitionBy("_scope", "_step").orderBy("_at")
+    parts = ["_scope", "step", "_minute"]
+    minutes = Window.partitionBy("_scope", "step").orderBy("_minute")
     earlier = minutes.rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        lists.groupBy(
-            F.col(scope).alias("_scope"),
-            F.col("step").alias("_step"),
-            F.col("_minute").alias("_at"),
-        )
+        lists.groupBy(*parts)
         .agg(F.sum("_n").alias("_size"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        .drop("_size")
     )
     if cap is not None:
         starts = starts.filter(F.col("_start") < cap)
-    same = (
-        F.col(scope).eqNullSafe(F.col("_scope"))
-        & (F.col("step") == F.col("_step"))
-        & (F.col("_minute") == F.col("_at"))
-    )
-    order = Window.partitionBy(scope, "step", "_minute").orderBy(
-        "query_time", *keys, F.xxhash64("ids")
-    )
+    order = Window.partitionBy(*parts).orderBy("query_time", *keys, F.xxhash64("ids"))
     ahead = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = lists.join(starts, same).withColumn(
+    placed = lists.join(starts, parts).withColumn(
         "_offset", F.col("_start") + F.coalesce(ahead, F.lit(0))
     )
     ids = F.col("ids")
@@ -221,7 +217,7 @@ def stage_ranks_pivot(
     keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
     ranks = request_ranks(searches, logs, dates, placement, cap, match_date, max_requests)
     columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
-    return ranks.join(searches.distinct(), keys).select(*columns)
+    return spread_join(searches.distinct(), ranks, keys, HEAVY_SEARCHES).select(*columns)
 
 
 def ranked_candidates(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import kv_lookup
-from rankloom.operators.bounds import fits_broadcast
+from rankloom.operators.joins import fits_broadcast
 from rankloom.sources import on_dates, since_date
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A new folder below the shared folder of the cluster, or a local one where none is set."""
+    """A new folder below the shared folder of the cluster.
+
+    A local session without one gets a temporary folder that goes when Python ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and spark.sparkContext.master.startswith("local"):
         shared = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     if shared is None:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     return f"{shared.rstrip('/')}/rankloom-{uuid.uuid4().hex}"
