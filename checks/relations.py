@@ -65,16 +65,12 @@ def rpc_logs(spark: SparkSession, folder: str) -> DataFrame:
     A customer without views has one row, dated by its last order. Rows after the first day list
     their candidates in reverse. One entry is interleaved and one belongs to no step.
     """
-    ids = (
+    # At most 20 listings at each of 8 steps.
+    lists = (
         candidates(spark, folder)
-        .groupBy("req", "slot")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("k"), "lid"))).alias("byp"))
-        .select("req", "slot", F.col("byp.lid").alias("ids"))
-    )
-    slots = [F.first(F.when(F.col("slot") == i, F.col("ids")), True) for i in range(len(STEPS))]
-    none = F.array().cast("array<bigint>")
-    lists = ids.groupBy("req").agg(
-        *[F.coalesce(slot, none).alias(f"s{i}") for i, slot in enumerate(slots)]
+        .groupBy("req")
+        .agg(F.collect_list(F.struct("slot", (-F.col("p")).alias("k"), "lid")).alias("items"))
+        .withColumn("items", F.sort_array("items"))
     )
     last_order = (
         table(spark, folder, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("odate"))
@@ -88,7 +84,8 @@ def rpc_logs(spark: SparkSession, folder: str) -> DataFrame:
     first = F.coalesce("is_first", F.lit(True))
 
     def entry(stage: str, source: str | None, mixed: str | None, slot: int):
-        listed = F.when(first, F.col(f"s{slot}")).otherwise(F.reverse(f"s{slot}"))
+        ids = F.filter("items", lambda item: item["slot"] == slot)["lid"]
+        listed = F.when(first, ids).otherwise(F.reverse(ids))
         return F.struct(
             F.lit(stage).alias("stage"),
             F.lit(source).cast("string").alias("source"),
