@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import relations as R
@@ -51,15 +53,7 @@ FILTERS = RequestFilters(R.PLACEMENT, query_type="main")
 POPULAR = TopQueryParams(
     as_of=R.AS_OF, filters=FILTERS, log_days=30, top=20, cap=CAP, first_page=FIRST_PAGE
 )
-POPULAR_BY_QUERY = TopQueryParams(
-    as_of=R.AS_OF,
-    filters=FILTERS,
-    log_days=30,
-    top=20,
-    cap=CAP,
-    first_page=FIRST_PAGE,
-    rank_scope="query",
-)
+POPULAR_BY_QUERY = replace(POPULAR, rank_scope="query")
 SAMPLE = 50
 
 
@@ -234,6 +228,26 @@ def quicklook_by_query(spark, folder):
     return experiment_quicklook(sources(spark, folder), QUICKLOOK, TableStore(spark))[1]
 
 
+_DAY_RUNNING = pivot(
+    """(SELECT request_uuid, query, step, lid,
+               row_number() OVER (PARTITION BY query, step
+                 ORDER BY md5(request_uuid || '|' || log_date || '|' || query), rnk) AS rnk
+        FROM (SELECT DISTINCT request_uuid, query FROM day_searches) AS s
+        JOIN (SELECT request_uuid, log_date, step, lid, rnk FROM day_ranks) AS d
+          USING (request_uuid)) AS n""",
+    "request_uuid, query",
+)
+
+
+@check(first_page(
+    f"(SELECT DISTINCT * FROM day_searches) AS s JOIN ({_DAY_RUNNING}) AS w USING (request_uuid, query)",
+    "query",
+))
+def experiment_quicklook_query_ranks(spark, folder):
+    params = replace(QUICKLOOK, rank_scope="query")
+    return experiment_quicklook(sources(spark, folder), params, TableStore(spark))[1]
+
+
 _POPULAR_RANKS = f"""
     SELECT l.* FROM log_ranks AS l
     JOIN (SELECT l.request_uuid, l.query, min(query_time) AS query_time
@@ -244,7 +258,7 @@ _POPULAR_WIDE = pivot(f"({_POPULAR_RANKS}) AS l", "request_uuid, query")
 _RUNNING_WIDE = pivot(
     f"""(SELECT request_uuid, query, step, lid,
                 row_number() OVER (PARTITION BY query, step
-                                   ORDER BY query_time, request_uuid, rnk) AS rnk
+                                   ORDER BY md5(request_uuid || '|' || query), rnk) AS rnk
          FROM ({_POPULAR_RANKS}) AS l) AS n""",
     "request_uuid, query",
 )
@@ -253,7 +267,7 @@ _RUNNING_WIDE = pivot(
 @check(first_page(f"({_POPULAR_WIDE}) AS w"))
 def top_query_report_(spark, folder):
     sessions, logs = R.query_sessions(spark, folder), R.rpc_logs(spark, folder)
-    return top_query_report(sessions, logs, POPULAR)[0]
+    return top_query_report(sessions, logs, POPULAR, TableStore(spark))[0]
 
 
 @check(first_page(f"({_POPULAR_WIDE}) AS w", "query"))

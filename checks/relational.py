@@ -347,12 +347,12 @@ def rank_in_request(spark, folder):
 
 @check("""SELECT query, request_uuid, step, lid AS listing_id,
                  row_number() OVER (PARTITION BY query, step
-                                    ORDER BY query_time, request_uuid, rnk) AS rank
+                                    ORDER BY md5(request_uuid || '|' || log_date), rnk) AS rank
           FROM log_ranks""")
 def rank_in_query(spark, folder):
-    return running_ranks(flat_logs(spark, folder), "query", ["request_uuid"], cap=None).select(
-        "query", "request_uuid", "step", "listing_id", "rank"
-    )
+    logs = flat_logs(spark, folder).withColumn("log_date", F.to_date("query_time"))
+    ranked = running_ranks(logs, "query", ["request_uuid", "log_date"], cap=None)
+    return ranked.select("query", "request_uuid", "step", "listing_id", "rank")
 
 
 @check("SELECT query, visits_that_used_query, rank FROM popular")

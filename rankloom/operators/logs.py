@@ -38,6 +38,11 @@ def request_fields(logs: DataFrame) -> DataFrame:
     )
 
 
+def with_candidates(logs: DataFrame, trim: Callable[[str], Column] | None) -> DataFrame:
+    """The log rows with ``trim`` applied to their candidate array."""
+    return logs if trim is None else logs.withColumn("candidateSources", trim("candidateSources"))
+
+
 def first_log(logs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The earliest log row of every key.
 
@@ -79,15 +84,13 @@ def sampled_logs(
 ) -> DataFrame:
     """One log row, the earliest, for every request (and day, with ``match_date``) in ``searches``.
 
-    ``trim`` is applied to the candidate array before any row is shuffled.
+    ``trim`` is applied to the candidate array before a row is shuffled.
     ``max_requests`` is the most requests ``searches`` can hold. Within the broadcast limit their
     ids go to the log scan, and no other log row is shuffled. Beyond it log rows are first brought
     down to one for each request, which leaves no hot key to the join.
     """
     kept = request_fields(requests_of_kind(on_timestamp_dates(logs, dates, "queryTime"), placement))
     kept = kept.drop("query")
-    if trim is not None:
-        kept = kept.withColumn("candidateSources", trim("candidateSources"))
     keys = ["request_uuid"]
     if match_date:
         kept = kept.withColumn("_date", F.to_date("query_time"))
@@ -95,8 +98,9 @@ def sampled_logs(
         max_requests = None if max_requests is None else max_requests * len(dates)
     wanted = searches.select(*keys).distinct()
     if fits_broadcast(wanted, max_requests):
-        return first_log(kept.join(F.broadcast(wanted), keys, "left_semi"), keys)
-    return first_log(kept, keys).join(wanted, keys, "left_semi")
+        found = kept.join(F.broadcast(wanted), keys, "left_semi")
+        return first_log(with_candidates(found, trim), keys)
+    return first_log(with_candidates(kept, trim), keys).join(wanted, keys, "left_semi")
 
 
 def optional_filters(filters: RequestFilters) -> Column:
@@ -138,20 +142,23 @@ def request_logs_by_query(
     filters: RequestFilters,
     max_requests: int = 10_000,
     seed: str = "0",
+    max_queries: int | None = None,
     trim: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Up to ``max_requests`` requests whose text is in ``queries.query``, each logged once.
 
     Which requests are kept follows from ``seed``. The choice is made on ids alone, so candidate
-    lists travel only for requests that are kept.
+    lists travel only for requests that are kept. ``max_queries`` is the most rows ``queries`` can
+    hold; a top list has no limit of its own, as its last ranks may be tied.
     """
     kept = popular_requests(since_timestamp_date(logs, since, "queryTime"), filters)
-    kept = request_fields(kept)
-    if trim is not None:
-        kept = kept.withColumn("candidateSources", trim("candidateSources"))
-    found = kept.join(queries.select("query").distinct(), "query", "left_semi")
+    texts = queries.select("query").distinct()
+    if fits_broadcast(texts, max_queries):
+        texts = F.broadcast(texts)
+    found = request_fields(kept).join(texts, "query", "left_semi")
     keys = ["request_uuid", "query"]
     chosen = stable_sample(found.select(*keys).distinct(), max_requests, seed, keys)
     if fits_broadcast(chosen, max_requests):
-        return first_log(found.join(F.broadcast(chosen), keys, "left_semi"), keys)
-    return first_log(found, keys).join(chosen, keys, "left_semi")
+        found = found.join(F.broadcast(chosen), keys, "left_semi")
+        return first_log(with_candidates(found, trim), keys)
+    return first_log(with_candidates(found, trim), keys).join(chosen, keys, "left_semi")

@@ -40,6 +40,8 @@ STEPS = (
 STEP_NAMES = tuple(step.name for step in STEPS)
 # The step that decides what the user saw.
 FINAL = "mo_last"
+# Hex digits of a digest that tell the parts of a rank scope.
+PREFIX_DIGITS = 3
 # Searches of one request that a task joins with the request's listings.
 HEAVY_SEARCHES = 20_000
 # Order of the stored rank table after the query text: the last step first.
@@ -131,25 +133,27 @@ def listing_ranks(logs: DataFrame, keys: Sequence[str], cap: int | None = RANK_C
 def running_ranks(
     logs: DataFrame, scope: str, keys: Sequence[str], cap: int | None = RANK_CAP
 ) -> DataFrame:
-    """Ranks that run on over all log rows with the same ``scope`` value, in order of time.
+    """Ranks that run on over all log rows with the same ``scope`` value.
 
-    Only list sizes are summed, never listings counted, and the sums are taken minute by minute
-    with a second sum over the minutes. So a scope that holds a large part of the log is spread
-    over many tasks.
+    ``keys`` tell log rows apart; the rows of a scope follow each other by the digest of their
+    keys. Only list sizes are summed, never listings counted, first within the rows of a digest
+    prefix and then over the prefixes. So a scope that holds a large part of the log is spread
+    over many tasks, and no task sums over more than 4,096 prefixes.
     """
     columns = list(dict.fromkeys([scope, *keys]))
     kept = [F.col(name) for name in columns]
+    text = F.concat_ws("|", *[F.col(key).cast("string") for key in keys])
     # A struct with a NULL field equals another such struct, so a NULL scope joins with itself.
     lists = (
-        step_lists(logs, [*columns, "query_time"], cap)
+        step_lists(logs.withColumn("_digest", F.md5(text)), [*columns, "_digest"], cap)
         .withColumn("_n", F.size("ids").cast("bigint"))
         .filter("_n > 0")
         .withColumn("_scope", F.struct(scope))
-        .withColumn("_minute", F.date_trunc("minute", "query_time"))
+        .withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
     )
-    parts = ["_scope", "step", "_minute"]
-    minutes = Window.partitionBy("_scope", "step").orderBy("_minute")
-    earlier = minutes.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ["_scope", "step", "_prefix"]
+    prefixes = Window.partitionBy("_scope", "step").orderBy("_prefix")
+    earlier = prefixes.rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         lists.groupBy(*parts)
         .agg(F.sum("_n").alias("_size"))
@@ -158,7 +162,7 @@ def running_ranks(
     )
     if cap is not None:
         starts = starts.filter(F.col("_start") < cap)
-    order = Window.partitionBy(*parts).orderBy("query_time", *keys, F.xxhash64("ids"))
+    order = Window.partitionBy(*parts).orderBy("_digest", *keys, F.xxhash64("ids"))
     ahead = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = lists.join(starts, parts).withColumn(
         "_offset", F.col("_start") + F.coalesce(ahead, F.lit(0))
@@ -200,6 +204,25 @@ def request_ranks(
     return pivot_ranks(listing_ranks(once, keys, cap), keys)
 
 
+def query_ranks(
+    searches: DataFrame,
+    logs: DataFrame,
+    dates: Sequence[date],
+    placement: str,
+    cap: int = RANK_CAP,
+    match_date: bool = False,
+    max_requests: int | None = None,
+) -> DataFrame:
+    """Ranks that run on over all requests searched with the same query, by request and query."""
+    keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
+    trim = partial(trimmed_candidates, cap=cap)
+    once = sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim)
+    asked = searches.select(*keys, "query").distinct()
+    return pivot_ranks(
+        running_ranks(once.join(asked, keys), "query", [*keys, "query"], cap), [*keys, "query"]
+    )
+
+
 def stage_ranks_pivot(
     searches: DataFrame,
     logs: DataFrame,
@@ -208,14 +231,19 @@ def stage_ranks_pivot(
     cap: int = RANK_CAP,
     match_date: bool = False,
     max_requests: int | None = None,
+    rank_scope: str = "request",
 ) -> DataFrame:
     """The rank table: one row for each search and final listing.
 
     Ranks are built for each request before searches are joined, so two visits of one request
-    have two rows for a listing, both with its true rank.
+    have two rows for a listing, both with its true rank. With the rank scope ``query`` ranks run
+    on over the requests of a query and are no longer places on a page.
     """
     keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
-    ranks = request_ranks(searches, logs, dates, placement, cap, match_date, max_requests)
+    build = request_ranks
+    if rank_scope == "query":
+        keys, build = [*keys, "query"], query_ranks
+    ranks = build(searches, logs, dates, placement, cap, match_date, max_requests)
     columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
     return spread_join(searches.distinct(), ranks, keys, HEAVY_SEARCHES).select(*columns)
 
@@ -225,20 +253,21 @@ def ranked_candidates(
     keep: Sequence[str],
     scope: str = "request_uuid",
     order: Sequence[str] = ("query_time", "visit_id"),
-    cap: int | None = RANK_CAP,
+    cap: int = RANK_CAP,
 ) -> DataFrame:
     """Ranks by a window over ``scope`` and step, over every copy of every entry.
 
-    Copies of a request (two visits, two log rows) are numbered one after the other.
+    Copies of a request (two visits, two log rows) are numbered one after the other. The cap is
+    applied before the exchange too, so each task sends at most ``cap`` rows of a scope and step.
     """
     entries = candidate_entries(logs, list(dict.fromkeys([*keep, scope, *order])))
     entries = entries.withColumn("step", step_name(F.col("stage"), F.col("source")))
     listed = entries.filter(F.col("step").isNotNull()).select("*", F.posexplode("listingIds"))
     window = Window.partitionBy(scope, "step").orderBy(*order, "entry_pos", "pos", "col")
-    ranked = listed.withColumn("rank", F.row_number().over(window).cast("bigint"))
-    if cap is not None:
-        ranked = ranked.filter(F.col("rank") <= cap)
-    return ranked.select(*keep, "step", F.col("col").alias("listing_id"), "rank")
+    ranked = listed.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= cap)
+    return ranked.select(
+        *keep, "step", F.col("col").alias("listing_id"), F.col("rank").cast("bigint")
+    )
 
 
 def stage_ranks_joined(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -29,6 +29,8 @@ class ExperimentParams:
     cap: int = RANK_CAP
     # True: a log row serves only searches of its own day. False: of any listed day.
     match_date: bool = False
+    # "request", or "query" for ranks that run on over the requests of a query (rank table only).
+    rank_scope: str = "request"
     page_sizes: dict[str, int] = field(default_factory=lambda: dict(PAGE_SIZES))
     pages: int = REPORT_PAGES
     first_page: int = QUICKLOOK_PAGE_SIZE

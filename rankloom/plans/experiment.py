@@ -74,6 +74,7 @@ def rank_table(
         params.cap,
         params.match_date,
         params.sample_size,
+        params.rank_scope,
     )
     return ranks if store is None else store.replace("stage_ranks", ranks, "_date")
 

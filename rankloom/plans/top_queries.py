@@ -30,17 +30,20 @@ def popular_rank_table(
     """The rank table of logged requests for the most used queries.
 
     ``rank_scope`` is ``request``, or ``query`` for ranks that run on over the requests of a query.
+    With a store the top list is a table, and its size is looked up before it is broadcast.
     """
     popular = top_queries(query_sessions, params.as_of, params.days)
     if store is not None:
         popular = store.replace("top_queries", popular)
+    listed = most_used(popular, params.top)
     logs = request_logs_by_query(
-        most_used(popular, params.top),
+        listed,
         rpc_logs,
         params.logs_since,
         params.filters,
         params.max_requests,
         params.seed,
+        listed.count() if store is not None else None,
         partial(trimmed_candidates, cap=params.cap),
     )
     keys = ["request_uuid", "query"]
