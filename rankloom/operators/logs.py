@@ -149,16 +149,19 @@ def request_logs_by_query(
 
     Which requests are kept follows from ``seed``. The choice is made on ids alone, so candidate
     lists travel only for requests that are kept. ``max_queries`` is the most rows ``queries`` can
-    hold; a top list has no limit of its own, as its last ranks may be tied.
+    hold; a top list has no limit of its own, as its last ranks may be tied. Without it only ids
+    are shuffled to meet the texts.
     """
-    kept = popular_requests(since_timestamp_date(logs, since, "queryTime"), filters)
+    kept = request_fields(
+        popular_requests(since_timestamp_date(logs, since, "queryTime"), filters)
+    )
     texts = queries.select("query").distinct()
     if fits_broadcast(texts, max_queries):
         texts = F.broadcast(texts)
-    found = request_fields(kept).join(texts, "query", "left_semi")
     keys = ["request_uuid", "query"]
-    chosen = stable_sample(found.select(*keys).distinct(), max_requests, seed, keys)
+    asked = kept.select(*keys).distinct().join(texts, "query", "left_semi").select(*keys)
+    chosen = stable_sample(asked, max_requests, seed, keys)
     if fits_broadcast(chosen, max_requests):
-        found = found.join(F.broadcast(chosen), keys, "left_semi")
+        found = kept.join(F.broadcast(chosen), keys, "left_semi")
         return first_log(with_candidates(found, trim), keys)
-    return first_log(with_candidates(found, trim), keys).join(chosen, keys, "left_semi")
+    return first_log(with_candidates(kept, trim), keys).join(chosen, keys, "left_semi")

@@ -1,0 +1,65 @@
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from rankloom.functions import kv_lookup, nth, page_flag, ratio, source_mask
+from rankloom.params import PAGE_SIZES, REPORT_PAGES
+from tests.fixtures import as_list
+
+PAIRS = "kv array<struct<key: string, value: string>>"
+
+
+def pick(spark, pairs, strict=False):
+    return spark.createDataFrame([(pairs,)], PAIRS).select(kv_lookup("kv", "k", strict)).first()[0]
+
+
+def test_kv_lookup_takes_the_value_of_the_key(spark):
+    assert pick(spark, [("a", "1"), ("k", "2")]) == "2"
+    assert pick(spark, [("a", "1")]) is None
+    assert pick(spark, []) is None
+    assert pick(spark, None) is None
+
+
+def test_kv_lookup_of_a_repeated_key(spark):
+    twice = [("k", "1"), ("k", "2")]
+    assert pick(spark, twice) == "1"
+    with pytest.raises(PySparkException, match="occurs twice"):
+        pick(spark, twice, strict=True)
+    assert pick(spark, [("k", "1")], strict=True) == "1"
+
+
+def test_nth_past_the_end(spark):
+    rows = spark.createDataFrame([(["a"],)], "v array<string>")
+    assert rows.select(nth("v", 0), nth("v", 1)).first()[:] == ("a", None)
+    with pytest.raises(PySparkException, match="no element 1"):
+        rows.select(nth("v", 1, strict=True)).collect()
+
+
+def test_ratio_of_a_zero_whole(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 4)], "a bigint, b bigint")
+    shares = [row[0] for row in rows.select(ratio(F.col("a"), F.col("b"))).collect()]
+    assert shares == [None, 0.25]
+    with pytest.raises(PySparkException, match="division by zero"):
+        rows.select(ratio(F.col("a"), F.col("b"), strict=True)).collect()
+
+
+@pytest.mark.parametrize("platform, size", [("desktop", 48), ("mobile_web", 34), ("boe", 28)])
+def test_page_flags_at_the_page_ends(spark, platform, size):
+    ranks = [size, size + 1, 3 * size, 3 * size + 1]
+    rows = spark.createDataFrame([(platform, rank) for rank in ranks], "platform string, r bigint")
+    first = [row[0] for row in rows.select(page_flag("r", "platform", PAGE_SIZES)).collect()]
+    three = page_flag("r", "platform", PAGE_SIZES, REPORT_PAGES)
+    assert first == [1, 0, 0, 0]
+    assert [row[0] for row in rows.select(three).collect()] == [1, 1, 1, 0]
+
+
+def test_page_flag_without_platform_or_rank(spark):
+    rows = [("tv", 1), (None, 1), ("desktop", None)]
+    frame = spark.createDataFrame(rows, "platform string, r bigint")
+    assert as_list(frame.select(page_flag("r", "platform", PAGE_SIZES))) == [(0,)] * 3
+
+
+def test_source_mask_covers_all_combinations(spark):
+    rows = [tuple(1 if bits & bit else None for bit in (1, 2, 4, 8)) for bits in range(16)]
+    frame = spark.createDataFrame(rows, "solr bigint, nir bigint, xwalk bigint, xml bigint")
+    assert [row[0] for row in frame.select(source_mask()).collect()] == list(range(16))

@@ -1,0 +1,144 @@
+from datetime import date
+
+import pytest
+
+from rankloom.operators.logs import (
+    first_log,
+    popular_requests,
+    request_logs,
+    request_logs_by_query,
+    requests_of_kind,
+    sampled_logs,
+)
+from rankloom.params import RequestFilters
+from tests.fixtures import (
+    FLAG,
+    LOG,
+    MONDAY,
+    SEARCH,
+    TUESDAY,
+    as_list,
+    as_set,
+    entry,
+    flat_logs,
+    log,
+    moment,
+)
+
+ENTRIES = [entry("mo_last", [1, 2])]
+SINCE = date(2024, 3, 1)
+
+
+def ids(frame):
+    return {row[0] for row in frame.select("RequestIdentifiers.requestUUID").collect()}
+
+
+def test_requests_of_a_kind(spark):
+    rows = [
+        log("a", ENTRIES),
+        log("b", ENTRIES, placement="app"),
+        log("c", ENTRIES, sort_by="price"),
+        log("d", ENTRIES, sort_order="asc"),
+        log("e", ENTRIES, placement=None),
+    ]
+    assert ids(requests_of_kind(spark.createDataFrame(rows, LOG), "web")) == {"a"}
+
+
+@pytest.mark.parametrize(
+    "change, kept",
+    [
+        ({}, {"a", "none", "other", "in", "user"}),
+        ({"matching": "m"}, {"a", "in", "user"}),
+        ({"ranking": "r2"}, {"other"}),
+        ({"market_optimization": "o"}, {"a", "in", "user"}),
+        ({"user_id": -1}, {"a", "none", "other", "user"}),
+        ({"user_id": 8}, {"user"}),
+        ({"matching": "m", "user_id": 8}, {"user"}),
+    ],
+)
+def test_optional_filters(spark, change, kept):
+    rows = [
+        log("a", ENTRIES),
+        log("none", ENTRIES, behavior=(None, None, None)),
+        log("other", ENTRIES, behavior=("m2", "r2", "o2")),
+        log("in", ENTRIES, signed_in=True),
+        log("user", ENTRIES, user=8),
+    ]
+    logs = spark.createDataFrame(rows, LOG)
+    assert ids(popular_requests(logs, RequestFilters("web", **change))) == kept
+
+
+def test_popular_request_class(spark):
+    rows = [
+        log("a", ENTRIES),
+        log("b", ENTRIES, offset=48),
+        log("c", ENTRIES, query_type="broad"),
+        log("d", ENTRIES, bucket="test"),
+        log("e", ENTRIES, organic=False),
+        log("f", ENTRIES, organic=None),
+    ]
+    logs = spark.createDataFrame(rows, LOG)
+    assert ids(popular_requests(logs, RequestFilters("web", query_type="main"))) == {"a"}
+    everything = RequestFilters("web", cache_bucket=None, organic_only=False)
+    assert ids(popular_requests(logs, everything)) == {"a", "c", "d", "e", "f"}
+
+
+def test_first_log_is_the_earliest(spark):
+    rows = [log("a", [entry("mo_last", [n])], minute=n) for n in (5, 3, 9)] + [log("b", ENTRIES)]
+    kept = first_log(flat_logs(spark, rows), ["request_uuid"])
+    assert as_set(kept, "request_uuid", "query_time") == {
+        ("a", moment(MONDAY, 3)),
+        ("b", moment(MONDAY)),
+    }
+
+
+def searches(spark, *rows):
+    return spark.createDataFrame([(d, u, FLAG, v, "ring") for d, u, v in rows], SEARCH)
+
+
+def test_logs_of_another_listed_day(spark):
+    logs = spark.createDataFrame([log("a", ENTRIES), log("a", ENTRIES, day=TUESDAY)], LOG)
+    found = searches(spark, (MONDAY, "a", "v1"), (TUESDAY, "a", "v2"), (MONDAY, "z", "v3"))
+    days = [MONDAY, TUESDAY]
+    any_day = request_logs(found, logs, days, "web")
+    assert len(as_list(any_day, "visit_id", "query_time")) == 4
+    same_day = request_logs(found, logs, days, "web", match_date=True)
+    assert as_list(same_day, "visit_id", "query_time") == [
+        ("v1", moment(MONDAY)),
+        ("v2", moment(TUESDAY)),
+    ]
+    assert request_logs(found, logs, [MONDAY], "web").count() == 2
+
+
+@pytest.mark.parametrize("bound", [None, 100])
+def test_sampled_logs_are_one_for_each_request(spark, bound):
+    rows = [log("a", ENTRIES, minute=m) for m in (4, 2)]
+    rows += [log("a", ENTRIES, day=TUESDAY), log("b", ENTRIES), log("c", ENTRIES)]
+    logs = spark.createDataFrame(rows, LOG)
+    found = searches(spark, (MONDAY, "a", "v1"), (TUESDAY, "a", "v2"), (MONDAY, "b", "v3"))
+    days = [MONDAY, TUESDAY]
+    once = sampled_logs(found, logs, days, "web", max_requests=bound)
+    assert as_list(once, "request_uuid", "query_time") == [
+        ("a", moment(MONDAY, 2)),
+        ("b", moment(MONDAY)),
+    ]
+    daily = sampled_logs(found, logs, days, "web", match_date=True, max_requests=bound)
+    assert len(as_list(daily, "request_uuid", "_date")) == 3
+
+
+@pytest.mark.parametrize("bound", [None, 5])
+def test_logs_by_query(spark, bound):
+    rows = [log(f"r{n}", ENTRIES) for n in range(6)] + [log(f"m{n}", ENTRIES, query="mug") for n in (1, 2)]
+    rows += [log("r0", ENTRIES, minute=9), log("x", ENTRIES, query="hat")]
+    rows += [log("old", ENTRIES, day=date(2024, 2, 1))]
+    logs = spark.createDataFrame(rows, LOG)
+    queries = spark.createDataFrame([("ring", 1), ("mug", 2), ("cap", 3)], "query string, rank int")
+    filters = RequestFilters("web")
+    everything = request_logs_by_query(queries, logs, SINCE, filters, max_queries=bound)
+    assert as_set(everything, "request_uuid", "query_time") == {
+        (uuid, moment(MONDAY)) for uuid in ["r0", "r1", "r2", "r3", "r4", "r5", "m1", "m2"]
+    }
+    few = request_logs_by_query(queries, logs, SINCE, filters, 3, "s", bound)
+    again = request_logs_by_query(queries, logs.repartition(3), SINCE, filters, 3, "s", bound)
+    assert as_set(few, "request_uuid") == as_set(again, "request_uuid")
+    assert few.count() == 3
