@@ -37,6 +37,10 @@ def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], heavy: int
     light = many.join(busy, list(keys), "left_anti").join(few, list(keys))
     chosen = F.pmod(F.xxhash64(*many.columns), F.col("_slices")).cast("int")
     cut = many.join(busy, list(keys)).withColumn("_slice", chosen).drop("_slices")
+    # Slices are small before the join. Without a stated number of partitions and kind of join
+    # they would be put together in one task, or be broadcast to the task that holds the key.
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(partitions, *keys, "_slice").hint("merge")
     copies = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
     copied = few.join(busy, list(keys)).withColumn("_slice", copies).drop("_slices")
     sliced = cut.join(copied, [*keys, "_slice"]).drop("_slice")

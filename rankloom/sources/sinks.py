@@ -36,11 +36,12 @@ class TableStore:
         self.root = root or scratch_root(spark)
 
     def replace(self, name: str, rows: DataFrame, partition_by: str | None = None) -> DataFrame:
-        """Write ``rows`` as table ``name`` and return the stored table."""
+        """Write ``rows`` as table ``name`` and return the stored table.
+
+        Rows are written where they are; a task writes a file for each partition value it holds.
+        """
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        # Rebalancing gives files of even size and splits a hot partition value over several.
-        even = rows.hint("rebalance", partition_by) if partition_by else rows.hint("rebalance")
-        writer = even.write.mode("errorifexists")
+        writer = rows.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
