@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One Parquet table."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, source: str) -> DataFrame:
+    """One table: a path of Parquet files, or the name of a catalog table or view."""
+    return spark.read.parquet(source) if "/" in source else spark.table(source)
 
 
 def read_prefixed(

@@ -8,6 +8,7 @@ from rankloom.sources import (
     on_dates,
     on_timestamp_dates,
     read_prefixed,
+    read_table,
     scratch_root,
     since_timestamp_date,
 )
@@ -29,6 +30,13 @@ def test_read_prefixed_unites_tables_with_other_columns(spark, tmp_path):
     assert read_prefixed(spark, str(tmp_path), "logs_", "a bigint").columns == ["a"]
 
 
+def test_read_table_by_path_or_name(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert read_table(spark, f"{tmp_path}/t").count() == 3
+    spark.range(4).createOrReplaceTempView("four")
+    assert read_table(spark, "four").count() == 4
+
+
 def test_date_list_prunes_partitions(spark, tmp_path):
     days = spark.range(5).select(
         F.expr("date_add(DATE'2024-03-04', cast(id as int))").alias("dt"), "id"
