@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +83,9 @@ def page_flags(
 
 def block_counts(flagged: DataFrame, keys: Sequence[str], top: int = RANK_CAP) -> DataFrame:
     """For each key: all rows, and the rows of every source combination in every block."""
-    scopes = {
-        "p1": F.col("page_1_flag") == 1,
-        "p3": F.col("top_3_flag") == 1,
-        "all": F.col("mo_last") <= top,
-    }
+    scopes = {"p1": "page_1_flag = 1", "p3": "top_3_flag = 1", "all": f"mo_last <= {top}"}
     counters = [
-        F.count_if(scope & (F.col("_mask") == mask)).alias(f"{block}_{share}")
+        F.expr(f"count_if({scope} AND _mask = {mask}) AS {block}_{share}")
         for block, scope in scopes.items()
         for share, mask in SHARES.items()
     ]
@@ -105,7 +100,7 @@ def variant_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ab_variant").agg(
         F.countDistinct("visit_id").alias("visit_count"),
         F.countDistinct("request_uuid").alias("request_count"),
-        *[F.sum(name).alias(name) for name in counters],
+        *[F.expr(f"sum({name}) AS {name}") for name in counters],
     )
 
 
@@ -113,15 +108,16 @@ def report_blocks(totals: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each block of each variant."""
     blocks = []
     for label, block in BLOCKS.items():
+        counted = ", ".join(f"{block}_{share} AS {share}" for share in SHARES)
         # The combinations cover every row, so together they are the rows in scope.
-        whole = reduce(lambda a, b: a + b, [F.col(f"{block}_{share}") for share in SHARES])
-        shares = [ratio(F.col(f"{block}_{share}"), whole, strict).alias(share) for share in SHARES]
-        blocks.append(F.struct(F.lit(label).alias("metric"), *shares))
+        whole = " + ".join(f"{block}_{share}" for share in SHARES)
+        blocks.append(f"struct('{label}' AS metric, {whole} AS whole, {counted})")
     counts = ["visit_count", "request_count", "listing_count"]
-    exploded = totals.select("ab_variant", *counts, F.explode(F.array(*blocks)).alias("block"))
-    return exploded.select(
-        "block.metric", "ab_variant", *counts, *[f"block.{share}" for share in SHARES]
+    stacked = totals.select(
+        "ab_variant", *counts, F.expr(f"inline(array({', '.join(blocks)}))")
     )
+    shares = [ratio(F.col(share), F.col("whole"), strict).alias(share) for share in SHARES]
+    return stacked.select("metric", "ab_variant", *counts, *shares)
 
 
 def washout_report(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:

@@ -17,6 +17,9 @@ SETTINGS = {
     # A request sample of some million keys may still prune the log scan at run time.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "512MB",
+    # Do not look up the call site of every column expression: that is most of the time it takes
+    # to state a wide query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
