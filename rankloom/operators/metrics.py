@@ -35,7 +35,7 @@ SHARES = {
 # Rows of one visit in the rank table that a task joins with the visit's facts.
 HEAVY_LISTINGS = 2_000_000
 # Label of every report block and the prefix of its counters here.
-BLOCKS = {"First Page": "p1", "Three Pages": "p3", "1K": "all"}
+BLOCKS = {"First Page": "p1", "Three Pages": "p3", "1K": "k1"}
 
 
 def visit_facts(
@@ -82,26 +82,34 @@ def page_flags(
 
 
 def block_counts(flagged: DataFrame, keys: Sequence[str], top: int = RANK_CAP) -> DataFrame:
-    """For each key: all rows, and the rows of every source combination in every block."""
-    scopes = {"p1": "page_1_flag = 1", "p3": "top_3_flag = 1", "all": f"mo_last <= {top}"}
-    counters = [
-        F.expr(f"count_if({scope} AND _mask = {mask}) AS {block}_{share}")
-        for block, scope in scopes.items()
-        for share, mask in SHARES.items()
-    ]
-    masked = flagged.withColumn("_mask", source_mask())
-    return masked.groupBy(*keys).agg(F.count("*").alias("listing_count"), *counters)
+    """For each key and source combination: all rows, and the rows in scope of each block."""
+    scopes = {"p1": "page_1_flag = 1", "p3": "top_3_flag = 1", "k1": f"mo_last <= {top}"}
+    counters = [F.count_if(F.expr(scope)).alias(block) for block, scope in scopes.items()]
+    masked = flagged.withColumn("mask", source_mask())
+    return masked.groupBy(*keys, "mask").agg(F.count("*").alias("listing_count"), *counters)
 
 
-def variant_totals(counts: DataFrame) -> DataFrame:
-    """Counts by visit and request added up by variant, with distinct visits and requests."""
-    counters = ["listing_count"]
-    counters += [f"{block}_{share}" for block in BLOCKS.values() for share in SHARES]
-    return counts.groupBy("ab_variant").agg(
+def variant_totals(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``counts`` added up by variant, with the distinct visits and requests of ``pairs``.
+
+    Sums are taken by combination, which leaves 16 rows for a variant. Distinct counts run over
+    bare ids, so no wide row is multiplied for them. Both are then laid side by side.
+    """
+    added = ["listing_count", *BLOCKS.values()]
+    sums = counts.groupBy("ab_variant", "mask").agg(*[F.sum(name).alias(name) for name in added])
+    ids = pairs.select("ab_variant", "visit_id", "request_uuid").distinct()
+    distinct = ids.groupBy("ab_variant").agg(
         F.countDistinct("visit_id").alias("visit_count"),
         F.countDistinct("request_uuid").alias("request_count"),
-        *[F.expr(f"sum({name}) AS {name}") for name in counters],
     )
+    both = sums.unionByName(distinct, allowMissingColumns=True)
+    shares = [
+        F.expr(f"coalesce(sum({block}) FILTER (WHERE mask = {mask}), 0) AS {block}_{share}")
+        for block in BLOCKS.values()
+        for share, mask in SHARES.items()
+    ]
+    single = ["visit_count", "request_count", "listing_count"]
+    return both.groupBy("ab_variant").agg(*[F.sum(name).alias(name) for name in single], *shares)
 
 
 def report_blocks(totals: DataFrame, strict: bool = False) -> DataFrame:
@@ -125,10 +133,13 @@ def washout_report(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -
 
     Shares are of the rows in scope of the block; the three counts are of all rows of the variant
     and so alike in its blocks. All blocks come from one pass: rows are first counted for each
-    visit and request, and distinct counts are taken over those few.
+    visit, request and source combination, and everything else is taken from those few.
     """
     counts = block_counts(base, ["ab_variant", "visit_id", "request_uuid"], top)
-    return report_blocks(variant_totals(counts), strict)
+    # True for every row. It keeps the counters in the plan of the ids, so that Spark sees one
+    # exchange for both and reads the table once.
+    pairs = counts.filter(" + ".join(["listing_count", *BLOCKS.values()]) + " > 0")
+    return report_blocks(variant_totals(counts, pairs), strict)
 
 
 def short_report(report: DataFrame) -> DataFrame:
@@ -145,6 +156,7 @@ def washout_report_15(base: DataFrame, top: int = RANK_CAP, strict: bool = False
 
 def washout_report_by_request(
     ranks: DataFrame,
+    ranked: DataFrame,
     searches: DataFrame,
     facts: DataFrame,
     keys: Sequence[str] = ("request_uuid",),
@@ -155,6 +167,8 @@ def washout_report_by_request(
 ) -> DataFrame:
     """The report over ranks by request, searches and visit facts, without the joined rank table.
 
+    ``ranked`` has the keys of all requests in ``ranks``, once each.
+
     Listings are counted within their request, once for each kind of platform, and searches meet
     the counts, not the listings. A request shared by very many visits costs a row for each visit.
     """
@@ -165,8 +179,9 @@ def washout_report_by_request(
     kinds = F.array(*[F.lit(name) for name in (*page_sizes, "")])
     flagged = with_page_flags(ranks.withColumn("platform", F.explode(kinds)), page_sizes, pages)
     counts = block_counts(flagged, [*keys, "platform"], top)
-    met = seen.select(*dict.fromkeys(["request_uuid", *keys]), "visit_id", "ab_variant", "platform")
-    return report_blocks(variant_totals(met.join(counts, [*keys, "platform"])), strict)
+    met = seen.select(*keys, "ab_variant", "platform").join(counts, [*keys, "platform"])
+    pairs = seen.join(ranked, list(keys), "left_semi")
+    return report_blocks(variant_totals(met, pairs), strict)
 
 
 def _first_page_metrics(page_size: int, strict: bool) -> list:

@@ -188,7 +188,7 @@ def pivot_ranks(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*keys, "listing_id").agg(*ranks).filter(F.col(FINAL).isNotNull())
 
 
-def request_ranks(
+def sampled_candidates(
     searches: DataFrame,
     logs: DataFrame,
     dates: Sequence[date],
@@ -197,30 +197,20 @@ def request_ranks(
     match_date: bool = False,
     max_requests: int | None = None,
 ) -> DataFrame:
-    """Ranks of the listings of each searched request, without visit or query."""
-    keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
+    """One log row for each searched request, its candidates cut to what can be ranked."""
     trim = partial(trimmed_candidates, cap=cap)
-    once = sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim)
+    return sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim)
+
+
+def request_ranks(once: DataFrame, keys: Sequence[str], cap: int = RANK_CAP) -> DataFrame:
+    """Ranks of the listings of requests logged once, without visit or query."""
     return pivot_ranks(listing_ranks(once, keys, cap), keys)
 
 
-def query_ranks(
-    searches: DataFrame,
-    logs: DataFrame,
-    dates: Sequence[date],
-    placement: str,
-    cap: int = RANK_CAP,
-    match_date: bool = False,
-    max_requests: int | None = None,
-) -> DataFrame:
-    """Ranks that run on over all requests searched with the same query, by request and query."""
-    keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
-    trim = partial(trimmed_candidates, cap=cap)
-    once = sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim)
-    asked = searches.select(*keys, "query").distinct()
-    return pivot_ranks(
-        running_ranks(once.join(asked, keys), "query", [*keys, "query"], cap), [*keys, "query"]
-    )
+def ranked_requests(once: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the requests that have any rank, known from the length of the final list."""
+    final = next(step for step in STEPS if step.name == FINAL)
+    return once.filter(F.size(step_ids("candidateSources", final)) > 0).select(*keys)
 
 
 def stage_ranks_pivot(
@@ -240,10 +230,13 @@ def stage_ranks_pivot(
     on over the requests of a query and are no longer places on a page.
     """
     keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
-    build = request_ranks
+    once = sampled_candidates(searches, logs, dates, placement, cap, match_date, max_requests)
     if rank_scope == "query":
-        keys, build = [*keys, "query"], query_ranks
-    ranks = build(searches, logs, dates, placement, cap, match_date, max_requests)
+        once = once.join(searches.select(*keys, "query").distinct(), keys)
+        keys = [*keys, "query"]
+        ranks = pivot_ranks(running_ranks(once, "query", keys, cap), keys)
+    else:
+        ranks = request_ranks(once, keys, cap)
     columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
     return spread_join(searches.distinct(), ranks, keys, HEAVY_SEARCHES).select(*columns)
 

@@ -12,7 +12,12 @@ from rankloom.operators.metrics import (
     visit_facts,
     washout_report_by_request,
 )
-from rankloom.operators.ranks import request_ranks, stage_ranks_pivot
+from rankloom.operators.ranks import (
+    ranked_requests,
+    request_ranks,
+    sampled_candidates,
+    stage_ranks_pivot,
+)
 from rankloom.operators.sampling import experiment_sample
 from rankloom.operators.searches import sample_searches
 from rankloom.params import ExperimentParams
@@ -84,7 +89,7 @@ def experiment_report(
 ) -> DataFrame:
     """Washout report of an experiment: 21 columns, three rows for each variant."""
     searches = experiment_searches(sources, params, store)
-    ranks = request_ranks(
+    once = sampled_candidates(
         searches,
         sources.rpc_logs,
         params.dates,
@@ -93,11 +98,13 @@ def experiment_report(
         params.match_date,
         params.sample_size,
     )
+    keys = ("request_uuid", "_date") if params.match_date else ("request_uuid",)
     report = washout_report_by_request(
-        ranks,
+        request_ranks(once, keys, params.cap),
+        ranked_requests(once, keys),
         searches,
         visit_facts(sources.ab_tests, sources.visits, params.flag, params.dates),
-        ("request_uuid", "_date") if params.match_date else ("request_uuid",),
+        keys,
         params.page_sizes,
         params.pages,
         params.cap,

@@ -224,7 +224,8 @@ def test_one_exchange_carries_the_log(spark, tmp_path):
     spark.createDataFrame(SEARCHES, SEARCH).write.parquet(f"{tmp_path}/searches")
     searches = spark.read.parquet(f"{tmp_path}/searches")
     logs = spark.read.parquet(f"{tmp_path}/logs")
-    table = ranks.request_ranks(searches, logs, [MONDAY], "web", max_requests=50)
+    once = ranks.sampled_candidates(searches, logs, [MONDAY], "web", max_requests=50)
+    table = ranks.request_ranks(once, KEYS)
     text = table._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(request_uuid") == 2
     assert "WindowGroupLimit" in text and "CartesianProduct" not in text
