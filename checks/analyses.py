@@ -172,9 +172,14 @@ def page_flags_(spark, folder):
     return base(spark, folder).withColumn("_date", day_text("_date"))
 
 
+def stored_base(spark, folder):
+    """The rank table with page flags as a table of its own, which reports read."""
+    return TableStore(spark).replace("temp_base", base(spark, folder))
+
+
 @check(report(SHARES))
 def washout_report_(spark, folder):
-    return washout_report(base(spark, folder))
+    return washout_report(stored_base(spark, folder))
 
 
 @check(
@@ -184,7 +189,7 @@ def washout_report_(spark, folder):
     )
 )
 def washout_report_15_(spark, folder):
-    return washout_report_15(base(spark, folder))
+    return washout_report_15(stored_base(spark, folder))
 
 
 _WIDE = pivot("log_first", "request_uuid, query")
