@@ -11,7 +11,7 @@ from checks.expressions import flat_logs
 from checks.registry import check
 from checks.relational import first_logs, rank_rows, searches
 from checks.scans import day_text
-from checks.sql import CAP, FIRST_PAGE, IN_DAYS, first_page, pivot, report
+from checks.sql import CAP, FIRST_PAGE, IN_DAYS, doubles, first_page, pivot, report
 from rankloom.operators.logs import request_logs, request_logs_by_query
 from rankloom.operators.metrics import (
     SHARES,
@@ -149,7 +149,7 @@ def request_logs_by_query_(spark, folder):
     )
 
 
-@check(pivot("log_first", "request_uuid, query"))
+@check(doubles(pivot("log_first", "request_uuid, query")))
 def stage_ranks_joined_(spark, folder):
     ranked = ranked_candidates(
         first_logs(spark, folder),
@@ -157,19 +157,20 @@ def stage_ranks_joined_(spark, folder):
         order=["query_time"],
         cap=CAP,
     )
-    return stage_ranks_joined(ranked, ["request_uuid", "query"])
+    return R.doubles(stage_ranks_joined(ranked, ["request_uuid", "query"]))
 
 
-@check("SELECT CAST(_date AS VARCHAR) AS _date, stage.* EXCLUDE (_date) FROM stage")
+@check(doubles("SELECT CAST(_date AS VARCHAR) AS _date, stage.* EXCLUDE (_date) FROM stage"))
 def stage_ranks_pivot_(spark, folder):
-    return stage(spark, folder).withColumn("_date", day_text("_date"))
+    return R.doubles(stage(spark, folder).withColumn("_date", day_text("_date")))
 
 
-@check("""SELECT CAST(_date AS VARCHAR) AS _date, base.* EXCLUDE (_date, on_first, on_three),
-                 CAST(on_first AS INTEGER) AS page_1_flag, CAST(on_three AS INTEGER) AS top_3_flag
-          FROM base""")
+@check(doubles("""
+    SELECT CAST(_date AS VARCHAR) AS _date, base.* EXCLUDE (_date, on_first, on_three),
+           CAST(on_first AS INTEGER) AS page_1_flag, CAST(on_three AS INTEGER) AS top_3_flag
+    FROM base"""))
 def page_flags_(spark, folder):
-    return base(spark, folder).withColumn("_date", day_text("_date"))
+    return R.doubles(base(spark, folder).withColumn("_date", day_text("_date")))
 
 
 def stored_base(spark, folder):

@@ -9,7 +9,7 @@ from checks import relations as R
 from checks.expressions import flat_logs
 from checks.registry import check
 from checks.scans import day_text
-from checks.sql import CAP, FIRST_PAGE, IN_DAYS, STEP_NAMES, first_page, pivot
+from checks.sql import CAP, FIRST_PAGE, IN_DAYS, doubles, first_page, pivot
 from rankloom.functions import ratio, source_mask
 from rankloom.operators.logs import first_log, request_logs, requests_of_kind
 from rankloom.operators.metrics import first_page_by_query, first_page_overall, visit_facts
@@ -152,16 +152,16 @@ def join_query_list(spark, folder):
     )
 
 
-@check(pivot("log_first", "request_uuid"))
+@check(doubles(pivot("log_first", "request_uuid")))
 def join_left_chain_2key(spark, folder):
     ranked = listing_ranks(first_logs(spark, folder), ["request_uuid"], CAP)
-    return stage_ranks_joined(ranked, ["request_uuid"])
+    return R.doubles(stage_ranks_joined(ranked, ["request_uuid"]))
 
 
-@check(_WIDE)
+@check(doubles(_WIDE))
 def join_left_chain_3key(spark, folder):
     ranked = listing_ranks(first_logs(spark, folder), ["request_uuid", "query"], CAP)
-    return stage_ranks_joined(ranked, ["request_uuid", "query"])
+    return R.doubles(stage_ranks_joined(ranked, ["request_uuid", "query"]))
 
 
 @check(f"""SELECT s.visit_id, s.request_uuid, a.ab_variant FROM all_searches AS s
@@ -188,7 +188,8 @@ def join_three_way(spark, folder):
     return joined.select("visit_id", "request_uuid", "ab_variant", "platform")
 
 
-@check(f"""SELECT a.request_uuid, a.lid AS listing_id, a.rnk AS mo_last, b.rnk AS ranking
+@check(f"""SELECT a.request_uuid, a.lid AS listing_id, a.rnk AS mo_last,
+                  CAST(b.rnk AS DOUBLE) AS ranking
            FROM (SELECT * FROM log_first WHERE step = 'mo_last' AND rnk <= {CAP}) AS a
            LEFT JOIN (SELECT * FROM log_first WHERE step = 'ranking' AND rnk <= {CAP}) AS b
              ON a.request_uuid = b.request_uuid AND a.lid = b.lid""")
@@ -200,7 +201,8 @@ def derived_table(spark, folder):
         )
         for name in ("mo_last", "ranking")
     }
-    return parts["mo_last"].join(parts["ranking"], ["request_uuid", "listing_id"], "left")
+    joined = parts["mo_last"].join(parts["ranking"], ["request_uuid", "listing_id"], "left")
+    return R.doubles(joined, ["ranking"])
 
 
 @check("""SELECT query_raw AS query, count(DISTINCT visit_id)
@@ -389,9 +391,9 @@ def sample_random_n(spark, folder):
     return stable_sample(pairs, SAMPLE, "7", ["o_custkey", "o_orderpriority"])
 
 
-@check(_WIDE)
+@check(doubles(_WIDE))
 def sort_multi_nulls_last(spark, folder):
-    return sort_stage_ranks(rank_rows(spark, folder))
+    return R.doubles(sort_stage_ranks(rank_rows(spark, folder)))
 
 
 @check("SELECT query_raw AS query, count(*) AS uses FROM sessions GROUP BY 1 ORDER BY uses DESC")

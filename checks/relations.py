@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.operators.ranks import STEPS
+from rankloom.operators.ranks import STEP_NAMES, STEPS
 from rankloom.sources import read_table
 
 FLAG = "exp.blend"
@@ -28,6 +28,11 @@ FIRST_PAGE = 3
 LISTINGS = 20
 
 
+def doubles(rows: DataFrame, columns=STEP_NAMES) -> DataFrame:
+    """Whole numbers that may be missing as doubles, which every client reads alike."""
+    return rows.withColumns({name: F.col(name).cast("double") for name in columns})
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import relations as R
 from checks.registry import check
-from checks.sql import IN_DAYS
+from checks.sql import IN_DAYS, doubles
 from rankloom.operators.logs import optional_filters, request_fields
 from rankloom.operators.popular import top_queries
 from rankloom.params import ExperimentParams, RequestFilters, TopQueryParams
@@ -92,10 +92,11 @@ def scan_table(spark, folder):
     )
 
 
-@check("""SELECT p_partkey, p_brand, NULL AS page_id, NULL AS url FROM part
-          UNION ALL SELECT NULL, NULL, page_id, url FROM pages""")
+@check(doubles("""SELECT p_partkey, p_brand, NULL AS page_id, NULL AS url FROM part
+                  UNION ALL SELECT NULL, NULL, page_id, url FROM pages""", ["p_partkey", "page_id"]))
 def scan_wildcard(spark, folder):
-    return read_prefixed(spark, folder, "p").select("p_partkey", "p_brand", "page_id", "url")
+    both = read_prefixed(spark, folder, "p").select("p_partkey", "p_brand", "page_id", "url")
+    return R.doubles(both, ["p_partkey", "page_id"])
 
 
 _BEACONS = "SELECT visit_id, event_type AS event_name, CAST(dt AS VARCHAR) AS day FROM beacon"

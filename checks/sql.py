@@ -174,6 +174,12 @@ def sql(body: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def doubles(body: str, columns=STEP_NAMES) -> str:
+    """``body`` with whole numbers that may be missing as doubles, which every client reads alike."""
+    casts = ", ".join(f"CAST({name} AS DOUBLE) AS {name}" for name in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({body}) AS d"
+
+
 def in_block(metric: str) -> str:
     return {"First Page": "on_first", "Three Pages": "on_three", "1K": "mo_last <= 1000"}[metric]
 
