@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +25,17 @@ LENGTH = 200
 #: A task sorts this many entries at a time before it sends them on.
 FLUSH = 1_000_000
 #: Text bytes for each range of identifiers that one group sorts.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 12 << 20
 
 # An entry is one run of windows that share their pointer, or one window. extent: windows after the first.
 _COLUMNS = ("key", "id", "doc", "of", "at", "extent", "mark")
 _TYPES = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i4", "u1")
 _NO_DOC, _TWICE, _MIXED = 1, 2, 4
 _SPANS = "kind int, doc_id long, variant int, first int, last int, key long"
-_PACKS = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+#: Packs are sorted by text and name each text once, with the number of its entries.
+_TEXT = ("doc", "of")
+_PACKED = (*_COLUMNS, "entries")
+_PACKS = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _PACKED)
 #: What a pack or a span holds: windows found twice, runs to be looked at window by window, entries to be sorted.
 _DECIDED, _OPEN, _SENT = 0, 1, 2
 #: Entries in a pack that only passes the exchange.
@@ -82,25 +86,47 @@ def _spans(e: Entries, kind: int) -> pa.RecordBatch:
     )
 
 
+def _squeezed(values: np.ndarray, kind: str) -> bytes:
+    """All first bytes, then all second bytes and so on, compressed: small numbers cost little."""
+    planes = values.astype(kind).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _expanded(blob: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _pack(e: Entries) -> list[bytes]:
+    new = np.flatnonzero(np.r_[True, (e["doc"][1:] != e["doc"][:-1]) | (e["of"][1:] != e["of"][:-1])])
+    sizes = np.diff(np.append(new, len(e["at"])))
+    columns = [_squeezed(e[c][new] if c in _TEXT else e[c], t) for c, t in zip(_COLUMNS, _TYPES, strict=True)]
+    return [*columns, _squeezed(sizes, "<i4")]
+
+
+def _unpack(row: dict) -> Entries:
+    e = {c: _expanded(row[c], t) for c, t in zip(_COLUMNS, _TYPES, strict=True)}
+    sizes = _expanded(row["entries"], "<i4")
+    return e | {c: e[c].repeat(sizes) for c in _TEXT}
+
+
 def _packs(e: Entries, kind: int, buckets: int) -> pa.RecordBatch:
     """Entries as rows of packed columns: one for each bucket of keys, or chunks that go to any bucket."""
     if kind == _SENT:
         bucket = (e["key"] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((e["at"], e["of"], e["doc"], bucket))
         bucket, e = bucket[order], _take(e, order)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         to = bucket[starts]
     else:
         starts = np.arange(0, len(e["at"]), _PACK)
         to = (e["doc"][starts].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
-    ends = np.append(starts[1:], len(e["at"]))
-    columns = [
-        pa.array([e[c][a:b].astype(t).tobytes() for a, b in zip(starts, ends[: len(starts)], strict=True)], pa.binary())
-        for c, t in zip(_COLUMNS, _TYPES, strict=True)
-    ]
+    ends = np.append(starts[1:], len(e["at"]))[: len(starts)]
+    packs = [_pack({c: v[a:b] for c, v in e.items()}) for a, b in zip(starts, ends, strict=True)]
+    columns = list(zip(*packs, strict=True)) if packs else [[] for _ in _PACKED]
     return pa.RecordBatch.from_arrays(
-        [pa.array(to, pa.int32()), pa.array(np.full(len(to), kind, np.int32)), *columns],
-        names=["bucket", "kind", *_COLUMNS],
+        [pa.array(to, pa.int32()), pa.array(np.full(len(to), kind, np.int32)), *[pa.array(c, pa.binary()) for c in columns]],
+        names=["bucket", "kind", *_PACKED],
     )
 
 
@@ -184,7 +210,7 @@ def _run_batches(buckets: int, length: int):
 
 
 def _window_batches(buckets: int, length: int):
-    """Each window of the open runs of a text: key and id are its full-length bucket."""
+    """Each window of the open runs of a text: its key is its full-length bucket within its pointer's; id is the same for all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -196,8 +222,8 @@ def _window_batches(buckets: int, length: int):
                 starts = np.array([r["first"] for r in runs])
                 key = np.array([r["key"] for r in runs], np.int64).view(np.uint64).repeat(sizes)
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts.repeat(sizes)
-                ids = pair_ids(full[at], key)
-                parts.append(_entries(ids, full[at], doc.as_py(), of.as_py(), at, np.zeros(len(at))))
+                found = pair_ids(full[at], key)
+                parts.append(_entries(found, np.zeros_like(found), doc.as_py(), of.as_py(), at, np.zeros(len(at))))
                 held += len(at)
                 if held >= FLUSH:
                     yield from _flushed(parts, buckets, False)
@@ -212,7 +238,7 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What several tasks have sent for one bucket of keys, sorted together; packs come sorted by bucket and kind."""
 
     def opened(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        e = {c: np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in zip(_COLUMNS, _TYPES, strict=True)}
+        e = _join([_unpack(r) for r in rows])
         if rows[0]["kind"] != _SENT:
             yield _spans(e, rows[0]["kind"])
         else:
@@ -236,6 +262,18 @@ def _found(packs: DataFrame) -> DataFrame:
     return packs.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_gathered, _SPANS)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text")).select(
+        "doc_id", F.hash("text").alias("variant"), F.col("text").cast("binary").alias("text")
+    )
+
+
+def _with(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Texts with what was found in them. Every use has the same left side, so that one shuffle of the texts does."""
+    found = found.withColumnsRenamed({"doc_id": "id", "variant": "v"})
+    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("variant") == F.col("v")), how).drop("id", "v")
+
+
 def repeated_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH
 ) -> DataFrame:
@@ -249,9 +287,7 @@ def repeated_windows(
     Each task sorts its own entries first: of one identifier it sends one, and of one bucket two at most, so a passage in
     a third of all texts costs each receiving task a few entries for each sending task.
     """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text")
-    ).select("doc_id", F.hash("text").alias("variant"), F.col("text").cast("binary").alias("text"))
+    texts = _texts(docs, id_col, text_col)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(64, -(-total // RANGE_BYTES))
     long = texts.filter(F.octet_length("text") >= length)
@@ -260,11 +296,8 @@ def repeated_windows(
         pointers.filter(F.col("kind") == _OPEN)
         .groupBy("doc_id", "variant")
         .agg(F.collect_list(F.struct("first", "last", "key")).alias("opened"))
-        .select(F.col("doc_id").alias("id"), F.col("variant").alias("v"), "opened")
-    )
-    again = long.join(opened, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("variant") == F.col("v"))).select(
-        "doc_id", "variant", "text", "opened"
     )
+    again = _with(texts, opened, "inner").select("doc_id", "variant", "text", "opened")
     windows = _found(again.mapInArrow(_window_batches(buckets, length), _PACKS))
     return (
         pointers.unionByName(windows)
@@ -303,14 +336,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     See repeated_windows for what counts as repeated. kept is binary, as a cut may fall inside a character.
     """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text")
-    ).select("doc_id", F.hash("text").alias("variant"), F.col("text").cast("binary").alias("text"))
-    found = repeated_windows(docs, id_col, text_col, length).select(
-        F.col("doc_id").alias("id"), F.col("variant").alias("v"), "spans"
-    )
-    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("variant") == F.col("v")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(
+    texts = _texts(docs, id_col, text_col)
+    found = repeated_windows(docs, id_col, text_col, length)
+    return _with(texts, found, "left").select("doc_id", "text", "spans").mapInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
