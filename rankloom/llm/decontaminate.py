@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.text import whole
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 LEAST_ITEM = 24
 #: Characters of test items that are searched in one pass over the documents.
 BLOCK_CHARS = 2_000_000
