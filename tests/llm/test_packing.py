@@ -1,0 +1,51 @@
+"""Packing: every token once, no overlap, no bin larger than it need be."""
+
+from collections import defaultdict
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rankloom.llm.packing import CAPACITIES, best_fit, pack_documents, sequence_cost
+from tests.llm.conftest import CLASHES, ODD
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120))
+def test_best_fit_holds_every_piece(lengths):
+    lengths = sorted(lengths, reverse=True)
+    bins, offsets, final = best_fit(lengths, (16, 32, 64))
+    held = defaultdict(list)
+    for length, b, offset in zip(lengths, bins, offsets, strict=True):
+        held[b].append((offset, length))
+    assert len(held) == len(final)
+    for b, pieces in held.items():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert final[b] == min(c for c in (16, 32, 64) if c >= at)
+
+
+def test_joint_choice_is_no_dearer_than_one_size():
+    lengths = sorted([900, 900, 700, 300, 300, 100, 100, 90, 40] * 30, reverse=True)
+    cost = sum(map(sequence_cost, best_fit(lengths)[2]))
+    assert cost <= min(sum(map(sequence_cost, best_fit(lengths, [c])[2])) for c in CAPACITIES)
+
+
+def test_all_rows_are_placed_once(make):
+    rows = pack_documents(make(ODD, CLASHES), group_pieces=20).collect()
+    tokens = sum(len((t or "").encode()) + 1 for _, t in ODD)
+    assert sum(r["length"] for r in rows) == tokens
+    ends = defaultdict(list)
+    for r in rows:
+        ends[r["pack"], r["bin"]].append((r["position"], r["position"] + r["length"], r["capacity"]))
+    for spans in ends.values():
+        spans.sort()
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert spans[-1][1] <= spans[0][2]
+    long = sorted((r["piece"], r["start"]) for r in rows if r["doc_id"] == 7)
+    assert long == [(k, 8192 * k) for k in range(len(long))] and len(long) > 1
+
+
+def test_empty_table(make):
+    assert pack_documents(make([])).count() == 0

@@ -1,0 +1,43 @@
+"""Shards: every record once, gapless slots, the same again, and a further shard takes rows only into itself."""
+
+import zlib
+from collections import Counter, defaultdict
+
+from rankloom.llm.sharding import shards_digest, shuffle_shards, write_shards
+from tests.llm.conftest import CLASHES, ODD, prose
+
+
+def test_law_and_slots(make):
+    pairs = [(i, prose(5 + i % 40, i)) for i in range(3000)] + ODD
+    docs = make(pairs, CLASHES)
+    rows = shards_digest(shuffle_shards(docs, bucket_bytes=4000)).collect()
+    wanted = Counter((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs)
+    assert Counter((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == wanted
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 16)
+    assert set(slots) == set(range(16))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert 0.03 < sum(r["grown_shard"] == 16 for r in rows) / len(rows) < 0.09
+    again = shards_digest(shuffle_shards(docs.repartition(7), bucket_bytes=4000)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_a_bucket_is_shuffled_not_sorted(make):
+    rows = shards_digest(shuffle_shards(make([(i, "x") for i in range(2000)]), shards=1)).orderBy("slot").collect()
+    ids = [r["doc_id"] for r in rows]
+    ups = sum(a < b for a, b in zip(ids, ids[1:], strict=False))
+    assert 900 < ups < 1100
+
+
+def test_written_shards_hold_the_records_in_order(spark, make, tmp_path):
+    docs = make([(i, prose(9, i)) for i in range(300)])
+    shuffled = shuffle_shards(docs, shards=3, bucket_bytes=2000)
+    write_shards(shuffled, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.drop("_shard", "_slot").exceptAll(docs).count() == 0 and back.count() == 300
+
+
+def test_empty_table(make):
+    assert shards_digest(shuffle_shards(make([]))).count() == 0
