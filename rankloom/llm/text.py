@@ -48,6 +48,9 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null or empty text has no words and counts of 0. Everything is counted inside the row, so nothing is shuffled; a
     repeated 3-word window is found by sorting the hashes of the windows of its own text.
+
+    Store the result (see stored) before filtering on its counts: the optimizer moves a filter below the steps here and
+    repeats their expressions within each other, so that planning takes very long.
     """
     three = F.lit(3)
     first = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from rankloom.llm.ranking import learn_ranking, ranked
 from rankloom.llm.rules import judged, learn_rules, verdict
-from rankloom.llm.text import COUNTS, text_stats
+from rankloom.llm.text import COUNTS, stored, text_stats
 from tests.llm.conftest import CLASHES, ODD, prose
 
 FOLDER = "/root/testdata/sf0.01"
@@ -68,7 +68,7 @@ def labelled(spark, make):
 
 def test_learned_rules_reject_what_is_labelled_so(spark, make):
     docs, labels = labelled(spark, make)
-    stats = text_stats(docs)
+    stats = stored(text_stats(docs))
     rules = learn_rules(stats, labels)
     assert {c.feature for rule in rules for c in rule} & {"upper", "symbols", "word_length"}
     kept = {r["doc_id"]: r["kept"] for r in judged(stats, rules).collect()}
@@ -91,7 +91,7 @@ def test_rules_need_labels_of_both_kinds(spark, make):
 @has_tables
 def test_rules_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    stats = text_stats(docs)
+    stats = stored(text_stats(docs))
     found = judged(stats, learn_rules(stats, labels)).join(labels, "doc_id").filter("n_words >= 50")
     assert found.filter("quality = 1 and not kept").count() <= 0.01 * found.filter("quality = 1").count()
     assert found.filter("quality = 0 and kept").count() <= 0.1 * found.filter("quality = 0").count()
@@ -100,7 +100,7 @@ def test_rules_on_the_tables(spark):
 @has_tables
 def test_ranking_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    stats = text_stats(docs)
+    stats = stored(text_stats(docs))
     rows = ranked(stats, learn_ranking(stats, labels)).join(labels, "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r["held_out"]]
@@ -112,7 +112,7 @@ def test_ranking_on_held_out_rows(spark):
 
 def test_held_out_labels_change_nothing(spark, make):
     docs, labels = labelled(spark, make)
-    stats = text_stats(docs)
+    stats = stored(text_stats(docs))
     turned = spark.createDataFrame(
         [
             (r["doc_id"], 1 - r["quality"])
