@@ -18,13 +18,17 @@ BUCKET_DIGITS = 4
 INELIGIBLE = "ineligible"
 
 
-def stable_sample(rows: DataFrame, n: int, seed: str, keys: Sequence[str]) -> DataFrame:
+def stable_sample(rows: DataFrame, n: int | None, seed: str, keys: Sequence[str]) -> DataFrame:
     """The ``n`` rows with the smallest ``md5(seed|keys)``; ``rows`` must be distinct by ``keys``.
 
+    All rows if ``n`` is None.
+
     Equal to ordering by the digest and limiting, without sending ``n`` rows from every partition
     to a single task: digests are counted by prefix, whole prefixes are kept while they fit, and
     only the last one is ordered.
     """
+    if n is None:
+        return rows
     text = F.concat_ws("|", F.lit(seed), *[F.col(key).cast("string") for key in keys])
     digested = rows.withColumn("_digest", F.md5(text)).withColumn(
         "_bucket", F.substring("_digest", 1, BUCKET_DIGITS)
@@ -73,7 +77,7 @@ def experiment_sample(
     beacons: DataFrame,
     flag: str,
     dates: Sequence[date],
-    n: int,
+    n: int | None,
     seed: str = "0",
     event_name: str | None = None,
     strict: bool = False,

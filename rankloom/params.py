@@ -15,6 +15,10 @@ RANK_CAP = 1000
 ANY = "ANY"
 
 
+# What ranks are counted within.
+RANK_SCOPES = ("request", "query")
+
+
 @dataclass(frozen=True)
 class ExperimentParams:
     """One experiment flag on a list of dates."""
@@ -36,6 +40,10 @@ class ExperimentParams:
     first_page: int = QUICKLOOK_PAGE_SIZE
     strict: bool = False
 
+    def __post_init__(self) -> None:
+        if self.rank_scope not in RANK_SCOPES:
+            raise ValueError(f"rank_scope must be one of {RANK_SCOPES}: {self.rank_scope!r}")
+
     @classmethod
     def quicklook(cls, day: date, flag: str, placement: str, **other) -> ExperimentParams:
         """A single day, a small sample, no event filter on the sample, same-day logs."""
@@ -81,6 +89,10 @@ class TopQueryParams:
     first_page: int = QUICKLOOK_PAGE_SIZE
     strict: bool = False
 
+    def __post_init__(self) -> None:
+        if self.rank_scope not in RANK_SCOPES:
+            raise ValueError(f"rank_scope must be one of {RANK_SCOPES}: {self.rank_scope!r}")
+
     @property
     def sessions_since(self) -> date:
         return self.as_of - timedelta(days=self.days)

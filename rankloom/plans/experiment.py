@@ -87,7 +87,12 @@ def rank_table(
 def experiment_report(
     sources: Sources, params: ExperimentParams, store: TableStore | None = None
 ) -> DataFrame:
-    """Washout report of an experiment: 21 columns, three rows for each variant."""
+    """Washout report of an experiment: 21 columns, three rows for each variant.
+
+    The report counts places on pages, so ranks within a query are refused.
+    """
+    if params.rank_scope != "request":
+        raise ValueError("the report needs ranks within a request")
     searches = experiment_searches(sources, params, store)
     once = sampled_candidates(
         searches,
