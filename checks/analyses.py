@@ -18,8 +18,8 @@ from rankloom.operators.metrics import (
     first_page_by_query,
     first_page_overall,
     page_flags,
-    washout_report,
-    washout_report_15,
+    retrieval_report,
+    retrieval_report_15,
 )
 from rankloom.operators.popular import most_used, top_queries
 from rankloom.operators.ranks import (
@@ -129,7 +129,7 @@ def request_logs_(spark, folder):
 _POPULAR_LOGS = f"""
     SELECT DISTINCT request_uuid, query FROM logs
     WHERE placement = '{R.PLACEMENT}' AND sort_by = 'relevance' AND sort_order = 'desc'
-      AND first_item = 0 AND query_type = 'main' AND bucket = 'live|web' AND organic
+      AND first_item = 0 AND query_type = 'main' AND bucket = 'live' AND organic
       AND log_date >= DATE '{R.AS_OF}' - 30
       AND query IN (SELECT query FROM popular WHERE rank <= 20)"""
 
@@ -179,8 +179,8 @@ def stored_base(spark, folder):
 
 
 @check(report(SHARES))
-def washout_report_(spark, folder):
-    return washout_report(stored_base(spark, folder))
+def retrieval_report_(spark, folder):
+    return retrieval_report(stored_base(spark, folder))
 
 
 @check(
@@ -189,8 +189,8 @@ def washout_report_(spark, folder):
         suffix="_first_page_share",
     )
 )
-def washout_report_15_(spark, folder):
-    return washout_report_15(stored_base(spark, folder))
+def retrieval_report_15_(spark, folder):
+    return retrieval_report_15(stored_base(spark, folder))
 
 
 _WIDE = pivot("log_first", "request_uuid, query")

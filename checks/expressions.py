@@ -58,7 +58,7 @@ def proj_struct_path(spark, folder):
         log_id(),
         F.col("request.sortBy").alias("sort_by"),
         F.col("request.options.searchPlacement").alias("placement"),
-        F.col("request.options.mmxBehavior.matching").alias("matching"),
+        F.col("request.options.behavior.matching").alias("matching"),
         F.col("request.options.personalizationOptions.userId").alias("user_id"),
     )
 
@@ -76,14 +76,14 @@ def array_subscript(spark, folder):
     )
 
 
-@check("SELECT visit_id, request_uuid, asked AS query, variant AS mmx_variant FROM beacon")
+@check("SELECT visit_id, request_uuid, asked AS query, variant AS ranking_variant FROM beacon")
 def kv_lookup_(spark, folder):
     pairs = "beacon.properties.key_value"
     return R.visit_beacons(spark, folder).select(
         "visit_id",
         kv_lookup(pairs, "request_uuid").alias("request_uuid"),
         kv_lookup(pairs, "query", strict=True).alias("query"),
-        kv_lookup(pairs, "mmx_variant").alias("mmx_variant"),
+        kv_lookup(pairs, "ranking_variant").alias("ranking_variant"),
     )
 
 
@@ -211,7 +211,7 @@ def filter_null(spark, folder):
           WHERE organic = true AND signed_in = false""")
 def filter_bool(spark, folder):
     options = "request.options"
-    organic = F.col(f"{options}.csrOrganic") == F.lit(True)
+    organic = F.col(f"{options}.organicOnly") == F.lit(True)
     signed_out = F.col(f"{options}.signedInUser") == F.lit(False)
     return R.rpc_logs(spark, folder).filter(organic & signed_out).select(log_id(), log_day())
 
@@ -220,7 +220,7 @@ def filter_bool(spark, folder):
           WHERE sort_by = 'relevance' AND (matching = 'FURNITURE' OR market = 'low')
             AND (signed_in OR first_item = 0)""")
 def filter_and_or(spark, folder):
-    behavior = "request.options.mmxBehavior"
+    behavior = "request.options.behavior"
     models = (F.col(f"{behavior}.matching") == "FURNITURE") | (
         F.col(f"{behavior}.marketOptimization") == "low"
     )
@@ -268,7 +268,7 @@ def filter_interleaved(spark, folder):
            UNION ALL
            SELECT 'popular', request_uuid, CAST(log_date AS VARCHAR) FROM logs
            WHERE placement = '{R.PLACEMENT}' AND sort_by = 'relevance' AND sort_order = 'desc'
-             AND first_item = 0 AND query_type = 'main' AND bucket = 'live|web' AND organic""")
+             AND first_item = 0 AND query_type = 'main' AND bucket = 'live' AND organic""")
 def filter_request_kind(spark, folder):
     logs = R.rpc_logs(spark, folder)
     popular = popular_requests(logs, RequestFilters(R.PLACEMENT, query_type="main"))

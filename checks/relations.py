@@ -105,14 +105,14 @@ def rpc_logs(spark: SparkSession, folder: str) -> DataFrame:
     options = F.struct(
         F.when(F.col("c_nationkey") < 20, PLACEMENT).otherwise("app").alias("searchPlacement"),
         F.when(F.col("c_nationkey") == 4, "broad").otherwise("main").alias("queryType"),
-        F.when(F.col("c_nationkey") == 5, "test").otherwise("live|web").alias("cacheBucketId"),
-        F.when(F.col("c_nationkey") != 6, F.col("c_nationkey") != 7).alias("csrOrganic"),
+        F.when(F.col("c_nationkey") == 5, "test").otherwise("live").alias("cacheBucketId"),
+        F.when(F.col("c_nationkey") != 6, F.col("c_nationkey") != 7).alias("organicOnly"),
         (F.col("c_acctbal") >= 2000).alias("signedInUser"),
         F.struct(
             F.when(segment != "BUILDING", segment).alias("matching"),
             F.lower(segment).alias("ranking"),
             F.when(F.col("c_nationkey") < 10, "low").otherwise("high").alias("marketOptimization"),
-        ).alias("mmxBehavior"),
+        ).alias("behavior"),
         F.struct(F.col("c_custkey").alias("userId")).alias("personalizationOptions"),
     )
     return rows.select(
@@ -174,9 +174,9 @@ def visit_beacons(spark: SparkSession, folder: str) -> DataFrame:
     """Beacons tied to visits; those of a small value lack the query."""
     events = table(spark, folder, "events")
     always = [
-        _pair("mmx_request_uuid", F.concat(F.lit("m"), F.col("user_id").cast("string"))),
+        _pair("inner_request_uuid", F.concat(F.lit("m"), F.col("user_id").cast("string"))),
         _pair("request_uuid", request_id("user_id")),
-        _pair("mmx_variant", variant("user_id")),
+        _pair("ranking_variant", variant("user_id")),
     ]
     asked = F.array(*always, _pair("query", F.col("props")))
     pairs = F.when(F.col("value") >= 2, asked).otherwise(F.array(*always))

@@ -50,7 +50,7 @@ RELATIONS = {
                CASE WHEN c_nationkey = 3 THEN 'asc' ELSE 'desc' END AS sort_order,
                CASE WHEN c_acctbal < 0 THEN 48 ELSE 0 END AS first_item,
                CASE WHEN c_nationkey = 4 THEN 'broad' ELSE 'main' END AS query_type,
-               CASE WHEN c_nationkey = 5 THEN 'test' ELSE 'live|web' END AS bucket,
+               CASE WHEN c_nationkey = 5 THEN 'test' ELSE 'live' END AS bucket,
                CASE WHEN c_nationkey <> 6 THEN c_nationkey <> 7 END AS organic,
                c_acctbal >= 2000 AS signed_in,
                CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS matching,

@@ -105,7 +105,7 @@ def sampled_logs(
 
 def optional_filters(filters: RequestFilters) -> Column:
     """Conjunction of the behaviour and user tests that are switched on."""
-    behavior = "request.options.mmxBehavior"
+    behavior = "request.options.behavior"
     texts = {
         f"{behavior}.matching": filters.matching,
         f"{behavior}.ranking": filters.ranking,
@@ -131,7 +131,7 @@ def popular_requests(logs: DataFrame, filters: RequestFilters) -> DataFrame:
     if filters.cache_bucket is not None:
         kept = kept.filter(F.col("request.options.cacheBucketId") == filters.cache_bucket)
     if filters.organic_only:
-        kept = kept.filter(F.col("request.options.csrOrganic") == F.lit(True))
+        kept = kept.filter(F.col("request.options.organicOnly") == F.lit(True))
     return kept
 
 

@@ -128,7 +128,7 @@ def report_blocks(totals: DataFrame, strict: bool = False) -> DataFrame:
     return stacked.select("metric", "ab_variant", *counts, *shares)
 
 
-def washout_report(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:
+def retrieval_report(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:
     """Three blocks for each variant: first page, first three pages, top 1000.
 
     Shares are of the rows in scope of the block; the three counts are of all rows of the variant
@@ -149,12 +149,12 @@ def short_report(report: DataFrame) -> DataFrame:
     return report.select("metric", "ab_variant", *counts, *shares)
 
 
-def washout_report_15(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:
+def retrieval_report_15(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:
     """The report in its short form."""
-    return short_report(washout_report(base, top, strict))
+    return short_report(retrieval_report(base, top, strict))
 
 
-def washout_report_by_request(
+def retrieval_report_by_request(
     ranks: DataFrame,
     ranked: DataFrame,
     searches: DataFrame,

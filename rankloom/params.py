@@ -67,7 +67,7 @@ class RequestFilters:
     user_id: int = 0
     offset: int = 0
     query_type: str | None = None
-    cache_bucket: str | None = "live|web"
+    cache_bucket: str | None = "live"
     organic_only: bool = True
     sort_by: str = "relevance"
     sort_order: str = "desc"

@@ -1,4 +1,4 @@
-"""From an experiment flag to the washout report or the first-page quick look."""
+"""From an experiment flag to the retrieval report or the first-page quick look."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from rankloom.operators.metrics import (
     first_page_by_query,
     first_page_overall,
     visit_facts,
-    washout_report_by_request,
+    retrieval_report_by_request,
 )
 from rankloom.operators.ranks import (
     ranked_requests,
@@ -87,7 +87,7 @@ def rank_table(
 def experiment_report(
     sources: Sources, params: ExperimentParams, store: TableStore | None = None
 ) -> DataFrame:
-    """Washout report of an experiment: 21 columns, three rows for each variant.
+    """Retrieval report of an experiment: 21 columns, three rows for each variant.
 
     The report counts places on pages, so ranks within a query are refused.
     """
@@ -104,7 +104,7 @@ def experiment_report(
         params.sample_size,
     )
     keys = ("request_uuid", "_date") if params.match_date else ("request_uuid",)
-    report = washout_report_by_request(
+    report = retrieval_report_by_request(
         request_ranks(once, keys, params.cap),
         ranked_requests(once, keys),
         searches,
@@ -115,7 +115,7 @@ def experiment_report(
         params.cap,
         params.strict,
     )
-    return _stored(store, "washout_metrics", report)
+    return _stored(store, "retrieval_metrics", report)
 
 
 def experiment_quicklook(

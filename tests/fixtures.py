@@ -18,8 +18,8 @@ VISIT_BEACON = (
 LOG = (
     "queryTime timestamp, request struct<query: string, sortBy: string, sortOrder: string,"
     " offset: bigint, options: struct<searchPlacement: string, queryType: string,"
-    " cacheBucketId: string, csrOrganic: boolean, signedInUser: boolean,"
-    " mmxBehavior: struct<matching: string, ranking: string, marketOptimization: string>,"
+    " cacheBucketId: string, organicOnly: boolean, signedInUser: boolean,"
+    " behavior: struct<matching: string, ranking: string, marketOptimization: string>,"
     " personalizationOptions: struct<userId: bigint>>>,"
     " OrganicRequestMetadata struct<candidateSources: array<struct<stage: string, source: string,"
     " interleavedBehavior: string, listingIds: array<bigint>>>>,"
@@ -53,7 +53,7 @@ def log(
     sort_order="desc",
     offset=0,
     query_type="main",
-    bucket="live|web",
+    bucket="live",
     organic=True,
     signed_in=False,
     behavior=("m", "r", "o"),
@@ -70,7 +70,7 @@ def beacon(uuid, variants, event="search", day=MONDAY, flag=FLAG):
 
 
 def visit_beacon(visit, uuid, query, event="search", day=MONDAY):
-    pairs = [("request_uuid", uuid), ("mmx_variant", "v")]
+    pairs = [("request_uuid", uuid), ("ranking_variant", "v")]
     if query is not None:
         pairs.append(("query", query))
     return (day, visit, (event, moment(day), (pairs,)))

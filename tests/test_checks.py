@@ -38,7 +38,7 @@ def test_known_figures(spark):
 
 
 def test_no_query_multiplies_tables_freely(spark):
-    for name in ("stage_ranks_pivot", "washout_report", "top_queries", "experiment_sample"):
+    for name in ("stage_ranks_pivot", "retrieval_report", "top_queries", "experiment_sample"):
         frame = entry.queries()[name](spark, FOLDER)
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan), name

@@ -11,9 +11,9 @@ from rankloom.operators.metrics import (
     first_page_overall,
     page_flags,
     visit_facts,
-    washout_report,
-    washout_report_15,
-    washout_report_by_request,
+    retrieval_report,
+    retrieval_report_15,
+    retrieval_report_by_request,
     with_page_flags,
 )
 from rankloom.operators.ranks import STEP_NAMES
@@ -84,7 +84,7 @@ def combination(row):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_report_equals_block_by_block(spark, seed):
     base = random_base(spark, seed)
-    report = washout_report(base)
+    report = retrieval_report(base)
     assert report.columns[:5] == [
         "metric",
         "ab_variant",
@@ -101,7 +101,7 @@ def test_report_equals_block_by_block(spark, seed):
 
 
 def test_report_invariants(spark):
-    for row in washout_report(random_base(spark, 3)).collect():
+    for row in retrieval_report(random_base(spark, 3)).collect():
         shares = [row[name] for name in SHARES]
         if shares[0] is not None:
             assert sum(shares) == pytest.approx(1)
@@ -111,9 +111,9 @@ def test_report_invariants(spark):
 
 def test_short_report(spark):
     base = random_base(spark, 4)
-    short = washout_report_15(base)
+    short = retrieval_report_15(base)
     assert len(short.columns) == 20 and "other_first_page_share" not in short.columns
-    wide = {(r.metric, r.ab_variant): r.nir_xml for r in washout_report(base).collect()}
+    wide = {(r.metric, r.ab_variant): r.nir_xml for r in retrieval_report(base).collect()}
     narrow = {(r.metric, r.ab_variant): r.nir_xml_first_page_share for r in short.collect()}
     assert wide == narrow
 
@@ -121,11 +121,11 @@ def test_short_report(spark):
 def test_a_variant_without_page_rows(spark):
     row = ranks_of(random.Random(1), "u", MONDAY, "v", count=1)[0]
     base = with_page_flags(spark.createDataFrame([(*row, "on", "tv")], BASE), SIZES)
-    blocks = {r.metric: r for r in washout_report(base).collect()}
+    blocks = {r.metric: r for r in retrieval_report(base).collect()}
     assert blocks["First Page"].other is None and blocks["First Page"].listing_count == 1
     assert sum(blocks["1K"][name] for name in SHARES) == 1
     with pytest.raises(PySparkException, match="division by zero"):
-        washout_report(base, strict=True).collect()
+        retrieval_report(base, strict=True).collect()
 
 
 def experiment(spark, seed, days=(MONDAY, TUESDAY)):
@@ -158,10 +158,10 @@ def test_report_by_request_equals_the_report_over_the_joined_table(spark, seed):
     days = [MONDAY, TUESDAY]
     table = ranks.join(searches.distinct(), "request_uuid")
     table = table.select("_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES)
-    long = washout_report(page_flags(table, tests, visits, FLAG, days, SIZES))
+    long = retrieval_report(page_flags(table, tests, visits, FLAG, days, SIZES))
     facts = visit_facts(tests, visits, FLAG, days)
     ranked = ranks.select("request_uuid").distinct()
-    short = washout_report_by_request(ranks, ranked, searches, facts, page_sizes=SIZES)
+    short = retrieval_report_by_request(ranks, ranked, searches, facts, page_sizes=SIZES)
     assert as_list(short) == as_list(long, *short.columns) and short.columns == long.columns
 
 
@@ -218,7 +218,7 @@ def test_first_page_metrics(spark):
 
 def test_report_reads_the_table_once(spark, tmp_path):
     random_base(spark, 1).write.parquet(f"{tmp_path}/base")
-    report = washout_report(spark.read.parquet(f"{tmp_path}/base"))
+    report = retrieval_report(spark.read.parquet(f"{tmp_path}/base"))
     assert len([row for row in report.collect() if row.metric == "1K"]) == 3
     text = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert text.count("FileScan") == 1 and "borda" not in text
