@@ -76,7 +76,7 @@ def array_subscript(spark, folder):
     )
 
 
-@check("SELECT visit_id, request_uuid, asked AS query, variant AS ranking_variant FROM beacon")
+@check("SELECT visit_id, request_uuid, asked AS query, variant AS ranking_variant FROM sent")
 def kv_lookup_(spark, folder):
     pairs = "beacon.properties.key_value"
     return R.visit_beacons(spark, folder).select(
@@ -197,8 +197,8 @@ def filter_in_array(spark, folder):
     return on_dates(R.visits(spark, folder), R.DAYS, "_date").select("visit_id", "platform")
 
 
-@check("""SELECT visit_id, 'missing' AS query_state FROM beacon WHERE asked IS NULL
-          UNION ALL SELECT visit_id, 'present' FROM beacon WHERE asked IS NOT NULL""")
+@check("""SELECT visit_id, 'missing' AS query_state FROM sent WHERE asked IS NULL
+          UNION ALL SELECT visit_id, 'present' FROM sent WHERE asked IS NOT NULL""")
 def filter_null(spark, folder):
     rows = R.visit_beacons(spark, folder)
     query = kv_lookup("beacon.properties.key_value", "query")
@@ -271,7 +271,9 @@ def filter_interleaved(spark, folder):
              AND first_item = 0 AND query_type = 'main' AND bucket = 'live' AND organic""")
 def filter_request_kind(spark, folder):
     logs = R.rpc_logs(spark, folder)
-    popular = popular_requests(logs, RequestFilters(R.PLACEMENT, query_type="main"))
+    popular = popular_requests(logs, RequestFilters(
+        R.PLACEMENT, query_type="main", cache_bucket="live", organic_only=True
+    ))
     experiment = requests_of_kind(logs, R.PLACEMENT)
     parts = {"experiment": experiment, "popular": popular}
     chosen = [

@@ -9,9 +9,11 @@ from checks import relations as R
 from checks.expressions import flat_logs
 from checks.registry import check
 from checks.scans import day_text
-from checks.sql import CAP, FIRST_PAGE, IN_DAYS, doubles, first_page, pivot
+from checks.sql import CAP, FIRST_PAGE, IN_DAYS, STEP_NAMES, doubles, first_page, pivot
+from checks.stores import new_store
 from rankloom.functions import ratio, source_mask
-from rankloom.operators.logs import first_log, request_logs, requests_of_kind
+from rankloom.operators.joins import spread_join
+from rankloom.operators.logs import HEAVY_LOGS, request_logs, requests_of_kind
 from rankloom.operators.metrics import first_page_by_query, first_page_overall, visit_facts
 from rankloom.operators.popular import most_used, rank_by_count, top_queries
 from rankloom.operators.ranks import (
@@ -31,15 +33,16 @@ SAMPLE = 500
 REQUESTS = 300
 
 
-def first_logs(spark, folder):
-    """One log row for each request, the earliest."""
-    return first_log(flat_logs(spark, folder), ["request_uuid"])
+def run_ranks(spark, folder, keys=("request_uuid",), cap=CAP):
+    """Ranks over all log rows of each request, in the order of their time."""
+    logs = flat_logs(spark, folder)
+    return running_ranks(logs, "request_uuid", keys, cap, by_time=True, gather=True)
 
 
 def rank_rows(spark, folder):
-    """The rank table of every request, without visits."""
-    ranked = listing_ranks(first_logs(spark, folder), ["request_uuid", "query"], CAP)
-    return pivot_ranks(ranked, ["request_uuid", "query"])
+    """The rank table of every request and query, without visits, over all log rows."""
+    keys = ["request_uuid", "query"]
+    return pivot_ranks(run_ranks(spark, folder, keys), keys)
 
 
 def eligible(spark, folder):
@@ -56,7 +59,7 @@ def searches(spark, folder):
     return sample_searches(sample, R.visit_beacons(spark, folder), R.DAYS, R.EVENT)
 
 
-_WIDE = pivot("log_first", "request_uuid, query")
+_WIDE = pivot("log_runs", "request_uuid, query")
 
 
 @check("""SELECT request_uuid, CAST(log_date AS VARCHAR) AS log_date, stage, source, listings
@@ -100,7 +103,7 @@ def unnest_scalar_array(spark, folder):
 
 
 @check(f"""SELECT e.visit_id, e.request_uuid, s.variant AS ab_flag_variant, e.asked AS query
-           FROM beacon AS e
+           FROM sent AS e
            JOIN (SELECT DISTINCT request_uuid, variant FROM beacon WHERE variant <> 'ineligible') AS s
              ON e.request_uuid = s.request_uuid
            WHERE e.event_type = '{R.EVENT}'""")
@@ -147,21 +150,37 @@ def join_date_correlated(spark, folder):
 def join_query_list(spark, folder):
     listed = most_used(top_queries(R.query_sessions(spark, folder), R.AS_OF), TOP)
     logs = flat_logs(spark, folder).drop("candidateSources")
-    return logs.join(listed, "query").select(
+    joined = spread_join(logs, listed, ["query"], HEAVY_LOGS)
+    return joined.select(
         "query", "rank", "request_uuid", F.to_date("query_time").cast("string").alias("log_date")
     )
 
 
-@check(doubles(pivot("log_first", "request_uuid")))
+def chain(source: str, keys: list[str], cap: int = CAP) -> str:
+    """The left joins written out: every copy of a listing in a step meets every copy in the next."""
+    on = " AND ".join(f"mo_last.{key} IS NOT DISTINCT FROM {{0}}.{key}" for key in keys)
+    joins = " ".join(
+        f"LEFT JOIN (SELECT * FROM {source} WHERE step = '{name}' AND rnk <= {cap}) AS {name}"
+        f" ON mo_last.lid = {name}.lid AND {on.format(name)}"
+        for name in STEP_NAMES[:-1]
+    )
+    ranks = ", ".join(f"{name}.rnk AS {name}" for name in STEP_NAMES)
+    kept = ", ".join(f"mo_last.{key}" for key in keys)
+    return f"""SELECT {kept}, mo_last.lid AS listing_id, {ranks}
+               FROM (SELECT * FROM {source} WHERE step = 'mo_last' AND rnk <= {cap}) AS mo_last {joins}"""
+
+
+@check(doubles(chain("log_runs", ["request_uuid"])))
 def join_left_chain_2key(spark, folder):
-    ranked = listing_ranks(first_logs(spark, folder), ["request_uuid"], CAP)
+    ranked = new_store(spark).replace("ranked", run_ranks(spark, folder), "step")
     return R.doubles(stage_ranks_joined(ranked, ["request_uuid"]))
 
 
-@check(doubles(_WIDE))
+@check(doubles(chain("log_runs", ["request_uuid", "query"])))
 def join_left_chain_3key(spark, folder):
-    ranked = listing_ranks(first_logs(spark, folder), ["request_uuid", "query"], CAP)
-    return R.doubles(stage_ranks_joined(ranked, ["request_uuid", "query"]))
+    keys = ["request_uuid", "query"]
+    ranked = new_store(spark).replace("ranked", run_ranks(spark, folder, keys), "step")
+    return R.doubles(stage_ranks_joined(ranked, keys))
 
 
 @check(f"""SELECT s.visit_id, s.request_uuid, a.ab_variant FROM all_searches AS s
@@ -190,11 +209,11 @@ def join_three_way(spark, folder):
 
 @check(f"""SELECT a.request_uuid, a.lid AS listing_id, a.rnk AS mo_last,
                   CAST(b.rnk AS DOUBLE) AS ranking
-           FROM (SELECT * FROM log_first WHERE step = 'mo_last' AND rnk <= {CAP}) AS a
-           LEFT JOIN (SELECT * FROM log_first WHERE step = 'ranking' AND rnk <= {CAP}) AS b
+           FROM (SELECT * FROM log_runs WHERE step = 'mo_last' AND rnk <= {CAP}) AS a
+           LEFT JOIN (SELECT * FROM log_runs WHERE step = 'ranking' AND rnk <= {CAP}) AS b
              ON a.request_uuid = b.request_uuid AND a.lid = b.lid""")
 def derived_table(spark, folder):
-    ranked = listing_ranks(first_logs(spark, folder), ["request_uuid"], CAP)
+    ranked = run_ranks(spark, folder)
     parts = {
         name: ranked.filter(F.col("step") == name).select(
             "request_uuid", "listing_id", F.col("rank").alias(name)
@@ -342,9 +361,9 @@ def group_by_alias(spark, folder):
     )
 
 
-@check("SELECT request_uuid, step, lid AS listing_id, rnk AS rank FROM log_first")
+@check("SELECT request_uuid, step, lid AS listing_id, rnk AS rank FROM log_runs")
 def rank_in_request(spark, folder):
-    return listing_ranks(first_logs(spark, folder), ["request_uuid"], cap=None)
+    return run_ranks(spark, folder, cap=None).select("request_uuid", "step", "listing_id", "rank")
 
 
 @check("""SELECT query, request_uuid, step, lid AS listing_id,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import relations as R
 from checks.registry import check
 from checks.sql import IN_DAYS, doubles
+from checks.stores import new_store
 from rankloom.operators.logs import optional_filters, request_fields
 from rankloom.operators.popular import top_queries
 from rankloom.params import ExperimentParams, RequestFilters, TopQueryParams
@@ -20,9 +23,10 @@ from rankloom.sources import (
     since_timestamp_date,
 )
 
+FILTERS = RequestFilters(R.PLACEMENT, query_type=None, cache_bucket="live", organic_only=True)
 QUICK = ExperimentParams.quicklook(R.DAY, R.FLAG, R.PLACEMENT)
 MULTI = ExperimentParams(dates=R.DAYS, flag=R.FLAG, placement=R.PLACEMENT)
-POPULAR = TopQueryParams(as_of=R.AS_OF, filters=RequestFilters(placement=R.PLACEMENT))
+POPULAR = TopQueryParams(as_of=R.AS_OF, filters=FILTERS)
 USER = 7
 
 
@@ -53,14 +57,14 @@ def _filter_sql(label: str, test: str) -> str:
 
 
 _SETTINGS = {
-    "all": (RequestFilters(R.PLACEMENT), "true"),
-    "matching": (RequestFilters(R.PLACEMENT, matching="FURNITURE"), "matching = 'FURNITURE'"),
+    "all": (FILTERS, "true"),
+    "matching": (replace(FILTERS, matching="FURNITURE"), "matching = 'FURNITURE'"),
     "models": (
-        RequestFilters(R.PLACEMENT, ranking="furniture", market_optimization="low"),
+        replace(FILTERS, ranking="furniture", market_optimization="low"),
         "ranking_model = 'furniture' AND market = 'low'",
     ),
-    "signed out": (RequestFilters(R.PLACEMENT, user_id=-1), "NOT signed_in"),
-    "one user": (RequestFilters(R.PLACEMENT, user_id=USER), f"req = {USER}"),
+    "signed out": (replace(FILTERS, user_id=-1), "NOT signed_in"),
+    "one user": (replace(FILTERS, user_id=USER), f"req = {USER}"),
 }
 
 
@@ -99,7 +103,7 @@ def scan_wildcard(spark, folder):
     return R.doubles(both, ["p_partkey", "page_id"])
 
 
-_BEACONS = "SELECT visit_id, event_type AS event_name, CAST(dt AS VARCHAR) AS day FROM beacon"
+_BEACONS = "SELECT visit_id, event_type AS event_name, CAST(dt AS VARCHAR) AS day FROM sent"
 
 
 def _beacons(rows):
@@ -139,7 +143,7 @@ def scan_ts_date(spark, folder):
 @check("""SELECT request_uuid, query, CAST(log_date AS VARCHAR) AS log_date, 10 AS entries
           FROM logs""")
 def scan_nested_prune(spark, folder):
-    stored = TableStore(spark).replace("rpc_logs", R.rpc_logs(spark, folder))
+    stored = new_store(spark).replace("rpc_logs", R.rpc_logs(spark, folder))
     return request_fields(stored).select(
         "request_uuid",
         "query",
@@ -150,17 +154,19 @@ def scan_nested_prune(spark, folder):
 
 @check("SELECT query, visits_that_used_query, pct_of_visits_covered, rank FROM popular")
 def sink_replace_table(spark, folder):
-    store = TableStore(spark)
+    store = new_store(spark)
     sessions = R.query_sessions(spark, folder)
     store.replace("top_queries", top_queries(sessions, POPULAR.as_of, POPULAR.days - 3))
-    return store.replace("top_queries", top_queries(sessions, POPULAR.as_of, POPULAR.days))
+    store.replace("top_queries", top_queries(sessions, POPULAR.as_of, POPULAR.days))
+    return TableStore(spark, store.root).table("top_queries")
 
 
 @check("""SELECT platform, count(*) AS visits, count(DISTINCT _date) AS days FROM seen
           GROUP BY platform""")
 def sink_temp_table(spark, folder):
-    TableStore(spark).replace("temp_visits", R.visits(spark, folder), partition_by="_date")
+    store = new_store(spark)
+    store.replace("temp_visits", R.visits(spark, folder), partition_by="_date")
     return spark.sql(
         "SELECT platform, count(*) AS visits, count(DISTINCT _date) AS days"
-        " FROM temp_visits GROUP BY platform"
+        f" FROM {store.view('temp_visits')} GROUP BY platform"
     )

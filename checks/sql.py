@@ -16,6 +16,25 @@ from checks.relations import (
     PLACEMENT,
 )
 
+# Report column of every presence mask (solr 1, nir 2, xwalk 4, xml 8).
+SHARES = {
+    "solr_only": 1,
+    "nir_only": 2,
+    "xwalk_only": 4,
+    "xml_only": 8,
+    "solr_nir": 3,
+    "solr_xwalk": 5,
+    "solr_xml": 9,
+    "nir_xwalk": 6,
+    "nir_xml": 10,
+    "xwalk_xml": 12,
+    "solr_nir_xwalk": 7,
+    "solr_nir_xml": 11,
+    "solr_xwalk_xml": 13,
+    "nir_xwalk_xml": 14,
+    "solr_nir_xwalk_xml": 15,
+    "other": 0,
+}
 STEP_NAMES = ("solr", "nir", "xwalk", "xml", "borda", "ranking", "mo_list", "mo_last")
 IN_DAYS = "(" + ", ".join(f"DATE '{day}'" for day in DAYS) + ")"
 
@@ -68,6 +87,8 @@ RELATIONS = {
         SELECT *, CAST(ts AS DATE) AS dt, 'u' || user_id AS request_uuid, 'v' || event_id AS visit_id,
                {_VARIANT} AS variant, CASE WHEN value >= 2 THEN props END AS asked
         FROM events""",
+    # A fifth of the beacons tied to visits was sent twice.
+    "sent": "SELECT * FROM beacon UNION ALL SELECT * FROM beacon WHERE event_id % 5 = 0",
     "assigned": f"""
         SELECT dt AS _date, visit_id, '{FLAG}' AS ab_test, variant AS ab_variant FROM beacon
         UNION ALL
@@ -86,22 +107,30 @@ RELATIONS = {
         FROM beacon WHERE dt = DATE '{DAY}' AND variant <> 'ineligible'""",
     "all_searches": f"""
         SELECT dt AS _date, request_uuid, ab_flag, visit_id, asked AS query
-        FROM beacon JOIN all_sample USING (request_uuid)
+        FROM sent JOIN all_sample USING (request_uuid)
         WHERE dt IN {IN_DAYS} AND event_type = '{EVENT}' AND asked IS NOT NULL""",
     "day_searches": f"""
         SELECT dt AS _date, request_uuid, ab_flag, visit_id, asked AS query
-        FROM beacon JOIN day_sample USING (request_uuid)
+        FROM sent JOIN day_sample USING (request_uuid)
         WHERE dt = DATE '{DAY}' AND event_type = '{EVENT}' AND asked IS NOT NULL""",
     "kind_ranks": f"""
         SELECT * FROM log_ranks
         WHERE placement = '{PLACEMENT}' AND sort_by = 'relevance' AND sort_order = 'desc'""",
-    # The earliest log row of a request on the listed days.
-    "once": f"""
-        SELECT * FROM kind_ranks
-        WHERE log_date IN {IN_DAYS}
-          AND (request_uuid, query_time) IN (
-            SELECT request_uuid, min(query_time) FROM kind_ranks
-            WHERE log_date IN {IN_DAYS} GROUP BY 1)""",
+}
+
+
+def running(source: str, scope: str = "request_uuid") -> str:
+    """Ranks that run on over the log rows of a request in the order of their time."""
+    return f"""SELECT * REPLACE (row_number() OVER (PARTITION BY {scope}, step
+                                                    ORDER BY query_time, rnk) AS rnk)
+               FROM {source}"""
+
+
+# Every log row of a request, of the wanted kind on the listed days or on one day.
+RELATIONS |= {
+    "log_runs": running("log_ranks"),
+    "kind_runs": running(f"(SELECT * FROM kind_ranks WHERE log_date IN {IN_DAYS}) AS k"),
+    "day_runs": running(f"(SELECT * FROM kind_ranks WHERE log_date = DATE '{DAY}') AS k"),
 }
 
 
@@ -118,11 +147,10 @@ _LIMIT = " ".join(f"WHEN '{name}' THEN {size}" for name, size in PAGE_SIZES.item
 _COLUMNS = ", ".join(STEP_NAMES)
 
 RELATIONS |= {
-    "customer_ranks": pivot("log_first", "request_uuid"),
-    "request_wide": pivot("once", "request_uuid"),
+    "request_wide": pivot("kind_runs", "request_uuid"),
     "stage": f"""
         SELECT _date, request_uuid, ab_flag, visit_id, query, listing_id, {_COLUMNS}
-        FROM (SELECT DISTINCT * FROM all_searches) AS s JOIN request_wide USING (request_uuid)""",
+        FROM all_searches AS s JOIN request_wide USING (request_uuid)""",
     "base": f"""
         SELECT stage.*, ab_variant, platform,
                coalesce(mo_last <= CASE platform {_LIMIT} END, false) AS on_first,
@@ -131,10 +159,10 @@ RELATIONS |= {
         JOIN (SELECT * FROM assigned WHERE ab_test = '{FLAG}' AND _date IN {IN_DAYS}) AS a
           USING (visit_id)
         JOIN (SELECT * FROM seen WHERE _date IN {IN_DAYS}) AS v USING (visit_id)""",
-    "day_wide": pivot("day_ranks", "request_uuid"),
+    "day_wide": pivot("day_runs", "request_uuid"),
     "day_stage": f"""
         SELECT query, {_COLUMNS}
-        FROM (SELECT DISTINCT * FROM day_searches) AS s JOIN day_wide USING (request_uuid)""",
+        FROM day_searches AS s JOIN day_wide USING (request_uuid)""",
     "popular": f"""
         SELECT *, rank() OVER (ORDER BY visits_that_used_query DESC) AS rank
         FROM (SELECT query_raw AS query, count(DISTINCT visit_id) AS visits_that_used_query,
@@ -143,18 +171,12 @@ RELATIONS |= {
                           WHERE _date >= DATE '{AS_OF}' - 7) AS pct_of_visits_covered
               FROM sessions WHERE _date >= DATE '{AS_OF}' - 7 GROUP BY 1) AS used""",
 }
-# The earliest log row of every customer, and the logs of the single day.
-_LOG_FIRST = {"log_first": "SELECT * FROM log_ranks WHERE is_first"}
-_DAY_RANKS = {
-    "day_ranks": f"SELECT * FROM kind_ranks WHERE log_date = DATE '{DAY}'",
-}
 _ORDER = [
-    "steps", "cand", "ranked", "vdays", "logs", "log_ranks", "log_first", "kind_ranks", "once",
-    "day_ranks", "beacon", "assigned", "seen", "sessions", "all_sample", "day_sample",
-    "all_searches", "day_searches", "customer_ranks", "request_wide", "stage", "base", "day_wide",
+    "steps", "cand", "ranked", "vdays", "logs", "log_ranks", "log_runs", "kind_ranks",
+    "kind_runs", "day_runs", "beacon", "sent", "assigned", "seen", "sessions", "all_sample", "day_sample",
+    "all_searches", "day_searches", "request_wide", "stage", "base", "day_wide",
     "day_stage", "popular",
 ]
-RELATIONS |= _LOG_FIRST | _DAY_RANKS
 
 
 def _mentions(text: str) -> set[str]:

@@ -2,46 +2,117 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 BROADCAST_BYTES = 512 * 1024 * 1024
 ROW_BYTES = 32
 NUMBER_BYTES = 8
 TEXT_BYTES = 64
+# Keys that are cut into slices, the heaviest first. A key beyond them holds less than one row in
+# this many, which needs no slices.
+MAX_HEAVY_KEYS = 100_000
 
 
-def fits_broadcast(rows: DataFrame, max_rows: int | None) -> bool:
-    """Whether ``max_rows`` rows of this schema stay below the broadcast limit."""
-    if max_rows is None:
-        return False
+def row_bytes(rows: DataFrame) -> int:
+    """Bytes of a row of ids (texts of up to 64 bytes) and numbers."""
     width = ROW_BYTES
     for field in rows.schema.fields:
         width += NUMBER_BYTES if isinstance(field.dataType, NumericType) else TEXT_BYTES
-    return max_rows * width <= BROADCAST_BYTES
+    return width
+
+
+def fits_broadcast(rows: DataFrame, max_rows: int | None) -> bool:
+    """Whether ``max_rows`` rows of this schema stay below the broadcast limit."""
+    return max_rows is not None and max_rows * row_bytes(rows) <= BROADCAST_BYTES
+
+
+def broadcast_slices(rows: DataFrame) -> int:
+    """Into how many parts ``rows`` must be cut for each to stay below the broadcast limit.
+
+    Counts the rows and the bytes of their texts.
+    """
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, StringType)]
+    fixed = ROW_BYTES + NUMBER_BYTES * (len(rows.columns) - len(texts))
+    size = F.lit(fixed).cast("bigint")
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    held = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    # Parts of a hash are not equal: aim at half the limit.
+    return 1 if held.bytes <= BROADCAST_BYTES else ceil(2 * held.bytes / BROADCAST_BYTES)
+
+
+def semi_join(
+    rows: DataFrame, wanted: DataFrame, keys: Sequence[str], max_rows: int | None = None
+) -> DataFrame:
+    """Rows whose ``keys`` occur in ``wanted``, found where they are read: none is shuffled.
+
+    Where ``max_rows`` bounds the distinct keys and they fit, digests of a fixed width (SHA-256)
+    are broadcast. Otherwise the keys are counted first. Keys above the limit are cut by hash into
+    parts of bounded size, each broadcast to a reading of its own. A NULL key has no match.
+    """
+    keys = list(keys)
+    wanted = wanted.select(*keys).dropna(subset=keys).distinct()
+    digests = wanted.select(_digest(wanted, keys).alias("_key"))
+    if fits_broadcast(digests, max_rows):
+        found = rows.withColumn("_key", _digest(rows, keys))
+        return found.join(F.broadcast(digests), "_key", "left_semi").select(*rows.columns)
+    slices = broadcast_slices(wanted)
+    if slices == 1:
+        return rows.join(F.broadcast(wanted), keys, "left_semi").select(*rows.columns)
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices))
+    parts = [
+        rows.filter(part == n).join(F.broadcast(wanted.filter(part == n)), keys, "left_semi")
+        for n in range(slices)
+    ]
+    return reduce(DataFrame.unionByName, parts).select(*rows.columns)
+
+
+def _digest(rows: DataFrame, keys: Sequence[str]):
+    known = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+    texts = [F.col(key).cast("string") for key in keys]
+    # Lengths in front keep ("a", "bc") and ("ab", "c") apart.
+    sized = [part for text in texts for part in (F.length(text).cast("string"), text)]
+    return F.when(known, F.sha2(F.concat_ws("|", *sized), 256))
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], heavy: int) -> DataFrame:
+def spread_join(
+    many: DataFrame,
+    few: DataFrame | Callable[[DataFrame | None], DataFrame],
+    keys: Sequence[str],
+    heavy: int,
+) -> DataFrame:
     """Inner join that cuts a key with more than ``heavy`` rows in ``many`` into slices.
 
     The rows of ``few``, a limited number for each key, are copied to every slice of such a key.
-    Heavy keys number at most the rows of ``many`` over ``heavy``, which is what is broadcast.
-    Without any, Spark drops the sliced part at run time.
+    ``few`` may be a function that takes a small frame of keys, or None for all, and returns the
+    rows of those keys: then the work behind it is not done a second time for the other keys.
+    At most ``MAX_HEAVY_KEYS`` keys are sliced, the heaviest; all other keys are joined plainly.
+    Without any heavy key, Spark drops the sliced part at run time.
     """
+    keys = list(keys)
     counts = many.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > heavy)
     slices = F.ceil(F.col("_rows") / heavy).cast("int").alias("_slices")
-    busy = F.broadcast(counts.select(*keys, slices))
-    light = many.join(busy, list(keys), "left_anti").join(few, list(keys))
+    largest = counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HEAVY_KEYS)
+    busy = F.broadcast(largest.select(*keys, slices))
+    only = F.broadcast(largest.select(*keys))
+    if callable(few):
+        everyone, chosen_few = few(None), few(only)
+    else:
+        everyone, chosen_few = few, few.join(only, keys, "left_semi")
+    light = many.join(busy, keys, "left_anti").join(everyone, keys)
     chosen = F.pmod(F.xxhash64(*many.columns), F.col("_slices")).cast("int")
-    cut = many.join(busy, list(keys)).withColumn("_slice", chosen).drop("_slices")
+    cut = many.join(busy, keys).withColumn("_slice", chosen).drop("_slices")
     # Slices are small before the join. Without a stated number of partitions and kind of join
     # they would be put together in one task, or be broadcast to the task that holds the key.
     partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.repartition(partitions, *keys, "_slice").hint("merge")
     copies = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
-    copied = few.join(busy, list(keys)).withColumn("_slice", copies).drop("_slices")
+    copied = chosen_few.join(busy, keys).withColumn("_slice", copies).drop("_slices")
     sliced = cut.join(copied, [*keys, "_slice"]).drop("_slice")
     return light.unionByName(sliced)

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.operators.joins import fits_broadcast
+from rankloom.operators.joins import semi_join, spread_join
 from rankloom.operators.sampling import stable_sample
-from rankloom.params import ANY, RequestFilters
+from rankloom.params import ALL, ANY, RequestFilters
 from rankloom.sources import on_timestamp_dates, since_timestamp_date
 
 REQUEST_ID = "RequestIdentifiers.requestUUID"
+# Log rows of one request that a task joins with the request's searches.
+HEAVY_LOGS = 20_000
 
 
 def requests_of_kind(
@@ -47,7 +49,7 @@ def first_log(logs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The earliest log row of every key.
 
     Spark limits the groups before the exchange as well, so a request logged over and over sends
-    one row from each task.
+    one row from each task. Only used where repeats are asked to be left out.
     """
     order = Window.partitionBy(*keys).orderBy("query_time", F.xxhash64("candidateSources"))
     return logs.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
@@ -59,10 +61,13 @@ def request_logs(
     dates: Sequence[date],
     placement: str,
     match_date: bool = False,
+    max_requests: int | None = None,
 ) -> DataFrame:
     """Each search with the candidates of each log row of its request.
 
     With ``match_date`` the log row must be of the day of the search; otherwise any listed day.
+    Log rows of other requests are dropped where they are read, before any row is shuffled, and a
+    request with very many log rows is joined in slices.
     """
     kept = request_fields(requests_of_kind(on_timestamp_dates(logs, dates, "queryTime"), placement))
     kept = kept.drop("query")
@@ -70,7 +75,10 @@ def request_logs(
     if match_date:
         kept = kept.withColumn("_date", F.to_date("query_time"))
         keys.append("_date")
-    return searches.join(kept, keys).select(*searches.columns, "query_time", "candidateSources")
+        max_requests = None if max_requests is None else max_requests * len(dates)
+    found = semi_join(kept, searches, keys, max_requests)
+    joined = spread_join(found, searches, keys, HEAVY_LOGS)
+    return joined.select(*searches.columns, "query_time", "candidateSources")
 
 
 def sampled_logs(
@@ -81,13 +89,14 @@ def sampled_logs(
     match_date: bool = False,
     max_requests: int | None = None,
     trim: Callable[[str], Column] | None = None,
+    repeats: str = ALL,
 ) -> DataFrame:
-    """One log row, the earliest, for every request (and day, with ``match_date``) in ``searches``.
+    """The log rows of every request (and day, with ``match_date``) in ``searches``.
 
-    ``trim`` is applied to the candidate array before a row is shuffled.
-    ``max_requests`` is the most requests ``searches`` can hold. Within the broadcast limit their
-    ids go to the log scan, and no other log row is shuffled. Beyond it log rows are first brought
-    down to one for each request, which leaves no hot key to the join.
+    ``repeats`` is ``all``, or ``first`` for the earliest row of each request only.
+    ``trim`` is applied to the candidate array. ``max_requests`` is the most requests ``searches``
+    can hold; without it they are counted. Log rows of other requests are dropped where they are
+    read, at any number of requests: no row of theirs is shuffled.
     """
     kept = request_fields(requests_of_kind(on_timestamp_dates(logs, dates, "queryTime"), placement))
     kept = kept.drop("query")
@@ -96,11 +105,22 @@ def sampled_logs(
         kept = kept.withColumn("_date", F.to_date("query_time"))
         keys.append("_date")
         max_requests = None if max_requests is None else max_requests * len(dates)
-    wanted = searches.select(*keys).distinct()
-    if fits_broadcast(wanted, max_requests):
-        found = kept.join(F.broadcast(wanted), keys, "left_semi")
-        return first_log(with_candidates(found, trim), keys)
-    return first_log(with_candidates(kept, trim), keys).join(wanted, keys, "left_semi")
+    found = with_candidates(semi_join(kept, searches, keys, max_requests), trim)
+    return found if repeats == ALL else first_log(found, keys)
+
+
+def logged_more_than_once(logs: DataFrame, dates: Sequence[date], placement: str) -> DataFrame:
+    """How many requests were logged, how many more than once, and the rows beyond the first.
+
+    One row; a missing request id counts as a request. Rows are counted before the exchange.
+    """
+    kept = request_fields(requests_of_kind(on_timestamp_dates(logs, dates, "queryTime"), placement))
+    counts = kept.groupBy("request_uuid").agg(F.count("*").alias("n"))
+    return counts.agg(
+        F.count("*").alias("requests"),
+        F.count_if(F.col("n") > 1).alias("repeated_requests"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
+    )
 
 
 def optional_filters(filters: RequestFilters) -> Column:
@@ -140,28 +160,26 @@ def request_logs_by_query(
     logs: DataFrame,
     since: date,
     filters: RequestFilters,
-    max_requests: int = 10_000,
+    max_requests: int | None = 10_000,
     seed: str = "0",
-    max_queries: int | None = None,
     trim: Callable[[str], Column] | None = None,
+    repeats: str = ALL,
 ) -> DataFrame:
-    """Up to ``max_requests`` requests whose text is in ``queries.query``, each logged once.
+    """The log rows of up to ``max_requests`` requests whose text is in ``queries.query``.
 
-    Which requests are kept follows from ``seed``. The choice is made on ids alone, so candidate
-    lists travel only for requests that are kept. ``max_queries`` is the most rows ``queries`` can
-    hold; a top list has no limit of its own, as its last ranks may be tied. Without it only ids
-    are shuffled to meet the texts.
+    Which requests are kept follows from ``seed``; None keeps all. The choice is made on ids
+    alone, so candidate lists travel only for requests that are kept. ``repeats`` is ``all``, or
+    ``first`` for the earliest row of each request. A top list has no limit of its own, as its
+    last ranks may be tied: its bytes are counted before it is broadcast.
     """
     kept = request_fields(
         popular_requests(since_timestamp_date(logs, since, "queryTime"), filters)
     )
-    texts = queries.select("query").distinct()
-    if fits_broadcast(texts, max_queries):
-        texts = F.broadcast(texts)
     keys = ["request_uuid", "query"]
-    asked = kept.select(*keys).distinct().join(texts, "query", "left_semi").select(*keys)
-    chosen = stable_sample(asked, max_requests, seed, keys)
-    if fits_broadcast(chosen, max_requests):
-        found = kept.join(F.broadcast(chosen), keys, "left_semi")
-        return first_log(with_candidates(found, trim), keys)
-    return first_log(with_candidates(kept, trim), keys).join(chosen, keys, "left_semi")
+    asked = semi_join(kept, queries, ["query"])
+    found = asked
+    if max_requests is not None:
+        chosen = stable_sample(asked.select(*keys).distinct(), max_requests, seed, keys)
+        found = semi_join(asked, chosen, keys, max_requests)
+    found = with_candidates(found, trim)
+    return found if repeats == ALL else first_log(found, keys)

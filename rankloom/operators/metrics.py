@@ -34,6 +34,8 @@ SHARES = {
 }
 # Rows of one visit in the rank table that a task joins with the visit's facts.
 HEAVY_LISTINGS = 2_000_000
+# Searches of one visit, or visits of one request, that a task joins.
+HEAVY_SEARCHES = 200_000
 # Label of every report block and the prefix of its counters here.
 BLOCKS = {"First Page": "p1", "Three Pages": "p3", "1K": "k1"}
 
@@ -74,7 +76,16 @@ def page_flags(
 
     The two small tables are joined first, so the large one meets a single join.
     """
-    facts = visit_facts(ab_tests, visits, flag, dates)
+    return flag_pages(stage_ranks, visit_facts(ab_tests, visits, flag, dates), page_sizes, pages)
+
+
+def flag_pages(
+    stage_ranks: DataFrame,
+    facts: DataFrame,
+    page_sizes: dict[str, int] = PAGE_SIZES,
+    pages: int = REPORT_PAGES,
+) -> DataFrame:
+    """The rank table with the variant and platform in ``facts`` and the page flags."""
     joined = spread_join(stage_ranks, facts, ["visit_id"], HEAVY_LISTINGS)
     return with_page_flags(
         joined.select(*stage_ranks.columns, "ab_variant", "platform"), page_sizes, pages
@@ -89,6 +100,37 @@ def block_counts(flagged: DataFrame, keys: Sequence[str], top: int = RANK_CAP) -
     return masked.groupBy(*keys, "mask").agg(F.count("*").alias("listing_count"), *counters)
 
 
+def platform_counts(
+    ranks: DataFrame,
+    keys: Sequence[str],
+    page_sizes: dict[str, int] = PAGE_SIZES,
+    pages: int = REPORT_PAGES,
+    top: int = RANK_CAP,
+) -> DataFrame:
+    """``block_counts`` for every kind of platform, the empty text for one without known pages.
+
+    A listing is read once: each page size has counters of its own, which become rows only after
+    the aggregation, at most 16 for a request and platform.
+    """
+    counters = [F.count("*").alias("listing_count"), F.count_if(F.col("mo_last") <= top).alias("k1")]
+    kinds = [
+        F.struct(F.lit("").alias("platform"), F.lit(0).alias("p1"), F.lit(0).alias("p3"))
+    ]
+    for n, (platform, size) in enumerate(page_sizes.items()):
+        counters.append(F.count_if(F.col("mo_last") <= size).alias(f"p1_{n}"))
+        counters.append(F.count_if(F.col("mo_last") <= size * pages).alias(f"p3_{n}"))
+        kinds.append(
+            F.struct(
+                F.lit(platform).alias("platform"),
+                F.col(f"p1_{n}").alias("p1"),
+                F.col(f"p3_{n}").alias("p3"),
+            )
+        )
+    kinds[0] = kinds[0].cast("struct<platform:string,p1:bigint,p3:bigint>")
+    counts = ranks.withColumn("mask", source_mask()).groupBy(*keys, "mask").agg(*counters)
+    return counts.select(*keys, "mask", "listing_count", "k1", F.inline(F.array(*kinds)))
+
+
 def variant_totals(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``counts`` added up by variant, with the distinct visits and requests of ``pairs``.
 
@@ -167,20 +209,27 @@ def retrieval_report_by_request(
 ) -> DataFrame:
     """The report over ranks by request, searches and visit facts, without the joined rank table.
 
-    ``ranked`` has the keys of all requests in ``ranks``, once each.
+    ``ranked`` has the keys of all requests in ``ranks``, once each. Every row of ``searches``
+    counts, repeats as well.
 
-    Listings are counted within their request, once for each kind of platform, and searches meet
-    the counts, not the listings. A request shared by very many visits costs a row for each visit.
+    Listings are counted within their request, and searches are counted for each request, variant
+    and platform before the two meet: a request or visit that holds a large part of the searches
+    is cut into slices or counted beforehand.
     """
+    keys = list(keys)
     # Platforms without known pages are alike: the empty text stands for them.
     known = F.when(F.col("platform").isin(list(page_sizes)), F.col("platform"))
-    seen = searches.distinct().join(facts, "visit_id")
+    seen = spread_join(searches, facts, ["visit_id"], HEAVY_SEARCHES)
     seen = seen.withColumn("platform", F.coalesce(known, F.lit("")))
-    kinds = F.array(*[F.lit(name) for name in (*page_sizes, "")])
-    flagged = with_page_flags(ranks.withColumn("platform", F.explode(kinds)), page_sizes, pages)
-    counts = block_counts(flagged, [*keys, "platform"], top)
-    met = seen.select(*keys, "ab_variant", "platform").join(counts, [*keys, "platform"])
-    pairs = seen.join(ranked, list(keys), "left_semi")
+    asked = seen.groupBy(*keys, "ab_variant", "platform").agg(F.count("*").alias("_times"))
+    counts = platform_counts(ranks, keys, page_sizes, pages, top)
+    added = ["listing_count", *BLOCKS.values()]
+    met = asked.join(counts, [*keys, "platform"]).select(
+        "ab_variant", "mask", *[(F.col(name) * F.col("_times")).alias(name) for name in added]
+    )
+    pairs = spread_join(
+        seen.select(*keys, "ab_variant", "visit_id").distinct(), ranked, keys, HEAVY_SEARCHES
+    )
     return report_blocks(variant_totals(met, pairs), strict)
 
 

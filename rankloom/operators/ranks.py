@@ -1,7 +1,8 @@
 """Rank of every candidate listing at every ranking step.
 
-The position in a candidate list is the rank. A request logged once is ranked inside its row,
-with no window; the ranks of a listing are then brought together by one aggregation.
+The position in a candidate list is the rank, and ranks run on over the log rows of a request.
+Only the sizes of lists are summed for that; the ranks of a listing are then brought together by
+one aggregation.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankloom.operators.joins import spread_join
-from rankloom.operators.logs import sampled_logs
-from rankloom.params import RANK_CAP
+from rankloom.operators.logs import HEAVY_LOGS, sampled_logs
+from rankloom.params import ALL, RANK_CAP, RANK_SCOPES, REPEATS, require_one_of
 
 
 class Step(NamedTuple):
@@ -44,7 +45,7 @@ FINAL = "mo_last"
 PREFIX_DIGITS = 3
 # Searches of one request that a task joins with the request's listings.
 HEAVY_SEARCHES = 20_000
-# Order of the stored rank table after the query text: the last step first.
+# Order of the stored rank table after the query text, the last step first.
 SORT_STEPS = ("mo_last", "mo_list", "ranking", "borda", "solr", "nir", "xwalk", "xml")
 
 
@@ -131,25 +132,41 @@ def listing_ranks(logs: DataFrame, keys: Sequence[str], cap: int | None = RANK_C
 
 
 def running_ranks(
-    logs: DataFrame, scope: str, keys: Sequence[str], cap: int | None = RANK_CAP
+    logs: DataFrame,
+    scope: str | Sequence[str],
+    keys: Sequence[str],
+    cap: int | None = RANK_CAP,
+    by_time: bool = False,
+    gather: bool = False,
 ) -> DataFrame:
     """Ranks that run on over all log rows with the same ``scope`` value.
 
-    ``keys`` tell log rows apart; the rows of a scope follow each other by the digest of their
-    keys. Only list sizes are summed, never listings counted, first within the rows of a digest
-    prefix and then over the prefixes. So a scope that holds a large part of the log is spread
-    over many tasks, and no task sums over more than 4,096 prefixes.
+    The rows of a scope follow each other by the digest of their ``keys``, or by log time with
+    ``by_time``; rows of one key follow each other by log time, then by content. Only list sizes
+    are summed, never listings counted, first within a part of the scope (a digest prefix, or a
+    minute) and then over the parts. So a scope that holds a large part of the log is spread over
+    many tasks, and no task sums over more than 4,096 prefixes or the minutes of the days at hand.
+    ``gather`` brings the lists of a key together before they are unnested, for ``pivot_ranks``.
     """
-    columns = list(dict.fromkeys([scope, *keys]))
+    scopes = [scope] if isinstance(scope, str) else list(scope)
+    columns = list(dict.fromkeys([*scopes, *keys]))
     kept = [F.col(name) for name in columns]
     text = F.concat_ws("|", *[F.col(key).cast("string") for key in keys])
+    place = F.date_format("query_time", "yyyyMMddHHmm") if by_time else F.md5(text)
+    placed_logs = logs.withColumns(
+        {
+            "_place": place,
+            "_prefix": place if by_time else F.substring(place, 1, PREFIX_DIGITS),
+            "_content": F.xxhash64("candidateSources"),
+        }
+    )
     # A struct with a NULL field equals another such struct, so a NULL scope joins with itself.
     lists = (
-        step_lists(logs.withColumn("_digest", F.md5(text)), [*columns, "_digest"], cap)
+        step_lists(placed_logs, [*columns, "_place", "_prefix", "_content", "query_time"], cap)
         .withColumn("_n", F.size("ids").cast("bigint"))
         .filter("_n > 0")
-        .withColumn("_scope", F.struct(scope))
-        .withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
+        .withColumn("_scope", F.struct(*scopes))
+        .withColumn("_prefix", F.coalesce("_prefix", F.lit("")))
     )
     parts = ["_scope", "step", "_prefix"]
     prefixes = Window.partitionBy("_scope", "step").orderBy("_prefix")
@@ -162,7 +179,8 @@ def running_ranks(
     )
     if cap is not None:
         starts = starts.filter(F.col("_start") < cap)
-    order = Window.partitionBy(*parts).orderBy("_digest", *keys, F.xxhash64("ids"))
+    ordered = ["query_time", "_content", *keys] if by_time else ["_place", *keys, "query_time", "_content"]
+    order = Window.partitionBy(*parts).orderBy(*ordered)
     ahead = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = lists.join(starts, parts).withColumn(
         "_offset", F.col("_start") + F.coalesce(ahead, F.lit(0))
@@ -171,7 +189,10 @@ def running_ranks(
     if cap is not None:
         placed = placed.filter(F.col("_offset") < cap)
         ids = F.slice(ids, F.lit(1), (F.lit(cap) - F.col("_offset")).cast("int"))
-    return placed.select(*kept, "step", "_offset", F.posexplode(ids)).select(
+    placed = placed.select(*kept, "step", "_offset", ids.alias("ids"))
+    if gather:
+        placed = placed.repartition(*keys)
+    return placed.select(*kept, "step", "_offset", F.posexplode("ids")).select(
         *kept,
         "step",
         F.col("col").alias("listing_id"),
@@ -196,21 +217,36 @@ def sampled_candidates(
     cap: int = RANK_CAP,
     match_date: bool = False,
     max_requests: int | None = None,
+    repeats: str = ALL,
 ) -> DataFrame:
-    """One log row for each searched request, its candidates cut to what can be ranked."""
+    """The log rows of the searched requests, their candidates cut to what can be ranked."""
     trim = partial(trimmed_candidates, cap=cap)
-    return sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim)
+    return sampled_logs(searches, logs, dates, placement, match_date, max_requests, trim, repeats)
+
 
+def request_ranks(
+    rows: DataFrame, keys: Sequence[str], cap: int = RANK_CAP, repeats: str = ALL
+) -> DataFrame:
+    """The rank table of requests, without visit or query.
 
-def request_ranks(once: DataFrame, keys: Sequence[str], cap: int = RANK_CAP) -> DataFrame:
-    """Ranks of the listings of requests logged once, without visit or query."""
-    return pivot_ranks(listing_ranks(once, keys, cap), keys)
+    With ``all`` repeats ranks run on over the log rows of a request in the order of their time.
+    With ``first`` there must be one row for each request.
+    """
+    if repeats == ALL:
+        return pivot_ranks(running_ranks(rows, keys, keys, cap, True, True), keys)
+    return pivot_ranks(listing_ranks(rows, keys, cap), keys)
 
 
-def ranked_requests(once: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ranked_requests(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of the requests that have any rank, known from the length of the final list."""
     final = next(step for step in STEPS if step.name == FINAL)
-    return once.filter(F.size(step_ids("candidateSources", final)) > 0).select(*keys)
+    listed = rows.filter(F.size(step_ids("candidateSources", final)) > 0)
+    return listed.select(*keys).distinct()
+
+
+def search_rows(searches: DataFrame, repeats: str) -> DataFrame:
+    """Every search, or each distinct one with ``first``."""
+    return searches if repeats == ALL else searches.distinct()
 
 
 def stage_ranks_pivot(
@@ -222,23 +258,37 @@ def stage_ranks_pivot(
     match_date: bool = False,
     max_requests: int | None = None,
     rank_scope: str = "request",
+    repeats: str = ALL,
 ) -> DataFrame:
     """The rank table: one row for each search and final listing.
 
     Ranks are built for each request before searches are joined, so two visits of one request
     have two rows for a listing, both with its true rank. With the rank scope ``query`` ranks run
-    on over the requests of a query and are no longer places on a page.
+    on over the requests of a query and are no longer places on a page. With ``all`` repeats every
+    log row and every search beacon counts; with ``first`` the earliest log row of a request and
+    distinct searches. Another scope or kind of repeats is an error.
     """
+    require_one_of("rank_scope", rank_scope, RANK_SCOPES)
+    require_one_of("repeats", repeats, REPEATS)
     keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
-    once = sampled_candidates(searches, logs, dates, placement, cap, match_date, max_requests)
+    rows = sampled_candidates(
+        searches, logs, dates, placement, cap, match_date, max_requests, repeats
+    )
+    columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
+    seen = search_rows(searches, repeats)
     if rank_scope == "query":
-        once = once.join(searches.select(*keys, "query").distinct(), keys)
+        asked = searches.select(*keys, "query").distinct()
+        rows = spread_join(rows, asked, keys, HEAVY_LOGS)
         keys = [*keys, "query"]
-        ranks = pivot_ranks(running_ranks(once, "query", keys, cap), keys)
-    else:
-        ranks = request_ranks(once, keys, cap)
-    columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
-    return spread_join(searches.distinct(), ranks, keys, HEAVY_SEARCHES).select(*columns)
+        ranks = pivot_ranks(running_ranks(rows, "query", keys, cap, gather=True), keys)
+        return spread_join(seen, ranks, keys, HEAVY_SEARCHES).select(*columns)
+
+    def ranks_of(only: DataFrame | None) -> DataFrame:
+        """Ranks of all requests, or of a few: then only their log rows are unnested."""
+        mine = rows if only is None else rows.join(only, keys, "left_semi")
+        return request_ranks(mine, keys, cap, repeats)
+
+    return spread_join(seen, ranks_of, keys, HEAVY_SEARCHES).select(*columns)
 
 
 def ranked_candidates(

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import kv_lookup
-from rankloom.operators.joins import fits_broadcast
+from rankloom.operators.joins import fits_broadcast, semi_join, spread_join
 from rankloom.sources import on_dates, since_date
 
+# Beacons of one request that a task joins with the request's sample rows.
+HEAVY_BEACONS = 200_000
+
 
 def search_events(visit_beacons: DataFrame, event_name: str, strict: bool = False) -> DataFrame:
     """Date, visit, request id and query text of the beacons of one event."""
@@ -35,17 +38,17 @@ def sample_searches(
     """Visits and query texts of the sampled requests, one row for each beacon.
 
     ``max_sample`` is the row limit the sample was drawn with. When a sample of that size may be
-    broadcast the beacons are not shuffled, however many of them share a request id.
+    broadcast the beacons are not shuffled, however many of them share a request id. A larger
+    sample meets them in a join that cuts such a request into slices.
     """
     events = search_events(on_dates(visit_beacons, dates), event_name, strict)
+    events = events.filter(F.col("query").isNotNull())
     wanted = sample.select("request_uuid", "ab_flag")
     if fits_broadcast(wanted, max_sample):
-        wanted = F.broadcast(wanted)
-    return (
-        events.filter(F.col("query").isNotNull())
-        .join(wanted, "request_uuid")
-        .select("_date", "request_uuid", "ab_flag", "visit_id", "query")
-    )
+        found = events.join(F.broadcast(wanted), "request_uuid")
+    else:
+        found = spread_join(events, wanted, ["request_uuid"], HEAVY_BEACONS)
+    return found.select("_date", "request_uuid", "ab_flag", "visit_id", "query")
 
 
 def request_to_visit(
@@ -56,7 +59,10 @@ def request_to_visit(
     key: str = "uuid",
     strict: bool = False,
 ) -> DataFrame:
-    """Distinct (request, visit) pairs of the requests named in ``requests[key]``."""
+    """Distinct (request, visit) pairs of the requests named in ``requests[key]``.
+
+    Beacons of other requests are dropped where they are read.
+    """
     events = search_events(since_date(visit_beacons, since), event_name, strict)
-    visits = events.select(F.col("request_uuid").alias(key), "visit_id").distinct()
-    return visits.join(requests.select(key).distinct(), key, "left_semi")
+    visits = events.select(F.col("request_uuid").alias(key), "visit_id")
+    return semi_join(visits, requests, [key]).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import KW_ONLY, dataclass, field
 from datetime import date, timedelta
 
 # Listings on one result page, by platform ("boe" is the app).
@@ -17,6 +17,15 @@ ANY = "ANY"
 
 # What ranks are counted within.
 RANK_SCOPES = ("request", "query")
+# Whether every log row and search beacon of a request counts, or its earliest row and each
+# distinct beacon only.
+ALL, FIRST = REPEATS = ("all", "first")
+
+
+def require_one_of(name: str, value: str, known: tuple[str, ...]) -> None:
+    """Refuse a value that no analysis knows."""
+    if value not in known:
+        raise ValueError(f"{name} must be one of {known}: {value!r}")
 
 
 @dataclass(frozen=True)
@@ -26,7 +35,8 @@ class ExperimentParams:
     dates: tuple[date, ...]
     flag: str
     placement: str
-    sample_size: int = 3_000_000
+    # None: every request.
+    sample_size: int | None = 3_000_000
     seed: str = "0"
     sample_event: str | None = "search"
     search_event: str = "search"
@@ -35,14 +45,15 @@ class ExperimentParams:
     match_date: bool = False
     # "request", or "query" for ranks that run on over the requests of a query (rank table only).
     rank_scope: str = "request"
+    repeats: str = ALL
     page_sizes: dict[str, int] = field(default_factory=lambda: dict(PAGE_SIZES))
     pages: int = REPORT_PAGES
     first_page: int = QUICKLOOK_PAGE_SIZE
     strict: bool = False
 
     def __post_init__(self) -> None:
-        if self.rank_scope not in RANK_SCOPES:
-            raise ValueError(f"rank_scope must be one of {RANK_SCOPES}: {self.rank_scope!r}")
+        require_one_of("rank_scope", self.rank_scope, RANK_SCOPES)
+        require_one_of("repeats", self.repeats, REPEATS)
 
     @classmethod
     def quicklook(cls, day: date, flag: str, placement: str, **other) -> ExperimentParams:
@@ -56,19 +67,21 @@ class RequestFilters:
     """Which logged requests count for a popular query.
 
     ``matching``, ``ranking`` and ``market_optimization`` are off at ``ANY``. ``user_id`` is 0 for
-    everyone, -1 for signed-out requests, or the id of one user. ``query_type`` and
-    ``cache_bucket`` name the request class of the installation at hand; ``None`` leaves them out.
+    everyone, -1 for signed-out requests, or the id of one user. ``query_type``, ``cache_bucket``
+    and ``organic_only`` name the request class of the installation at hand and have no default;
+    ``None`` (``False``) leaves them out.
     """
 
     placement: str
+    _: KW_ONLY
+    query_type: str | None
+    cache_bucket: str | None
+    organic_only: bool
     matching: str = ANY
     ranking: str = ANY
     market_optimization: str = ANY
     user_id: int = 0
     offset: int = 0
-    query_type: str | None = None
-    cache_bucket: str | None = "live"
-    organic_only: bool = True
     sort_by: str = "relevance"
     sort_order: str = "desc"
 
@@ -82,16 +95,20 @@ class TopQueryParams:
     days: int = 7
     log_days: int = 1
     top: int = 100
-    max_requests: int = 10_000
+    # None: every request.
+    max_requests: int | None = 10_000
     seed: str = "0"
     cap: int = RANK_CAP
     rank_scope: str = "request"
+    repeats: str = ALL
+    # Texts that are measured beside the most used ones.
+    extra_queries: tuple[str, ...] = ()
     first_page: int = QUICKLOOK_PAGE_SIZE
     strict: bool = False
 
     def __post_init__(self) -> None:
-        if self.rank_scope not in RANK_SCOPES:
-            raise ValueError(f"rank_scope must be one of {RANK_SCOPES}: {self.rank_scope!r}")
+        require_one_of("rank_scope", self.rank_scope, RANK_SCOPES)
+        require_one_of("repeats", self.repeats, REPEATS)
 
     @property
     def sessions_since(self) -> date:

@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame
 from rankloom.operators.metrics import (
     first_page_by_query,
     first_page_overall,
-    visit_facts,
+    flag_pages,
+    retrieval_report,
     retrieval_report_by_request,
+    visit_facts,
 )
 from rankloom.operators.ranks import (
     ranked_requests,
     request_ranks,
     sampled_candidates,
+    search_rows,
     stage_ranks_pivot,
 )
 from rankloom.operators.sampling import experiment_sample
 from rankloom.operators.searches import sample_searches
 from rankloom.params import ExperimentParams
+from rankloom.session import require_utc
 from rankloom.sources import TableStore
 
 
@@ -71,6 +75,7 @@ def rank_table(
     sources: Sources, params: ExperimentParams, store: TableStore | None = None
 ) -> DataFrame:
     """The rank table of the sampled requests."""
+    require_utc(sources.rpc_logs.sparkSession)
     ranks = stage_ranks_pivot(
         experiment_searches(sources, params, store),
         sources.rpc_logs,
@@ -80,6 +85,7 @@ def rank_table(
         params.match_date,
         params.sample_size,
         params.rank_scope,
+        params.repeats,
     )
     return ranks if store is None else store.replace("stage_ranks", ranks, "_date")
 
@@ -89,12 +95,23 @@ def experiment_report(
 ) -> DataFrame:
     """Retrieval report of an experiment: 21 columns, three rows for each variant.
 
-    The report counts places on pages, so ranks within a query are refused.
+    The report counts places on pages, so ranks within a query are refused. With a store the rank
+    table is written (``stage_ranks``, which ``page_flags``, the reports and ``request_to_visit``
+    read) and reported on; without one listings are counted within their request, and the rank
+    table of all searches is never built.
     """
     if params.rank_scope != "request":
         raise ValueError("the report needs ranks within a request")
-    searches = experiment_searches(sources, params, store)
-    once = sampled_candidates(
+    require_utc(sources.rpc_logs.sparkSession)
+    facts = visit_facts(sources.ab_tests, sources.visits, params.flag, params.dates)
+    if store is not None:
+        flagged = flag_pages(
+            rank_table(sources, params, store), facts, params.page_sizes, params.pages
+        )
+        report = retrieval_report(flagged, params.cap, params.strict)
+        return store.replace("retrieval_metrics", report)
+    searches = experiment_searches(sources, params)
+    rows = sampled_candidates(
         searches,
         sources.rpc_logs,
         params.dates,
@@ -102,20 +119,20 @@ def experiment_report(
         params.cap,
         params.match_date,
         params.sample_size,
+        params.repeats,
     )
-    keys = ("request_uuid", "_date") if params.match_date else ("request_uuid",)
-    report = retrieval_report_by_request(
-        request_ranks(once, keys, params.cap),
-        ranked_requests(once, keys),
-        searches,
-        visit_facts(sources.ab_tests, sources.visits, params.flag, params.dates),
+    keys = ["request_uuid", "_date"] if params.match_date else ["request_uuid"]
+    return retrieval_report_by_request(
+        request_ranks(rows, keys, params.cap, params.repeats),
+        ranked_requests(rows, keys),
+        search_rows(searches, params.repeats),
+        facts,
         keys,
         params.page_sizes,
         params.pages,
         params.cap,
         params.strict,
     )
-    return _stored(store, "retrieval_metrics", report)
 
 
 def experiment_quicklook(

@@ -12,12 +12,13 @@ from rankloom.operators.metrics import first_page_by_query, first_page_overall
 from rankloom.operators.popular import most_used, top_queries
 from rankloom.operators.ranks import (
     STEP_NAMES,
-    listing_ranks,
     pivot_ranks,
+    request_ranks,
     running_ranks,
     trimmed_candidates,
 )
 from rankloom.params import TopQueryParams
+from rankloom.session import require_utc
 from rankloom.sources import TableStore
 
 
@@ -27,15 +28,20 @@ def popular_rank_table(
     params: TopQueryParams,
     store: TableStore | None = None,
 ) -> DataFrame:
-    """The rank table of logged requests for the most used queries.
+    """The rank table of logged requests for the most used queries and ``extra_queries``.
 
     ``rank_scope`` is ``request``, or ``query`` for ranks that run on over the requests of a query.
-    With a store the top list is a table, and its size is looked up before it is broadcast.
+    With a store the top list is a table.
     """
+    spark = rpc_logs.sparkSession
+    require_utc(spark)
     popular = top_queries(query_sessions, params.as_of, params.days)
     if store is not None:
         popular = store.replace("top_queries", popular)
-    listed = most_used(popular, params.top)
+    listed = most_used(popular, params.top).select("query")
+    if params.extra_queries:
+        extra = spark.createDataFrame([(text,) for text in params.extra_queries], "query string")
+        listed = listed.unionByName(extra)
     logs = request_logs_by_query(
         listed,
         rpc_logs,
@@ -43,17 +49,15 @@ def popular_rank_table(
         params.filters,
         params.max_requests,
         params.seed,
-        listed.count() if store is not None else None,
         partial(trimmed_candidates, cap=params.cap),
+        params.repeats,
     )
     keys = ["request_uuid", "query"]
     if params.rank_scope == "query":
-        ranked = running_ranks(logs, "query", keys, params.cap)
+        ranks = pivot_ranks(running_ranks(logs, "query", keys, params.cap, gather=True), keys)
     else:
-        ranked = listing_ranks(logs, keys, params.cap)
-    ranks = pivot_ranks(ranked, keys).select(
-        F.col("request_uuid").alias("uuid"), "query", "listing_id", *STEP_NAMES
-    )
+        ranks = request_ranks(logs, keys, params.cap, params.repeats)
+    ranks = ranks.select(F.col("request_uuid").alias("uuid"), "query", "listing_id", *STEP_NAMES)
     return ranks if store is None else store.replace("stage_ranks", ranks)
 
 

@@ -34,3 +34,10 @@ def build_session(name: str = "rankloom", master: str | None = None, **extra: st
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session in another time zone: dates of log times would be other days there."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone must be UTC: {zone!r}")

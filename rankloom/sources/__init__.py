@@ -1,6 +1,6 @@
 """Readers, date filters and table writers."""
 
-from rankloom.sources.sinks import TableStore, scratch_root
+from rankloom.sources.sinks import TableStore
 from rankloom.sources.tables import (
     on_date,
     on_dates,
@@ -18,7 +18,6 @@ __all__ = [
     "on_timestamp_dates",
     "read_prefixed",
     "read_table",
-    "scratch_root",
     "since_date",
     "since_timestamp_date",
 ]

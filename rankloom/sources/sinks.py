@@ -1,53 +1,88 @@
-"""Writing result tables and reading them back."""
+"""Writing result tables and reading them back, also in a later session."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder below the shared folder of the cluster.
+class TableStore:
+    """Named Parquet tables below one folder that all executors share, each replaced as a whole.
 
-    A local session without one gets a temporary folder that goes when Python ends.
+    A table is a folder of numbered versions; the newest complete one counts. A replacement is a
+    new version, so a query that reads the table may write it, and readers of the former version
+    are not disturbed. Versions before that one are removed. Another store on the same folder, in
+    this session or a later one, finds the same tables; a store on another folder never does.
+    One writer at a time may replace a table.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and spark.sparkContext.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="rankloom-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    if shared is None:
-        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    return f"{shared.rstrip('/')}/rankloom-{uuid.uuid4().hex}"
 
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._files = hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-class TableStore:
-    """Named Parquet tables below one folder, each replaced as a whole.
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of all versions in order, complete or not."""
+        folder = self._path(f"{self.root}/{name}")
+        if not self._files.exists(folder):
+            return []
+        found = [entry.getPath().getName() for entry in self._files.listStatus(folder)]
+        return sorted(int(text[1:]) for text in found if re.fullmatch(r"v\d+", text))
 
-    A replacement goes to a new folder, so readers of the former version (the query that writes
-    the new one among them) are not disturbed. Each name is also a temp view of the session.
-    """
+    def _folder(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version}"
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.root = root or scratch_root(spark)
+    def _schema_file(self, name: str, version: int) -> str:
+        return f"{self._folder(name, version)}.schema"
+
+    def _complete(self, name: str) -> list[int]:
+        return [
+            version
+            for version in self._versions(name)
+            if self._files.exists(self._path(self._schema_file(name, version)))
+        ]
 
     def replace(self, name: str, rows: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``rows`` as table ``name`` and return the stored table.
 
         Rows are written where they are; a task writes a file for each partition value it holds.
         """
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"\w+", name):
+            raise ValueError(f"a table name has letters, digits and _ only: {name!r}")
+        version = max(self._versions(name), default=0) + 1
+        folder = self._folder(name, version)
         writer = rows.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-        stored = self.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
-        stored.createOrReplaceTempView(name)
-        return stored
+        writer.parquet(folder)
+        # The schema comes last: a version without it was never finished.
+        file = self._files.create(self._path(self._schema_file(name, version)), True)
+        file.write(bytearray(rows.schema.json(), "utf-8"))
+        file.close()
+        for old in self._versions(name):
+            if old < version - 1:
+                self._files.delete(self._path(self._schema_file(name, old)), False)
+                self._files.delete(self._path(self._folder(name, old)), True)
+        return self.table(name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+        """The newest complete version of table ``name``, its columns in the order they had."""
+        complete = self._complete(name)
+        if not complete:
+            raise ValueError(f"no table {name!r} in {self.root}")
+        folder, file = self._folder(name, complete[-1]), self._schema_file(name, complete[-1])
+        text = self.spark.read.text(file, wholetext=True).first().value
+        schema = StructType.fromJson(json.loads(text))
+        return self.spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+    def view(self, name: str) -> str:
+        """Make table ``name`` a temp view, and return the view's name, which this folder owns."""
+        view = f"{name}_{uuid.uuid5(uuid.NAMESPACE_URL, self.root).hex}"
+        self.table(name).createOrReplaceTempView(view)
+        return view

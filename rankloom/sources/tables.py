@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,18 @@ def read_prefixed(
 ) -> DataFrame:
     """Every table in ``folder`` whose name starts with ``prefix``, as one.
 
+    ``folder`` is a folder of Parquet tables, or the name of a catalog's database.
+
     Columns missing from a table are NULL. Pass ``schema`` for a large set: without it the footers
     of all files are read first to merge their schemas.
     """
+    if "/" not in folder:
+        found = [t for t in spark.catalog.listTables(folder) if t.name.startswith(prefix)]
+        if not found:
+            raise ValueError(f"no table in {folder!r} starts with {prefix!r}")
+        names = [f"`{t.name}`" if t.isTemporary else f"{folder}.`{t.name}`" for t in found]
+        tables = [spark.table(name) for name in sorted(names)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     reader = spark.read
     reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
     return reader.parquet(f"{folder}/{prefix}*")

@@ -4,6 +4,7 @@ import pytest
 
 from rankloom.operators.logs import (
     first_log,
+    logged_more_than_once,
     popular_requests,
     request_logs,
     request_logs_by_query,
@@ -65,7 +66,7 @@ def test_optional_filters(spark, change, kept):
         log("user", ENTRIES, user=8),
     ]
     logs = spark.createDataFrame(rows, LOG)
-    assert ids(popular_requests(logs, RequestFilters("web", **change))) == kept
+    assert ids(popular_requests(logs, RequestFilters("web", query_type=None, cache_bucket="live", organic_only=True, **change))) == kept
 
 
 def test_popular_request_class(spark):
@@ -78,8 +79,9 @@ def test_popular_request_class(spark):
         log("f", ENTRIES, organic=None),
     ]
     logs = spark.createDataFrame(rows, LOG)
-    assert ids(popular_requests(logs, RequestFilters("web", query_type="main"))) == {"a"}
-    everything = RequestFilters("web", cache_bucket=None, organic_only=False)
+    main = RequestFilters("web", query_type="main", cache_bucket="live", organic_only=True)
+    assert ids(popular_requests(logs, main)) == {"a"}
+    everything = RequestFilters("web", query_type=None, cache_bucket=None, organic_only=False)
     assert ids(popular_requests(logs, everything)) == {"a", "c", "d", "e", "f"}
 
 
@@ -117,28 +119,41 @@ def test_sampled_logs_are_one_for_each_request(spark, bound):
     logs = spark.createDataFrame(rows, LOG)
     found = searches(spark, (MONDAY, "a", "v1"), (TUESDAY, "a", "v2"), (MONDAY, "b", "v3"))
     days = [MONDAY, TUESDAY]
-    once = sampled_logs(found, logs, days, "web", max_requests=bound)
+    every = sampled_logs(found, logs, days, "web", max_requests=bound)
+    assert as_list(every.groupBy("request_uuid").count()) == [("a", 3), ("b", 1)]
+    once = sampled_logs(found, logs, days, "web", max_requests=bound, repeats="first")
     assert as_list(once, "request_uuid", "query_time") == [
         ("a", moment(MONDAY, 2)),
         ("b", moment(MONDAY)),
     ]
-    daily = sampled_logs(found, logs, days, "web", match_date=True, max_requests=bound)
+    daily = sampled_logs(found, logs, days, "web", match_date=True, max_requests=bound, repeats="first")
     assert len(as_list(daily, "request_uuid", "_date")) == 3
 
 
-@pytest.mark.parametrize("bound", [None, 5])
-def test_logs_by_query(spark, bound):
+def test_logged_more_than_once(spark):
+    rows = [log("a", ENTRIES, minute=m) for m in (4, 2, 9)] + [log("b", ENTRIES)]
+    rows += [log("b", ENTRIES, placement="app"), log("c", ENTRIES, day=TUESDAY)]
+    logs = spark.createDataFrame(rows, LOG)
+    assert as_list(logged_more_than_once(logs, [MONDAY], "web")) == [(2, 1, 2)]
+    assert as_list(logged_more_than_once(logs.limit(0), [MONDAY], "web")) == [(0, 0, 0)]
+
+
+def test_logs_by_query(spark):
     rows = [log(f"r{n}", ENTRIES) for n in range(6)] + [log(f"m{n}", ENTRIES, query="mug") for n in (1, 2)]
     rows += [log("r0", ENTRIES, minute=9), log("x", ENTRIES, query="hat")]
     rows += [log("old", ENTRIES, day=date(2024, 2, 1))]
     logs = spark.createDataFrame(rows, LOG)
     queries = spark.createDataFrame([("ring", 1), ("mug", 2), ("cap", 3)], "query string, rank int")
-    filters = RequestFilters("web")
-    everything = request_logs_by_query(queries, logs, SINCE, filters, max_queries=bound)
+    filters = RequestFilters("web", query_type=None, cache_bucket="live", organic_only=True)
+    every = request_logs_by_query(queries, logs, SINCE, filters)
+    assert every.count() == 9
+    unlimited = request_logs_by_query(queries, logs, SINCE, filters, max_requests=None)
+    assert as_list(every) == as_list(unlimited)
+    everything = request_logs_by_query(queries, logs, SINCE, filters, repeats="first")
     assert as_set(everything, "request_uuid", "query_time") == {
         (uuid, moment(MONDAY)) for uuid in ["r0", "r1", "r2", "r3", "r4", "r5", "m1", "m2"]
     }
-    few = request_logs_by_query(queries, logs, SINCE, filters, 3, "s", bound)
-    again = request_logs_by_query(queries, logs.repartition(3), SINCE, filters, 3, "s", bound)
+    few = request_logs_by_query(queries, logs, SINCE, filters, 3, "s", None, "first")
+    again = request_logs_by_query(queries, logs.repartition(3), SINCE, filters, 3, "s", None, "first")
     assert as_set(few, "request_uuid") == as_set(again, "request_uuid")
     assert few.count() == 3

@@ -2,8 +2,11 @@ from dataclasses import replace
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from rankloom.operators.metrics import page_flags, retrieval_report
 from rankloom.operators.popular import most_used, rank_by_count, top_queries
+from rankloom.operators.searches import request_to_visit
 from rankloom.params import ExperimentParams, RequestFilters, TopQueryParams
 from rankloom.plans import (
     Sources,
@@ -31,7 +34,9 @@ from tests.fixtures import (
     visit_beacon,
 )
 
-PARAMS = ExperimentParams(dates=(MONDAY, TUESDAY), flag=FLAG, placement="web")
+PARAMS = ExperimentParams(
+    dates=(MONDAY, TUESDAY), flag=FLAG, placement="web", repeats="first"
+)
 
 
 @pytest.fixture(scope="module")
@@ -72,8 +77,33 @@ def test_experiment_report(spark, sources, stored, tmp_path):
     assert (off.visit_count, off.listing_count, off.xml_only, off.other) == (1, 2, 0.5, 0.5)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_report_over_all_log_rows(spark, sources, stored, tmp_path):
+    store = TableStore(spark, str(tmp_path)) if stored else None
+    report = experiment_report(sources, replace(PARAMS, repeats="all"), store)
+    rows = {(row.metric, row.ab_variant): row for row in report.collect()}
+    on, off = rows["First Page", "on"], rows["First Page", "off"]
+    # The later log row of request a adds a listing, seen by both visits.
+    assert (on.visit_count, on.request_count, on.listing_count) == (2, 1, 8)
+    assert (on.solr_nir, on.nir_only, on.other) == pytest.approx((1 / 4, 1 / 4, 1 / 2))
+    assert (off.listing_count, off.xml_only) == (2, 0.5)
+
+
+def test_later_scripts_find_the_stored_tables(spark, sources, tmp_path):
+    """The rank table of the full analysis serves the flags, the report and the visits, later on."""
+    first = experiment_report(sources, PARAMS, TableStore(spark, str(tmp_path)))
+    store = TableStore(spark.newSession(), str(tmp_path))
+    table = store.table("stage_ranks")
+    flagged = page_flags(table, sources.ab_tests, sources.visits, FLAG, PARAMS.dates)
+    assert as_list(retrieval_report(flagged)) == as_list(first)
+    assert as_list(store.table("retrieval_metrics")) == as_list(first)
+    requests = table.select(F.col("request_uuid").alias("uuid"))
+    found = request_to_visit(requests, sources.visit_beacons, MONDAY)
+    assert as_set(found) == {("a", "v1"), ("a", "v2"), ("b", "v3")}
+
+
 def test_quicklook_of_one_day(spark, sources):
-    params = ExperimentParams.quicklook(MONDAY, FLAG, "web")
+    params = ExperimentParams.quicklook(MONDAY, FLAG, "web", repeats="first")
     assert (params.sample_size, params.sample_event, params.match_date) == (10_000, None, True)
     overall, by_query = experiment_quicklook(sources, params)
     assert overall.first().solr_first_page_share == pytest.approx(0.2)
@@ -138,7 +168,7 @@ def test_rank_by_count_equals_rank(spark):
 def test_popular_ranks(spark, sessions, tmp_path, scope, ranks, stored):
     both = [entry("solr", [2]), entry("mo_last", [1, 2])]
     logs = [log("a", both), log("b", both), log("c", both, query="cap"), log("d", both, offset=48)]
-    params = TopQueryParams(AS_OF, RequestFilters("web"), top=2, rank_scope=scope)
+    params = TopQueryParams(AS_OF, RequestFilters("web", query_type=None, cache_bucket="live", organic_only=True), top=2, rank_scope=scope)
     store = TableStore(spark, str(tmp_path)) if stored else None
     frame = spark.createDataFrame(logs, LOG)
     table = popular_rank_table(sessions, frame, params, store)
@@ -147,3 +177,5 @@ def test_popular_ranks(spark, sessions, tmp_path, scope, ranks, stored):
     overall, by_query = top_query_report(sessions, frame, params)
     assert overall.first().solr_first_page_share == 0.5
     assert [row.query for row in by_query.collect()] == ["ring"]
+    wider = top_query_report(sessions, frame, replace(params, extra_queries=("cap",)))[1]
+    assert {row.query for row in wider.collect()} == {"ring", "cap"}

@@ -199,21 +199,54 @@ def a_rows(day, visit):
     }
 
 
+def all_rows(day, visit):
+    """Ranks over the three log rows of request a, in the order of their time."""
+    rest = {(day, "a", visit, 9, None, None, 4), (day, "a", visit, 8, None, None, 5)}
+    return a_rows(day, visit) | rest
+
+
+@pytest.mark.parametrize("bound", [None, 50])
+@pytest.mark.parametrize("heavy", [1, 20_000])
+def test_rank_table_over_all_log_rows(spark, monkeypatch, bound, heavy):
+    monkeypatch.setattr(ranks, "HEAVY_SEARCHES", heavy)
+    found = as_list(rank_table(spark, max_requests=bound), *COLUMNS)
+    copies = [*all_rows(MONDAY, "v1")] * 2  # its beacon was sent twice
+    assert found == sorted([*copies, *all_rows(TUESDAY, "v2"), *B_ROWS], key=str)
+    few = as_list(rank_table(spark, max_requests=bound, cap=4), *COLUMNS)
+    assert few == [row for row in found if row[-1] <= 4]
+
+
+def test_ranks_by_time_equal_a_window(spark):
+    rows = random_logs(7) + [log(f"u{n}", [entry("mo_last", [n, 50])], minute=95) for n in range(9)]
+    rows += [log("u1", [entry("solr", list(range(60, 75)))], minute=m, day=TUESDAY) for m in (1, 2)]
+    logs = flat_logs(spark, rows)
+    columns = ["request_uuid", "step", "listing_id", "rank"]
+    for cap in (4, 1000):
+        found = running_ranks(logs, KEYS, KEYS, cap, by_time=True, gather=True)
+        window = ranked_candidates(logs, KEYS, order=["query_time"], cap=cap)
+        assert as_set(found, *columns) == as_set(window, *columns)
+
+
+def test_ranks_are_whole_numbers(spark):
+    table = rank_table(spark)
+    assert {dict(table.dtypes)[name] for name in STEP_NAMES} == {"bigint"}
+
+
 @pytest.mark.parametrize("bound", [None, 50])
 @pytest.mark.parametrize("heavy", [1, 20_000])
 def test_rank_table_of_shared_requests(spark, monkeypatch, bound, heavy):
     monkeypatch.setattr(ranks, "HEAVY_SEARCHES", heavy)
-    found = as_set(rank_table(spark, max_requests=bound), *COLUMNS)
+    found = as_set(rank_table(spark, max_requests=bound, repeats="first"), *COLUMNS)
     assert found == B_ROWS | a_rows(MONDAY, "v1") | a_rows(TUESDAY, "v2")
 
 
 def test_rank_table_with_logs_of_the_same_day(spark):
-    found = as_set(rank_table(spark, match_date=True), *COLUMNS)
+    found = as_set(rank_table(spark, match_date=True, repeats="first"), *COLUMNS)
     assert found == B_ROWS | a_rows(MONDAY, "v1") | {(TUESDAY, "a", "v2", 8, None, None, 1)}
 
 
 def test_rank_table_under_query_scope(spark):
-    found = rank_table(spark, rank_scope="query")
+    found = rank_table(spark, rank_scope="query", repeats="first")
     ring = sorted(r[0] for r in found.filter("query = 'ring'").select("mo_last").collect())
     mug = sorted(r[0] for r in found.filter("query = 'mug'").select("mo_last").collect())
     assert (ring, mug) == ([1, 2, 3, 4, 5], [1, 2, 3])
@@ -224,14 +257,56 @@ def test_one_exchange_carries_the_log(spark, tmp_path):
     spark.createDataFrame(SEARCHES, SEARCH).write.parquet(f"{tmp_path}/searches")
     searches = spark.read.parquet(f"{tmp_path}/searches")
     logs = spark.read.parquet(f"{tmp_path}/logs")
-    once = ranks.sampled_candidates(searches, logs, [MONDAY], "web", max_requests=50)
-    table = ranks.request_ranks(once, KEYS)
+    once = ranks.sampled_candidates(
+        searches, logs, [MONDAY], "web", max_requests=50, repeats="first"
+    )
+    table = ranks.request_ranks(once, KEYS, repeats="first")
     text = table._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(request_uuid") == 2
     assert "WindowGroupLimit" in text and "CartesianProduct" not in text
     assert "queryType" not in text.split("ReadSchema")[-1]
 
 
+@pytest.mark.parametrize("bound", [None, 50])
+def test_only_wanted_log_rows_enter_an_exchange(spark, tmp_path, bound):
+    """The semi-join with the ids sits right on the scan, at a known and an unknown sample size."""
+    spark.createDataFrame(LOGS, LOG).write.parquet(f"{tmp_path}/logs")
+    spark.createDataFrame(SEARCHES, SEARCH).write.parquet(f"{tmp_path}/searches")
+    searches = spark.read.parquet(f"{tmp_path}/searches")
+    logs = spark.read.parquet(f"{tmp_path}/logs")
+    rows = ranks.sampled_candidates(searches, logs, [MONDAY], "web", max_requests=bound)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    above, scan = text.split("LeftSemi", 1)
+    assert "Exchange" not in above and "BroadcastExchange" in scan
+    assert "Exchange hashpartitioning" not in scan.split("BroadcastExchange")[0]
+
+
+def test_a_hot_request_is_unnested_once(spark, tmp_path):
+    """Both branches of the join with searches exist; only one unnests the log as a whole."""
+    spark.createDataFrame(LOGS, LOG).write.parquet(f"{tmp_path}/logs")
+    spark.createDataFrame(SEARCHES, SEARCH).write.parquet(f"{tmp_path}/searches")
+    searches = spark.read.parquet(f"{tmp_path}/searches")
+    logs = spark.read.parquet(f"{tmp_path}/logs")
+    table = stage_ranks_pivot(searches, logs, [MONDAY], "web", max_requests=50, repeats="first")
+    text = table._jdf.queryExecution().optimizedPlan().toString()
+    whole, sliced = text.split("_slices", 1)
+    assert whole.count("Generate posexplode") == 1 and sliced.count("Generate posexplode") == 1
+    # Below the second one, log rows meet the heavy keys first.
+    assert "LeftSemi" in sliced.split("Generate posexplode")[1].split("Relation")[0]
+
+
+def test_semi_join_in_parts(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("string(id % 40) as k", "if(id % 7 = 0, null, id % 3) as n", "id")
+    wanted = spark.range(90).selectExpr("string(id % 25) as k", "if(id % 5 = 0, null, id % 2) as n")
+    expected = as_set(rows.join(wanted, ["k", "n"], "left_semi"))
+    assert as_set(joins.semi_join(rows, wanted, ["k", "n"], 90)) == expected
+    assert as_set(joins.semi_join(rows, wanted, ["k", "n"])) == expected
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 500)
+    assert joins.broadcast_slices(wanted) > 1
+    for bound in (None, 90):
+        assert as_set(joins.semi_join(rows, wanted, ["k", "n"], bound)) == expected
+
+
 def test_spread_join_equals_a_join(spark):
     chance = random.Random(1)
     many = [(chance.choice([1, 1, 1, 2, 3, None]), n) for n in range(400)]
@@ -242,6 +317,11 @@ def test_spread_join_equals_a_join(spark):
     for heavy in (1, 7, 100, 1000):
         assert as_set(joins.spread_join(left, right, ["k"], heavy)) == expected
 
+    def few(only):
+        return right if only is None else right.join(only, ["k"], "left_semi")
+
+    assert as_set(joins.spread_join(left, few, ["k"], 7)) == expected
+
 
 def test_broadcast_needs_a_limit(spark):
     ids = spark.createDataFrame([("a",)], "request_uuid string")

@@ -3,13 +3,13 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks.stores import shared_root
 from rankloom.sources import (
     TableStore,
     on_dates,
     on_timestamp_dates,
     read_prefixed,
     read_table,
-    scratch_root,
     since_timestamp_date,
 )
 
@@ -76,8 +76,53 @@ def test_store_partitions_and_keeps_column_order(spark, tmp_path):
     assert dict(stored.dtypes)["_date"] == "date" and stored.count() == 6
 
 
+def test_two_stores_do_not_mix(spark, tmp_path):
+    one, two = TableStore(spark, f"{tmp_path}/one"), TableStore(spark, f"{tmp_path}/two")
+    one.replace("searches", spark.range(3))
+    two.replace("searches", spark.range(7))
+    assert (one.table("searches").count(), two.table("searches").count()) == (3, 7)
+    views = one.view("searches"), two.view("searches")
+    assert [spark.table(view).count() for view in views] == [3, 7]
+
+
+def test_tables_outlive_the_session(spark, tmp_path):
+    TableStore(spark, str(tmp_path)).replace(
+        "t", spark.range(4).selectExpr("string(id) as part", "id"), "part"
+    )
+    later = TableStore(spark.newSession(), str(tmp_path)).table("t")
+    assert later.dtypes == [("part", "string"), ("id", "bigint")] and later.count() == 4
+
+
+def test_old_versions_go_and_unfinished_ones_do_not_count(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    for n in range(4):
+        store.replace("t", spark.range(n))
+    assert sorted(p.name for p in (tmp_path / "t").glob("v*")) == [
+        "v3",
+        "v3.schema",
+        "v4",
+        "v4.schema",
+    ]
+    spark.range(9).write.parquet(f"{tmp_path}/t/v5")
+    assert store.table("t").count() == 3
+    store.replace("t", spark.range(5))
+    assert store.table("t").count() == 5
+    with pytest.raises(ValueError, match="no table"):
+        store.table("u")
+    with pytest.raises(ValueError, match="letters"):
+        store.replace("a/b", spark.range(1))
+
+
+def test_prefix_of_a_database(spark):
+    for n in (1, 2):
+        spark.range(n).createOrReplaceTempView(f"logs_{n}")
+    assert read_prefixed(spark, "default", "logs_").count() == 3
+    with pytest.raises(ValueError, match="no table"):
+        read_prefixed(spark, "default", "nothing_")
+
+
 class Session:
-    """What ``scratch_root`` asks of a session."""
+    """What ``shared_root`` asks of a session."""
 
     def __init__(self, master, shared=None):
         self.sparkContext = type("Context", (), {"master": master})
@@ -85,8 +130,10 @@ class Session:
 
 
 def test_scratch_folder_follows_the_session():
-    assert scratch_root(Session("yarn", "/shared/")).startswith("/shared/rankloom-")
-    assert scratch_root(Session("local[2]", "/shared")).startswith("/shared/rankloom-")
-    assert "/rankloom-" in scratch_root(Session("local[2]"))
+    assert shared_root(Session("yarn", "/shared/")).startswith("/shared/rankloom-")
+    assert shared_root(Session("local[2]", "/shared")).startswith("/shared/rankloom-")
+    assert "/rankloom-" in shared_root(Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Session("local-cluster[2,1,1024]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_root(Session("yarn"))
+        shared_root(Session("yarn"))
