@@ -24,6 +24,9 @@ from rankloom.llm.windows import bucket_ids, first_least, pair_ids
 LENGTH = 200
 #: A task sorts this many entries at a time before it sends them on.
 FLUSH = 1_000_000
+#: Windows of a text whose buckets are made at a time, so that a very long text needs no more memory than its own bytes
+#: and those of a chunk. A run of windows that share a pointer ends with its chunk.
+CHUNK = 1 << 20
 #: Text bytes for each range of identifiers that one group sorts.
 RANGE_BYTES = 12 << 20
 
@@ -177,18 +180,23 @@ def _entries(key, ids, doc, of, at, extent) -> Entries:
     }
 
 
-def _runs(data: np.ndarray, doc: int | None, of: int, length: int) -> Entries | None:
-    """Runs of windows with one pointer: key is the pointer's bucket, id the bucket of all bytes of the run."""
+def _chunk(data: np.ndarray, start: int, size: int, length: int) -> np.ndarray:
+    """The bytes of the windows that start in the chunk of this size at start."""
+    return data[start : start + size + length - 1]
+
+
+def _runs(data: np.ndarray, start: int, doc: int | None, of: int, length: int) -> Entries:
+    """Runs of windows with one pointer: key is the pointer's bucket, id the bucket of all bytes of the run. data, at
+    least one window, is a chunk that lies at start of its text."""
     half = length // 2
-    if len(data) < length:
-        return None
     ids = bucket_ids(data, (half, length))
     pointer = first_least(ids[half], length - half + 1)
     first = np.flatnonzero(np.diff(pointer, prepend=-1))
     last = np.append(first[1:], len(pointer)) - 1
     full = ids[length]
     around = pair_ids(pair_ids(full[first], full[last]), (pointer[first] - first).astype(np.uint64))
-    return _entries(ids[half][pointer[first]], pair_ids(around, (last - first).astype(np.uint64)), doc, of, first, last - first)
+    runs = pair_ids(around, (last - first).astype(np.uint64))
+    return _entries(ids[half][pointer[first]], runs, doc, of, first + start, last - first)
 
 
 def _run_batches(buckets: int, length: int):
@@ -196,13 +204,13 @@ def _run_batches(buckets: int, length: int):
         parts, held = [], 0
         for batch in batches:
             for doc, of, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found = _runs(np.frombuffer(text.as_buffer(), np.uint8), doc.as_py(), of.as_py(), length)
-                if found is not None:
-                    parts.append(found)
-                    held += len(found["key"])
-                if held >= FLUSH:
-                    yield from _flushed(parts, buckets, True)
-                    parts, held = [], 0
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                for start in range(0, len(data) - length + 1, CHUNK):
+                    parts.append(_runs(_chunk(data, start, CHUNK, length), start, doc.as_py(), of.as_py(), length))
+                    held += len(parts[-1]["key"])
+                    if held >= FLUSH:
+                        yield from _flushed(parts, buckets, True)
+                        parts, held = [], 0
         if parts:
             yield from _flushed(parts, buckets, True)
 
@@ -216,18 +224,21 @@ def _window_batches(buckets: int, length: int):
         parts, held = [], 0
         for batch in batches:
             for doc, of, text, opened in zip(*(batch.column(i) for i in range(4)), strict=True):
-                full = bucket_ids(np.frombuffer(text.as_buffer(), np.uint8), (length,))[length]
-                runs = opened.as_py()
-                sizes = np.array([r["last"] - r["first"] + 1 for r in runs])
-                starts = np.array([r["first"] for r in runs])
-                key = np.array([r["key"] for r in runs], np.int64).view(np.uint64).repeat(sizes)
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts.repeat(sizes)
-                found = pair_ids(full[at], key)
-                parts.append(_entries(found, np.zeros_like(found), doc.as_py(), of.as_py(), at, np.zeros(len(at))))
-                held += len(at)
-                if held >= FLUSH:
-                    yield from _flushed(parts, buckets, False)
-                    parts, held = [], 0
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                first, last, key = (c.to_numpy() for c in opened.values.flatten())
+                chunk = first // CHUNK
+                for c in np.unique(chunk):
+                    here, start = chunk == c, int(c) * CHUNK
+                    full = bucket_ids(_chunk(data, start, CHUNK, length), (length,))[length]
+                    sizes = (last[here] - first[here] + 1).astype(np.int64)
+                    at = np.arange(sizes.sum()) + (first[here] - start - (np.cumsum(sizes) - sizes)).repeat(sizes)
+                    found = pair_ids(full[at], key[here].view(np.uint64).repeat(sizes))
+                    none = np.zeros(len(at))
+                    parts.append(_entries(found, np.zeros_like(found), doc.as_py(), of.as_py(), at + start, none))
+                    held += len(at)
+                    if held >= FLUSH:
+                        yield from _flushed(parts, buckets, False)
+                        parts, held = [], 0
         if parts:
             yield from _flushed(parts, buckets, False)
 
@@ -284,6 +295,8 @@ def repeated_windows(
     of docs counts as a text of its own, so an equal text under the same or a null id is a repetition. Ids are whole
     numbers of up to 64 bits. Strings are compared by 64-bit identifiers within buckets of 64-bit identifiers.
 
+    A text is read in chunks of windows, so a very long one costs its bytes and one chunk's buckets.
+
     Each task sorts its own entries first: of one identifier it sends one, and of one bucket two at most, so a passage in
     a third of all texts costs each receiving task a few entries for each sending task.
     """
@@ -307,20 +320,24 @@ def repeated_windows(
     )
 
 
+def _removed(spans: pa.ListScalar, length: int) -> tuple[list[int], list[int]]:
+    """Starts and ends (exclusive) of the maximal runs of bytes that the windows of spans cover."""
+    first, last = (c.to_numpy().astype(np.int64) for c in spans.values.flatten())
+    order = np.argsort(first, kind="stable")
+    first, ends = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.r_[True, first[1:] > ends[:-1]]
+    return first[new].tolist(), ends[np.r_[new[1:], True]].tolist()
+
+
 def _cut(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, spans in zip(*(batch.column(i) for i in range(3)), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                found = spans.as_py() or []
-                change = np.zeros(len(data) + 1, np.int32)
-                if found:
-                    np.add.at(change, [s["first"] for s in found], 1)
-                    np.add.at(change, [s["last"] + length for s in found], -1)
-                gone = np.cumsum(change[:-1]) > 0
-                starts = np.count_nonzero(gone[1:] & ~gone[:-1]) + (1 if len(gone) and gone[0] else 0)
-                rows.append((doc.as_py(), len(data), int(gone.sum()), int(starts), data[~gone].tobytes()))
+                data = memoryview(text.as_buffer())
+                starts, ends = _removed(spans, length) if spans.is_valid else ([], [])
+                kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True))
+                rows.append((doc.as_py(), len(data), len(data) - len(kept), len(starts), kept))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(

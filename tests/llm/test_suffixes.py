@@ -54,6 +54,12 @@ def test_small_flushes_and_many_tasks_give_the_same(make, monkeypatch):
     assert found(make(pairs).repartition(9), 64) == plain(pairs, 64)
 
 
+def test_chunks_of_a_text_give_the_same(make, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 70)
+    pairs = [(i, f"{prose(9, i)} {prose(40, i % 4)} {prose(9, i + 50)} {'xy' * (i % 3 * 60)}") for i in range(40)]
+    assert found(make(pairs).repartition(5), 64) == plain(pairs, 64)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab", min_size=0, max_size=90), min_size=1, max_size=12))
 def test_any_text(make, texts):
