@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
@@ -37,6 +39,12 @@ def near(prints):
     return [(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= 4) + i + 1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("aBÉ \n\t\r\x0b\x0c\x1f\xa0", max_size=60))
+def test_fingerprint_of_any_text(text):
+    assert fingerprint(text.encode()) == plain_print(text)
+
+
 def test_fingerprints_are_those_of_spark(spark):
     for text in ("", "one", "One two THREE", prose(30), "É é\xa0x\x0by z z z z z"):
         assert fingerprint(text.encode()) == plain_print(text)
