@@ -18,16 +18,22 @@ EVIDENCE = 200.0
 #: Pages that the level above weighs in a host's, domain's or suffix's prior.
 SMOOTHING = 8.0
 MOST_LANGUAGES = 256
+#: Bytes of a text whose trigrams are counted at a time.
+BLOCK = 1 << 20
 
 
-def _cells(text: bytes) -> np.ndarray:
-    """Cells of the byte trigrams of a text; lower-cased, spaces joined, one space at either end."""
+def _cell_counts(text: bytes) -> np.ndarray:
+    """How often each cell of byte trigrams occurs in a text; lower-cased, spaces joined, one space at either end.
+
+    Trigrams are counted in blocks, so a very long text costs its own bytes and one block.
+    """
     data = np.frombuffer(b" " + b" ".join(text.decode("utf-8", "replace").lower().encode().split()) + b" ", np.uint8)
-    if len(data) < 3:
-        return np.zeros(0, np.int64)
-    wide = data.astype(np.uint32)
-    code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
+    counts = np.zeros(CELLS, np.int64)
+    for start in range(0, len(data) - 2, BLOCK):
+        wide = data[start : start + BLOCK + 2].astype(np.uint32)
+        code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+        counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(19), minlength=CELLS)
+    return counts
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +43,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if lang not in counts:
                 counts[lang] = np.zeros(CELLS, np.int64)
-            counts[lang] += np.bincount(_cells(text.as_buffer().to_pybytes()), minlength=CELLS)
+            counts[lang] += _cell_counts(text.as_buffer().to_pybytes())
     for lang, found in counts.items():
         cells = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
@@ -75,9 +81,10 @@ def _scored(table: np.ndarray):
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                cells = _cells(text.as_buffer().to_pybytes())
-                total = table[:, cells].sum(axis=1) if len(cells) else np.zeros(len(table))
-                out.append((total * min(1.0, EVIDENCE / max(1, len(cells)))).tolist())
+                counts = _cell_counts(text.as_buffer().to_pybytes())
+                cells = np.flatnonzero(counts)
+                total = table[:, cells] @ counts[cells]
+                out.append((total * min(1.0, EVIDENCE / max(1, counts.sum()))).tolist())
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in keep], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "likelihood"]

@@ -2,9 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.llm import language
 from rankloom.llm.language import learn_languages, page_fields, page_languages
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,6 +24,15 @@ def judged(spark, model, rows):
     return {r["page_id"]: r for r in page_languages(pages, *model).collect()}
 
 
+def test_blocks_count_each_trigram_once(monkeypatch):
+    text = (EN + "  É " + FR).encode()
+    whole = language._cell_counts(text)
+    assert whole.sum() == len(b" ".join(text.decode().lower().encode().split()))
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert np.array_equal(language._cell_counts(text), whole)
+    assert language._cell_counts(b"").sum() == 0
+
+
 def test_text_decides_and_the_host_helps(spark, model):
     rows = [(i, "https://fr.site.org/x", f'<html lang="fr"><p>{FR}</p></html>') for i in range(30)]
     rows += [(100 + i, "https://en.site.com/x", f"<html lang=en><p>{EN}</p></html>") for i in range(30)]
