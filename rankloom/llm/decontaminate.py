@@ -178,10 +178,10 @@ def find_leaks(
     block_chars characters, one pass over the documents for each block, so a task never holds all of a large benchmark.
 
     Null and empty texts, and items under least_item characters in normal form, match nothing. Items without id are
-    reported with a null item_id. Repeated rows and null ids of docs are reported like others; other columns aren't read.
+    reported with a null item_id; items that repeat an id and a text are one, before anything reaches the driver. Repeated rows and null ids of docs are reported like others; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text")).filter(F.col("text") != "")
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), whole(F.col("text")).alias("text"))
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), whole(F.col("text")).alias("text")).distinct()
     total = tests.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

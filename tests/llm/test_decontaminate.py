@@ -49,7 +49,7 @@ def test_leaks(spark, make):
         *ODD,
     ]
     items = spark.createDataFrame(
-        [(1, item), (2, other), (3, ""), (4, None), (5, "short"), (None, prose(35, 17))], "item_id long, text string"
+        [(1, item), (2, other), (3, ""), (4, None), (5, "short"), (None, prose(35, 17)), (1, item)], "item_id long, text string"
     )
     for block in (10_000, 100):
         got = find_leaks(make(pairs, CLASHES), items, block_chars=block).collect()
