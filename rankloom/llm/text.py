@@ -8,7 +8,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space and U+0009 to U+000D.
@@ -161,6 +161,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with copy, the number of a row among those of equal key, from 0. No key's rows are brought together.
+
+    rows are stored with a column place, written from monotonically_increasing_id(). A row's number is that of the rows
+    which earlier tasks wrote, and its place among those of its own task. Where rows of equal key are equal, which of them
+    gets which number changes nothing, so reruns agree, however the rows lie.
+    """
+    rows = rows.withColumn("task", F.shiftright("place", 33))
+    before = Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "task").count()
+    counts = counts.select(key, "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
+    own = F.row_number().over(Window.partitionBy(key, "task").orderBy("place"))
+    return rows.join(counts, [key, "task"]).withColumn("copy", F.col("earlier") + own - 1).drop("task", "earlier", "place")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, by checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)

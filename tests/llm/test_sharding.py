@@ -3,7 +3,10 @@
 import zlib
 from collections import Counter, defaultdict
 
-from rankloom.llm.sharding import shards_digest, shuffle_shards, write_shards
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.llm.sharding import bucketed, shards_digest, shuffle_shards, write_shards
 from tests.llm.conftest import CLASHES, ODD, prose
 
 
@@ -39,5 +42,25 @@ def test_written_shards_hold_the_records_in_order(spark, make, tmp_path):
     assert back.drop("_shard", "_slot").exceptAll(docs).count() == 0 and back.count() == 300
 
 
+def test_rows_of_one_id_spread_over_their_shard(make):
+    pairs = [(i, prose(20, i)) for i in range(400)] + [(7_000, prose(20, 1000 + i)) for i in range(200)]
+    rows = shards_digest(shuffle_shards(make(pairs), shards=1, bucket_bytes=2000)).collect()
+    slots = [r["slot"] for r in rows if r["doc_id"] == 7_000]
+    assert len(slots) == 200 and max(slots) - min(slots) > 500
+
+
+@pytest.mark.parametrize("key", [7_000, None])
+def test_equal_rows_spread_over_their_shard(spark, key):
+    pairs = [(i, prose(20, i)) for i in range(400)] + [(key, prose(20, 1000))] * 200
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    rows = [shards_digest(shuffle_shards(x, 1, bucket_bytes=2000)).collect() for x in (docs, docs.repartition(5))]
+    slots = [r["slot"] for r in rows[0] if r["doc_id"] == key]
+    assert len(slots) == 200 and max(slots) - min(slots) > 500
+    assert sorted(r["slot"] for r in rows[0]) == list(range(600))
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1]))
+    buckets, _ = bucketed(docs, 1, "doc_id", "text", 20240, 2000, 8)
+    assert max(r["bytes"] for r in buckets.groupBy("bucket").agg(F.sum(F.length("record.text")).alias("bytes")).collect()) < 8000
+
+
 def test_empty_table(make):
     assert shards_digest(shuffle_shards(make([]))).count() == 0
