@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.text import stored, whole
+from rankloom.llm.text import numbered, stored, whole
 
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: Pieces that one group packs; groups are drawn by hash.
@@ -74,6 +74,19 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) ->
     return best[1] if best else ([], [], [])
 
 
+def drawn(pieces: DataFrame, groups: int, group_pieces: int) -> DataFrame:
+    """pieces with pack, the group that each is drawn into; equal pieces of an over-full group are drawn by number too."""
+    rows = pieces.withColumn("pack", F.pmod("draw", F.lit(groups)).cast("int"))
+    over = stored(rows.groupBy("pack").count().filter(F.col("count") > 2 * group_pieces).select("pack"))
+    if over.isEmpty():
+        return rows.drop("place")
+    again = F.pmod(F.xxhash64("draw", "copy"), F.lit(groups)).cast("int")
+    spread = numbered(rows.join(F.broadcast(over), "pack", "left_semi"), "draw")
+    spread = spread.withColumn("pack", F.when(F.col("copy") == 0, F.col("pack")).otherwise(again))
+    rest = rows.join(F.broadcast(over), "pack", "left_anti").drop("place")
+    return rest.unionByName(spread.select(*rest.columns))
+
+
 def pack_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -88,8 +101,8 @@ def pack_documents(
     a sequence, capacity is its length, position the piece's place in it. Every token of every row lies in one place.
 
     Pieces are drawn into groups by hash and each group is packed by itself; groups hold some group_pieces pieces, so
-    what is lost against one packing of all is less than a sequence of each size for each group. Null ids and repeated
-    rows are drawn by their text's hash too and are packed like others. An empty table gives no rows.
+    what is lost against one packing of all is less than a sequence of each size for each group. Pieces of null ids and
+    repeated rows have equal draws; where they would fill a group to more than twice that, each is drawn by its number too. An empty table gives no rows.
     """
     top = max(capacities)
     text = whole(F.col("text"))
@@ -109,6 +122,7 @@ def pack_documents(
             (F.col("piece") * top).cast("long").alias("start"),
             F.least(F.lit(top).cast("long"), F.col("tokens") - F.col("piece") * top).cast("int").alias("length"),
             F.xxhash64("draw", "piece").alias("draw"),
+            F.monotonically_increasing_id().alias("place"),
         )
     )
     groups = max(1, math.ceil(pieces.count() / group_pieces))
@@ -126,7 +140,7 @@ def pack_documents(
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return (
-        pieces.withColumn("pack", F.pmod("draw", F.lit(groups)).cast("int"))
+        drawn(pieces, groups, group_pieces)
         .groupBy("pack")
         .applyInArrow(
             packed,

@@ -1,7 +1,8 @@
 """Packing: every token once, no overlap, no bin larger than it need be."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,5 +48,14 @@ def test_all_rows_are_placed_once(make):
     assert long == [(k, 8192 * k) for k in range(len(long))] and len(long) > 1
 
 
+@pytest.mark.parametrize("repeat", [(7, "same text"), (None, "same text"), (None, None)])
+def test_repeated_rows_spread_over_packs(spark, repeat):
+    pairs = [(i, "x" * (i % 50)) for i in range(400)] + [repeat] * 200
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    rows = [pack_documents(x, group_pieces=30).collect() for x in (docs, docs.repartition(5))]
+    assert len(rows[0]) == 600 and max(Counter(r["pack"] for r in rows[0]).values()) <= 60
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1]))
+
+
 def test_empty_table(make):
     assert pack_documents(make([])).count() == 0
