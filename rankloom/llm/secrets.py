@@ -28,7 +28,7 @@ SCALE = 1 << 20
 #: Running sums are taken in blocks, so that very many finds in one text stay cheap.
 BLOCK = 256
 
-#: Strings that look random and are no secrets. A candidate that matches one gives no entropy span.
+#: Strings that look random and are no secrets. One from ^ to $ clears a whole candidate, others what they match in it.
 ALLOWED = (
     r"^[A-Za-z]+$",  # a long word
     r"^[A-Za-z]+([_=/+-]+[A-Za-z]+)+[_=/+-]*$",  # names and paths made of words
@@ -154,8 +154,10 @@ def find_secrets(
     """One row for each row of docs: doc_id and spans, an array of (start, kind, end) by start, then kind.
 
     kind is a place in KINDS. Base spans are the whole matches of the three patterns that are long enough. An entropy
-    span is a run of at least window characters of the alphabet which no allow-list pattern matches and in which some
-    window reaches the entropy of the run's character class.
+    span is a run of at least window characters of the alphabet in which some window reaches the entropy of its stretch's
+    character class. Stretches are what is left of a run when the matches of the allow-list are cut out, one pattern
+    after the other; an allow-list pattern from ^ to $ drops a whole run or stretch. So a name or a rule beside a secret
+    doesn't hide it.
 
     A null text counts as empty and gives an empty array; so does an empty text. Repeated rows and null ids give a row
     each. Other columns of docs are not read, so their names don't matter. A long text costs time in proportion.
@@ -168,16 +170,33 @@ def find_secrets(
             spans, lambda x: F.struct(x["start"].alias("start"), kind[name].alias("kind"), x["end"].alias("end"))
         )
 
-    def suspicious(x: Column) -> Column:
-        value, ok = x["value"], F.lit(False)
-        for pattern in allowed:
+    whole_run = [p for p in allowed if p.startswith("^") and p.endswith("$")]
+
+    def cleared(value: Column) -> Column:
+        ok = F.lit(False)
+        for pattern in whole_run:
             ok = ok | F.regexp_like(value, F.lit(pattern))
+        return ok
+
+    def cut_out(stretches: Column, pattern: str) -> Column:
+        return F.flatten(F.transform(stretches, lambda s: F.split(s, pattern)))
+
+    def random(value: Column) -> Column:
         most = F.lit(-1).cast("long")
         for c in reversed(classes):
             fits = F.regexp_like(value, F.lit(f"^[{c.characters}]+$"))
             most = F.when(fits, F.lit(most_units(c.bits, window)).cast("long")).otherwise(most)
         codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
-        return F.when(ok, F.lit(False)).otherwise(_best_window(codes, window) <= most)
+        return F.when((F.length(value) < window) | cleared(value), F.lit(False)).otherwise(
+            _best_window(codes, window) <= most
+        )
+
+    def suspicious(x: Column) -> Column:
+        stretches = F.array(x["value"])
+        for pattern in allowed:
+            if pattern not in whole_run:
+                stretches = cut_out(stretches, pattern)
+        return F.when(cleared(x["value"]), F.lit(False)).otherwise(F.exists(stretches, random))
 
     candidates = _found(text, r"[A-Za-z0-9+/_=-]{%d,}" % window)
     return docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text")).select(

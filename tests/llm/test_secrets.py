@@ -68,5 +68,16 @@ def test_any_text(make, texts):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def test_a_name_beside_a_secret_does_not_hide_it(make):
+    secret = "x9K2mQ7pL4vT8nB3wR6zJ5cY1hD0fG8sE2aU7iO4"
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ"
+    hidden = [f"sample_session={secret}", f"/example/{secret}", key, f"{secret}/00000", f"======={secret}"]
+    clear = ["example_of_a_long_name_made_of_words", "sample-20240101123456789012", "EXAMPLE" * 9, "x9K2mQ7pL4sampleT8nB3wR6zJ", "=" * 40]
+    clear += ["dummy550e8400-e29b-41d4-a716-446655440000"]
+    found = find_secrets(make(list(enumerate(hidden + clear)))).collect()
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in found}
+    assert got == {i: [(0, len(t))] if i < len(hidden) else [] for i, t in enumerate(hidden + clear)}
+
+
 def test_empty_table(make):
     assert secrets_digest(find_secrets(make([]))).count() == 0
