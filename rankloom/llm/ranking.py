@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -44,9 +45,10 @@ def learn_ranking(
 ) -> Model:
     """Fit on preference pairs: a row of label 1 is preferred to a row of label 0.
 
-    stats is the result of text_stats, labels has doc_id and quality. At most about max_rows labelled rows are fitted,
-    chosen by a hash of the id; the bound is for fitting only. Each row of label 1 meets `partners` rows of label 0,
-    drawn by hash, and the pair's feature difference is an example of logistic loss without intercept, every other one
+    stats is the result of text_stats, labels has doc_id and quality. At most about max_rows labelled ids are fitted,
+    chosen by a hash of the id, neither label pushed out by the other; the bound is for fitting only. Steps, threshold,
+    scale and shares are counted over all labelled rows. Each row of label 1 meets `partners` rows of label 0, drawn by
+    hash from all that are fitted, and the pair's feature difference is an example of logistic loss without intercept, every other one
     turned round. Thresholding: the raw score above which the share of training rows equals the share of label 1.
 
     Held-out rows, null ids, labels that are neither 0 nor 1 take no part. Without rows of both labels the model has no
@@ -58,12 +60,8 @@ def learn_ranking(
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
     )
-    share = F.lit(min(1.0, max_rows / max(1, labelled.count())))
-    bucket = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     train = stored(
-        stats.join(labelled.filter(bucket < share), "doc_id").select(
-            "doc_id", "quality", *[c.alias(n) for n, c in values.items()]
-        )
+        stats.join(labelled, "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in values.items()])
     )
     seen = train.agg(
         F.count_if(F.col("quality") == 1).alias("n1"),
@@ -74,24 +72,28 @@ def learn_ranking(
         return Model({}, 0.0, 1.0)
     knots = {n: sorted(set(seen[n])) for n in values}
     steps = F.array(*[(F.col(n) > F.lit(t)).cast("double") for n in values for t in knots[n]])
-    rows = train.select("doc_id", "quality", steps.alias("x"))
-    # Rows of label 0 are numbered within 64 groups, and a row of label 1 draws a group and a number.
+    # Only the fit is bounded: each label may fill half of max_rows, and what the other leaves free.
+    ids = {r["quality"]: r["ids"] for r in train.groupBy("quality").agg(F.count_distinct("doc_id").alias("ids")).collect()}
+    share = {q: min(1.0, max(max_rows / 2, max_rows - ids[1 - q]) / ids[q]) for q in (0, 1)}
+    bucket = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = train.filter(bucket < F.when(F.col("quality") == 0, share[0]).otherwise(share[1]))
+    rows = stored(sample.select("doc_id", "quality", steps.alias("x")))
+    # Rows of label 0 are numbered within 64 groups, then over the groups, and a row of label 1 draws a number.
     group = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(64)).cast("int")
-    worse = (
-        rows.filter("quality = 0")
-        .withColumn("group", group)
-        .withColumn("number", F.row_number().over(Window.partitionBy("group").orderBy("doc_id")) - 1)
-        .select("group", "number", F.col("x").alias("low"))
+    zeros = rows.filter("quality = 0").withColumn("group", group)
+    sizes = {r["group"]: r["count"] for r in zeros.groupBy("group").count().collect()}
+    heads = list(accumulate([sizes.get(g, 0) for g in range(64)], initial=0))
+    own = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "x")) - 1
+    worse = zeros.select(
+        (F.get(F.array(*[F.lit(h) for h in heads]), F.col("group")) + own).cast("long").alias("number"),
+        F.col("x").alias("low"),
     )
-    sizes = F.broadcast(worse.groupBy("group").agg(F.count("*").alias("size")))
     draw = F.xxhash64(F.lit(12), F.col("doc_id"), F.col("turn"))
     pairs = (
         rows.filter("quality = 1")
         .withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(partners))))
-        .withColumn("group", F.pmod(draw, F.lit(64)).cast("int"))
-        .join(sizes, "group")
-        .withColumn("number", F.pmod(F.xxhash64(F.lit(13), "doc_id", "turn"), F.col("size")).cast("int"))
-        .join(worse, ["group", "number"])
+        .withColumn("number", F.pmod(draw, F.lit(heads[-1]).cast("long")))
+        .join(worse, "number")
         .withColumn("side", F.when(F.col("turn") % 2 == 0, 1.0).otherwise(-1.0))
         .select(
             F.when(F.col("side") > 0, 1.0).otherwise(0.0).alias("label"),

@@ -126,6 +126,25 @@ def test_held_out_labels_change_nothing(spark, make):
     assert scores[0] == scores[1]
 
 
+def test_only_the_fit_is_sampled(spark, make):
+    docs, labels = labelled(spark, make)
+    stats = stored(text_stats(docs))
+    few, every = learn_ranking(stats, labels, max_rows=30), learn_ranking(stats, labels)
+    assert {n: [t for t, _ in x] for n, x in few.steps.items()} == {n: [t for t, _ in x] for n, x in every.steps.items()}
+    rows = ranked(stats, few).join(labels.filter("quality in (0, 1)"), "doc_id").filter("not held_out").collect()
+    share = sum(r["quality"] == 0 for r in rows) / len(rows)
+    assert abs(sum(r["predicted"] == 0 for r in rows) / len(rows) - share) <= 0.03
+
+
+def test_every_draw_meets_a_row(spark, make):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:5]
+    pairs = [(i, prose(80 + i, i + 1)) for i in ids[1:]] + [(ids[0], prose(90, 3).upper())]
+    stats = stored(text_stats(make(pairs)))
+    labels = spark.createDataFrame([(i, int(i != ids[0])) for i in ids], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in ranked(stats, learn_ranking(stats, labels)).collect()}
+    assert got == {i: int(i != ids[0]) for i in ids}
+
+
 def test_ranking_without_labels(spark, make):
     stats = text_stats(make(ODD, CLASHES))
     model = learn_ranking(stats, spark.createDataFrame([(5, 1)], "doc_id long, quality int"))
