@@ -27,11 +27,15 @@ def normal(text: str) -> str:
 
 @dataclass(frozen=True)
 class Item:
-    """A test item. Its budget of errors is a share of its length; it has one piece more than errors."""
+    """A test item. Its budget of errors is a share of its length; it has one piece more than errors.
+
+    A short item is found as it is or not at all, and only where no word runs on beyond it.
+    """
 
     item_id: int
     text: str
     errors: int
+    short: bool = False
 
     def pieces(self) -> Iterator[tuple[int, str]]:
         n, parts = len(self.text), self.errors + 1
@@ -55,6 +59,12 @@ def _masks(pattern: str) -> dict[str, int]:
     return out
 
 
+def _at_word_bounds(text: str, start: int, end: int) -> bool:
+    """Whether neither end of a place lies within a run of letters and digits."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not before and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def myers(masks: dict[str, int], size: int, text: str, from_start: bool = False) -> tuple[int, int]:
     """Least edit distance of a pattern to a string of text that ends anywhere, and its end (the first of equals).
 
@@ -93,7 +103,10 @@ def matches(text: str, items: list[Item], finder: ahocorasick.Automaton | None)
     places: dict[int, set[int]] = {}
     for last, (length, uses) in finder.iter(text):
         for item, offset in uses:
-            places.setdefault(item, set()).add(last + 1 - length - offset)
+            if not items[item].short:
+                places.setdefault(item, set()).add(last + 1 - length - offset)
+            elif item not in places and _at_word_bounds(text, last + 1 - length, last + 1):
+                places[item] = {last + 1 - length}
     for number, found in sorted(places.items()):
         item = items[number]
         size, slack = len(item.text), item.errors
@@ -139,7 +152,7 @@ def _finder(items: list[Item]) -> ahocorasick.Automaton | None:
     return finder
 
 
-def _searched(rows: list[tuple[int, str, int]]):
+def _searched(rows: list[tuple[int, str, int, bool]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [Item(*row) for row in rows]
         finder = _finder(items)
@@ -177,7 +190,8 @@ def find_leaks(
     least distance and then the first place. Items have item_id and text. They are taken to the tasks in blocks of about
     block_chars characters, one pass over the documents for each block, so a task never holds all of a large benchmark.
 
-    Null and empty texts, and items under least_item characters in normal form, match nothing. Items without id are
+    Items under least_item characters in normal form are searched without errors, at word bounds: neither end may lie
+    within a run of letters and digits. Null and empty texts and items match nothing. Items without id are
     reported with a null item_id; items that repeat an id and a text are one, before anything reaches the driver. Repeated rows and null ids of docs are reported like others; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text")).filter(F.col("text") != "")
@@ -192,7 +206,8 @@ def find_leaks(
     out: DataFrame | None = None
     for block in range(blocks):
         normals = [(r["item_id"], normal(r["text"])) for r in tests.filter(of == block).toLocalIterator()]
-        held = sorted({(i, t, int(len(t) * error_rate)) for i, t in normals if len(t) >= least_item}, key=str)
+        sized = ((i, t, len(t) < least_item) for i, t in normals if t)
+        held = sorted({(i, t, 0 if short else int(len(t) * error_rate), short) for i, t, short in sized}, key=str)
         found = rows.mapInArrow(_searched(held), schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -60,6 +60,16 @@ def test_leaks(spark, make):
     assert 0 < next(r for r in got if r["doc_id"] == 11)["distance"] <= int(0.08 * len(item))
 
 
+def test_short_items_are_found_at_word_bounds(spark, make):
+    pairs = [(1, "The answer:\n FORTY  two."), (2, "forty twos"), (3, "x-forty two"), (4, "afforty two, forty two"), (5, "forti two")]
+    items = spark.createDataFrame([(1, "Forty two"), (2, "?"), (3, "who wrote the odyssey?"), (4, " ")], "item_id long, text string")
+    more = [(6, "So: who wrote the odyssey?Homer"), (7, "who wrote the odyssex?")]
+    got = find_leaks(make(pairs + more), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["first"], r["last"]) for r in got) == [
+        (1, 1, 0, 12, 21), (3, 1, 0, 2, 11), (4, 1, 0, 13, 22), (6, 2, 0, 25, 26), (6, 3, 0, 4, 26), (7, 2, 0, 21, 22)
+    ]
+
+
 def test_empty_tables(spark, make):
     items = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(make(ODD), items).count() == 0
