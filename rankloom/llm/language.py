@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ CELLS = 1 << 13
 EVIDENCE = 200.0
 #: Pages that the level above weighs in a host's, domain's or suffix's prior.
 SMOOTHING = 8.0
-MOST_LANGUAGES = 256
+#: Languages whose cells are held in memory at a time; pages are read once for each such block.
+BLOCK_LANGUAGES = 256
 #: Bytes of a text whose trigrams are counted at a time.
 BLOCK = 1 << 20
 
@@ -37,13 +39,20 @@ def _cell_counts(text: bytes) -> np.ndarray:
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of each language in this task: one row for each cell that occurs."""
+    """Trigram counts of each language in this task: a row for each cell that occurs, again after each BLOCK_LANGUAGES."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if lang not in counts:
+                if len(counts) == BLOCK_LANGUAGES:
+                    yield from _cell_rows(counts)
+                    counts = {}
                 counts[lang] = np.zeros(CELLS, np.int64)
             counts[lang] += _cell_counts(text.as_buffer().to_pybytes())
+    yield from _cell_rows(counts)
+
+
+def _cell_rows(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, found in counts.items():
         cells = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
@@ -52,11 +61,33 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+@dataclass(frozen=True)
+class Cells:
+    """Cell counts of very many languages in the shared folder, from which tables are made for a block at a time."""
+
+    counts: DataFrame
+    langs: list[str]
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for start in range(0, len(self.langs), BLOCK_LANGUAGES):
+            yield _table(self.counts, self.langs[start : start + BLOCK_LANGUAGES])
+
+
+def _table(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    place = {lang: i for i, lang in enumerate(langs)}
+    table = np.full((len(langs), CELLS), 0.5)
+    for row in counts.filter(F.col("lang").isin(langs)).toLocalIterator():
+        table[place[row["lang"]], row["cell"]] += row["n"]
+    return np.log(table / table.sum(axis=1, keepdims=True))
+
+
+def learn_any_languages(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
+) -> tuple[list[str], np.ndarray | Cells]:
     """The languages in order, and the log probability of each trigram cell in each of them (add-half smoothing).
 
-    Counts cover every row of docs that has a text and a language. The model has CELLS numbers for each language and
-    MOST_LANGUAGES languages at most, whatever the number of rows; more is an error.
+    Counts cover every row of docs that has a text and a language; without any there are no languages. The table has
+    CELLS numbers for each language; beyond BLOCK_LANGUAGES it is left in the shared folder and read in blocks.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & (F.col("text") != "")
@@ -65,18 +96,23 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
         _counted, "lang string, cell int, n long"
     )
     summed = stored(counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    langs = sorted(r["lang"] for r in summed.select("lang").distinct().toLocalIterator())
+    return langs, _table(summed, langs) if len(langs) <= BLOCK_LANGUAGES else Cells(summed, langs)
+
+
+def learn_languages(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
+) -> tuple[list[str], np.ndarray | Cells]:
+    """As learn_any_languages, but labelled text is required."""
+    langs, table = learn_any_languages(docs, text_col, lang_col)
     if not langs:
         raise ValueError("no labelled text to learn from")
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.full((len(langs), CELLS), 0.5)
-    for row in summed.toLocalIterator():
-        table[langs.index(row["lang"]), row["cell"]] += row["n"]
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    return langs, table
 
 
-def _scored(table: np.ndarray):
+def _scored(table: np.ndarray, name: str, last: bool):
+    """Adds the likelihoods of the table's languages under this name; the text goes with the last block."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -85,14 +121,19 @@ def _scored(table: np.ndarray):
                 cells = np.flatnonzero(counts)
                 total = table[:, cells] @ counts[cells]
                 out.append((total * min(1.0, EVIDENCE / max(1, counts.sum()))).tolist())
-            keep = [n for n in batch.schema.names if n != "text"]
+            keep = [n for n in batch.schema.names if n != "text" or not last]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in keep], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "likelihood"]
+                [*[batch.column(n) for n in keep], pa.array(out, pa.list_(pa.float64()))], names=[*keep, name]
             )
 
     return run
 
 
+def _with_likelihood(rows: DataFrame, table: np.ndarray, name: str, last: bool) -> DataFrame:
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or not last]
+    return rows.mapInArrow(_scored(table, name, last), ", ".join([*kinds, f"{name} array<double>"]))
+
+
 def visible_text(html: Column) -> Column:
     """The text between tags; scripts, styles, comments and character references go."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
@@ -117,7 +158,7 @@ def page_fields(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 def page_languages(
     pages: DataFrame,
     langs: list[str],
-    table: np.ndarray,
+    table: np.ndarray | Cells,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -131,29 +172,44 @@ def page_languages(
     all pages'; a page's own vote is left out at every level. All counts are grouped aggregates, joined back by key.
 
     A null or empty page has no text evidence: its text_lang is null and it casts no vote, and its host decides. A
-    missing address or declaration is a value of its own. Repeated rows each count. An empty table gives no rows.
+    missing address or declaration is a value of its own. Repeated rows each count. An empty table gives no rows. Without
+    languages every page has a null lang, posterior and text_lang. Any number of languages is scored, in blocks; a page
+    has one number for each of them.
     """
     n = len(langs)
     every = F.sequence(F.lit(0), F.lit(n - 1))
     raw = pages.select(F.col(id_col).alias("page_id"), F.struct("*").alias("page"))
     fields = page_fields(pages, f"page.{url_col}", f"page.{html_col}")
     rows = raw.select("page_id", *[c.alias(k) for k, c in fields.items() if k != "text"], fields["text"].cast("binary").alias("text"))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    scored = rows.mapInArrow(
-        _scored(table),
-        f"page_id {kind}, declared string, host string, domain string, suffix string, likelihood array<double>",
-    )
+    said_fields = [c for c in rows.columns if c != "text"]
+    if not n:
+        nulls = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"))]
+        return rows.select("page_id", *nulls, *[F.nullif(c, F.lit("")).alias(c) for c in ("declared", "host")])
+    if isinstance(table, np.ndarray):
+        scored = _with_likelihood(rows, table, "likelihood", True)
+    else:
+        names = [f"likelihood_{i}" for i in range(0, n, BLOCK_LANGUAGES)]
+        scored = rows
+        for name, block in zip(names, table.blocks(), strict=True):
+            scored = stored(_with_likelihood(scored, block, name, name == names[-1]))
+        scored = scored.select(*said_fields, F.concat(*names).alias("likelihood"))
     best = F.when(
         F.array_max("likelihood") < 0, F.array_position("likelihood", F.array_max("likelihood")).cast("int") - 1
     )
     voted = stored(scored.withColumn("vote", best))
 
     def counted(*keys: str) -> DataFrame:
+        if n > BLOCK_LANGUAGES:  # too many for an expression each
+            votes = voted.groupBy(*keys, "vote").agg(F.count("vote").alias("n"))
+            entries = F.collect_list(F.when(F.col("vote").isNotNull(), F.struct("vote", "n")))
+            known_votes = votes.groupBy(*keys).agg(F.map_from_entries(entries).alias("votes"))
+            filled = F.transform(every, lambda i: F.coalesce(F.try_element_at("votes", i), F.lit(0).cast("long")))
+            return known_votes.select(*keys, filled.alias(f"by_{keys[-1]}"))
         counts = [F.count_if(F.col("vote") == i) for i in range(n)]
         return voted.groupBy(*keys).agg(F.array(*counts).alias(f"by_{keys[-1]}"))
 
-    overall = voted.agg(F.array(*[F.count_if(F.col("vote") == i) for i in range(n)])).first()[0]
-    known = F.array(*[F.lit(int(c)).cast("long") for c in overall])
+    votes_for = {r["vote"]: r["count"] for r in voted.groupBy("vote").count().collect()}
+    known = F.array(*[F.lit(votes_for.get(i, 0)).cast("long") for i in range(n)])
     hosts = stored(
         counted("suffix", "domain", "host")
         .join(counted("suffix", "domain"), ["suffix", "domain"])

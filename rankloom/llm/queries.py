@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import oracles
 from rankloom.llm.decontaminate import find_leaks
-from rankloom.llm.language import learn_languages, page_languages
+from rankloom.llm.language import learn_any_languages, page_languages
 from rankloom.llm.lines import apply_line_bitmaps, line_keep_bitmaps, lines_digest
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.ranking import learn_ranking, ranked
@@ -46,7 +46,7 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    langs, likelihoods = learn_languages(table(spark, folder, "documents"))
+    langs, likelihoods = learn_any_languages(table(spark, folder, "documents"))
     return page_languages(table(spark, folder, "pages"), langs, likelihoods)
 
 

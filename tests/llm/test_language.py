@@ -77,6 +77,29 @@ def test_no_labelled_text(spark):
         learn_languages(spark.createDataFrame([], "text string, lang string"))
 
 
+def test_pages_without_labelled_text_have_no_language(spark):
+    model = language.learn_any_languages(spark.createDataFrame([("x", None)], "text string, lang string"))
+    got = judged(spark, model, [(1, "https://a.org/x", f"<html lang=en>{EN}"), (2, None, None)])
+    assert [tuple(got[i]) for i in (1, 2)] == [(1, None, None, None, "en", "a.org"), (2, None, None, None, None, None)]
+
+
+def test_blocks_of_languages_give_the_same(spark, monkeypatch):
+    rows = [(f"{EN} {i * 'q'}", f"en-{i}") for i in range(5)] + [(FR, "fr")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    pages = [(i, f"https://{'fr' if i % 3 else 'en'}.org", FR if i % 3 else EN) for i in range(20)] + [(50, None, None), (51, "https://fr.org", "")]
+    whole = judged(spark, learn_languages(docs), pages)
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 4)
+    model = learn_languages(docs)
+    assert isinstance(model[1], language.Cells) and judged(spark, model, pages) == whole
+
+
+def test_more_languages_than_a_block(spark):
+    rows = [(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{i} " * 20, f"l{i:03}") for i in range(300)]
+    model = learn_languages(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+    got = judged(spark, model, [(i, None, rows[i][0]) for i in (0, 100, 299)])
+    assert {i: r["text_lang"] for i, r in got.items()} == {i: f"l{i:03}" for i in (0, 100, 299)}
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
