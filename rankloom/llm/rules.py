@@ -63,7 +63,6 @@ def _thresholds(rows: DataFrame, names: Sequence[str]) -> dict[str, list[float]]
 def learn_rules(
     stats: DataFrame,
     labels: DataFrame,
-    max_rules: int = 8,
     max_conditions: int = 3,
     least_precision: float = 0.9,
     least_support: int = 5,
@@ -73,7 +72,7 @@ def learn_rules(
     stats is the result of text_stats, labels has doc_id and quality (0 or 1). Growing adds the threshold that gains most
     (FOIL's gain) until no row of label 1 is left; pruning cuts the rule to the prefix that is best on the other third,
     where (p - n) / (p + n) is largest. Rows that a rule covers leave, and the next rule is grown. Learning ends when a
-    rule isn't precise enough on the rows it was pruned on, or covers too few.
+    rule isn't precise enough on the rows it was pruned on, or covers too few; as each rule covers new rows, it does end.
 
     All counts are grouped aggregates: a step sends two counts for each feature and bin to the driver, whatever the number
     of rows. Rows without label or id take no part. Without labels of both kinds there are no rules.
@@ -135,7 +134,7 @@ def learn_rules(
 
     rules: list[Rule] = []
     left = F.lit(True)
-    while len(rules) < max_rules:
+    while True:
         rule: list[Condition] = []
         while len(rule) < max_conditions:
             step = best(left & F.col("grow") & _all(rule, values))

@@ -76,6 +76,17 @@ def test_learned_rules_reject_what_is_labelled_so(spark, make):
     assert all(kept[i] for i in range(300)) and kept[5000] and not kept[5001]
 
 
+def test_rules_cover_more_than_eight_kinds(spark):
+    """Bad rows lie in ten bands of length between eleven bands of good ones."""
+    bands = [(100 + 50 * k, 1 - k % 2) for k in range(21)]
+    rows = [(100 * k + i, words, q) for k, (words, q) in enumerate(bands) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, n_words long, quality int")
+    stats = stored(table.selectExpr("doc_id", *[c if c == "n_words" else f"0L as {c}" for c in COUNTS]))
+    rules = learn_rules(stats, table.select("doc_id", "quality"))
+    wrong = judged(stats, rules).join(table.select("doc_id", "quality"), "doc_id").filter("kept <> (quality = 1)")
+    assert len(rules) == 10 and wrong.count() == 0
+
+
 def test_rules_need_labels_of_both_kinds(spark, make):
     stats = text_stats(make(ODD))
     for rows in ([], [(5, 1), (6, 1)], [(None, 0)]):
