@@ -11,6 +11,7 @@ from rankloom.llm.decontaminate import find_leaks
 from rankloom.llm.language import learn_any_languages, page_languages
 from rankloom.llm.lines import apply_line_bitmaps, line_keep_bitmaps, lines_digest
 from rankloom.llm.packing import pack_documents
+from rankloom.llm.pieces import decode_pieces, encode_pieces, pieces_digest
 from rankloom.llm.ranking import learn_ranking, ranked
 from rankloom.llm.rules import judged, learn_rules
 from rankloom.llm.secrets import find_secrets, secrets_digest
@@ -71,6 +72,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(stats, learn_ranking(stats, table(spark, folder, "labels")))
 
 
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces_digest(decode_pieces(encode_pieces(table(spark, folder, "documents"), model), model))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_simhash_near_dedup,
         op10_quality_classifier,
+        op13_sentencepiece,
         pipeline,
     )
 }

@@ -7,6 +7,7 @@ import shutil
 import string
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,13 +144,24 @@ def features() -> dict[str, Column]:
     }
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this process for local sessions without a setting; it is removed at exit."""
+    base = tempfile.mkdtemp(prefix="rankloom-")
+    atexit.register(shutil.rmtree, base, True)
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset (tests), below a folder removed at exit."""
+    """A new folder name below spark.checkpoint.dir, the folder that all executors share.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="rankloom-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
