@@ -2,6 +2,10 @@
 
 Adjacent symbols merge in the order of an agenda: the pair whose joined piece has the highest score is merged first, the
 leftmost of equals, until no adjacent pair is a piece. Characters that are no piece become byte pieces.
+
+Texts are cut between characters that no piece holds side by side, as before a space after a letter, and the distinct
+segments of an Arrow batch are encoded once. Short segments have their agendas as rows of one matrix of ranks:
+each step merges the least pair of every row. Long segments and those with unknown characters have a heap each.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +29,13 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES_FIELD, TRAINER_FIELD, NORMALIZER_FIELD = 1, 2, 3
 MODEL_TYPE_BPE = 2
 
-#: Segments that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 17, 48
+#: Characters of a segment whose agenda is a row of a matrix; rows of a matrix.
+WIDTHS, ROWS = (8, 16, 32), 1 << 14
 #: Characters of a part of a long text, and of the texts that are worked on together.
-PART, TOGETHER = 1 << 20, 1 << 22
+PART, TOGETHER = 1 << 20, 1 << 23
+#: Segments in a text that the library encodes to check them.
+CHECKED = 64
+_NONE = np.int64(1) << 40
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,37 +107,156 @@ class PieceModel:
         self.unknown_surface = _text(trainer.get(44), " ⁇ ")
         #: Two neighbours that no piece holds side by side can never be merged over, so texts may be cut between them.
         self.joined = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
-        apart = not any(pair[1] == MARK and pair[0] != MARK for pair in self.joined)
-        alone = "" if any("\n" in pair for pair in self.joined) else "\n"
-        self.segment = (
-            re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
-            if apart
-            else re.compile("(?s).+")
-        )
-        self.apart = apart
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, without begin and end."""
-        if not text:
-            return np.zeros(0, "<u4")
-        marked = text.replace(" ", MARK)
-        if self.dummy_prefix:
-            marked = MARK + marked
-        found = [self.recent.get(part) or self._known(part) for part in self.segment.findall(marked)]
-        return np.frombuffer(b"".join(found), "<u4")
-
-    def _known(self, segment: str) -> bytes:
-        """The ids of a segment. The last REMEMBERED short segments or more, twice that at most, are kept."""
-        ids = self.older.get(segment)
-        if ids is None:
-            ids = np.array(self._segment(segment), "<u4").tobytes()
-        if len(segment) <= LONGEST:
-            if len(self.recent) >= REMEMBERED:
-                self.older, self.recent = self.recent, {}
-            self.recent[segment] = ids
-        return ids
+        if not self.dummy_prefix or any(p[1] == MARK != p[0] or "\n" in p for p in self.joined):
+            raise ValueError("the model must prefix texts with a space and have no piece across words or lines")
+        #: The same by bytes: no cut inside a character, nor between characters whose outer bytes meet inside a piece.
+        self.cut = np.ones((256, 256), bool)
+        self.cut[:, 128:192] = False
+        for a, b in self.joined:
+            self.cut[a.replace(MARK, " ").encode()[-1], b.replace(MARK, " ").encode()[0]] = False
+        self._pair_table()
+        surfaces = [
+            bytes([self.bytes[i]]) if kind == BYTE
+            else b"" if kind == CONTROL
+            else (self.unknown_surface if kind == UNKNOWN else piece.replace(MARK, " ")).encode()
+            for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds))
+        ]
+        self.surfaces = pa.array(surfaces, pa.large_binary())
+        self.control = np.array([kind == CONTROL for kind in self.kinds])
+        self.marked = np.array([kind == NORMAL and p.startswith(MARK) for p, kind in zip(self.pieces, self.kinds)])
+
+    def _pair_table(self) -> None:
+        """Which two pieces join to which piece, as sorted keys; and the id of each character (a space for the mark)."""
+        pairs = {}
+        for piece, joined in self.ids.items():
+            for i in range(1, len(piece)):
+                if piece[:i] in self.ids and piece[i:] in self.ids:
+                    pairs[self.ids[piece[:i]] << 32 | self.ids[piece[i:]]] = joined
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        joined = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        ranks = np.array([self.order.get(p, 0) for p in self.pieces], np.int64)
+        #: Rank above, joined piece below: the least value of a row is its best pair.
+        self.pair_values = ranks[joined] << 20 | joined
+        slots = 1 << 19
+        self.slots = np.full(slots, -1, np.int32)
+        at = self._slot(self.pair_keys)
+        self.slots[at] = np.arange(len(at), dtype=np.int32)
+        lost = self.slots[at] != np.arange(len(at))
+        #: Pairs that share a slot with another are looked up by search.
+        self.shared = np.zeros(slots, bool)
+        self.shared[at[lost]] = True
+        single = [(ord(p), i) for p, i in self.ids.items() if len(p) == 1]
+        self.chars = np.full(max(c for c, _ in single) + 2, -1, np.int64)
+        for char, one in single:
+            self.chars[char] = one
+        self.chars[32] = self.ids.get(MARK, -1)
+        #: Characters that stand in longer pieces without being pieces themselves: such segments go to the heap.
+        odd = {c for piece in self.ids for c in piece if c not in self.ids}
+        self.odd = bool(odd)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(45)).astype(np.int64)
+
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 20 | piece for pairs of piece ids (-1: none); _NONE where they don't join."""
+        keys = left << 32 | right
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        hard = np.flatnonzero(self.shared[slot])
+        if len(hard):
+            at[hard] = np.minimum(np.searchsorted(self.pair_keys, keys[hard]), len(self.pair_keys) - 1)
+        fits = (at >= 0) & (left >= 0) & (right >= 0)
+        fits &= self.pair_keys[at] == keys
+        return np.where(fits, self.pair_values[at], _NONE)
+
+    def _matrix(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of piece ids of single characters (-1 at their ends) merged; a piece stays at its first character."""
+        rows, width = symbols.shape
+        symbols = symbols.copy()
+        after = np.tile(np.arange(1, width + 1), (rows, 1))
+        before = np.tile(np.arange(-1, width - 1), (rows, 1))
+        agenda = np.full((rows, width), _NONE)
+        agenda[:, :-1] = self._joins(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(rows, width - 1)
+        live = np.arange(rows)
+        while len(live):
+            # Equal ranks: the leftmost, whatever the joined pieces.
+            left = (agenda[live] >> 20).argmin(axis=1)
+            best = agenda[live, left]
+            some = best < _NONE
+            live, left, best = live[some], left[some], best[some]
+            right = after[live, left]
+            symbols[live, left] = best & 0xFFFFF
+            symbols[live, right] = -1
+            agenda[live, right] = _NONE
+            stop = after[live, right]
+            after[live, left] = stop
+            inside = stop < width
+            before[live[inside], stop[inside]] = left[inside]
+            follow = np.where(inside, symbols[live, np.minimum(stop, width - 1)], -1)
+            agenda[live, left] = self._joins(symbols[live, left], follow)
+            first = before[live, left]
+            held = first >= 0
+            rows_, first = live[held], first[held]
+            agenda[rows_, first] = self._joins(symbols[rows_, first], symbols[rows_, left[held]])
+        return symbols
+
+    def encode_segments(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments (large strings, spaces unmarked) one after the other, and where each begins and ends."""
+        n = len(segments)
+        sizes = pc.utf8_length(segments).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(segments.buffers()[2], np.uint8) if n else np.zeros(0, np.uint8)
+        ends = np.frombuffer(segments.buffers()[1], np.int64)[segments.offset : segments.offset + n + 1]
+        points = np.frombuffer(data[ends[0] : ends[-1]].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        known = self.chars[np.minimum(points, len(self.chars) - 1)]
+        strange = np.concatenate([[0], np.cumsum(known < 0)])
+        slow = (strange[starts[1:]] > strange[starts[:-1]]) | (sizes > WIDTHS[-1]) | self.odd
+        parts: list[np.ndarray | None] = [None] * n
+        counts = np.zeros(n, np.int64)
+        flat = []
+        least = 0
+        for width in WIDTHS:
+            chosen = np.flatnonzero(~slow & (sizes > least) & (sizes <= width))
+            least = width
+            for at in range(0, len(chosen), ROWS):
+                some = chosen[at : at + ROWS]
+                places = starts[some][:, None] + np.arange(width)
+                inside = np.arange(width) < sizes[some][:, None]
+                merged = self._matrix(np.where(inside, known[np.minimum(places, len(known) - 1)], -1))
+                alive = merged >= 0
+                counts[some] = alive.sum(axis=1)
+                flat.append((some, merged[alive]))
+        for one in np.flatnonzero(slow).tolist():
+            ids = self._segment(segments[one].as_py().replace(" ", MARK))
+            counts[one] = len(ids)
+            parts[one] = np.array(ids, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(bounds[-1], "<u4")
+        for some, ids in flat:
+            out[_spread(bounds[some], counts[some])] = ids
+        for one in np.flatnonzero(slow).tolist():
+            out[bounds[one] : bounds[one + 1]] = parts[one]
+        return out, bounds
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
+        """The ids of each text without begin and end; the distinct segments, their ids and bounds."""
+        marked = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+        data = np.frombuffer(b"".join(marked), np.uint8)
+        text_ends = np.concatenate([[0], np.cumsum([len(m) for m in marked])]).astype(np.int64)
+        first = np.zeros(len(data) + 1, bool)
+        first[1:-1] = self.cut[data[:-1], data[1:]]
+        first[text_ends] = True
+        cuts = np.flatnonzero(first).astype(np.int64)
+        buffers = [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())]
+        segments = pa.Array.from_buffers(pa.large_string(), max(0, len(cuts) - 1), buffers).dictionary_encode()
+        which = segments.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held, bounds = self.encode_segments(segments.dictionary)
+        counts = (bounds[1:] - bounds[:-1])[which]
+        ids = held[_spread(bounds[which], counts)]
+        done = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(cuts, text_ends)]
+        return [ids[a:b] for a, b in zip(done[:-1], done[1:])], segments.dictionary, held, bounds
 
     def _segment(self, text: str) -> list[int]:
         joined, ids, start = self.joined, [], 0
@@ -186,6 +313,28 @@ class PieceModel:
             at = stop
         return ids
 
+    def decode_all(self, held: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids."""
+        ends = np.concatenate([[0], np.cumsum([len(ids) for ids in held])]).astype(np.int64)
+        ids = np.concatenate([*held, np.zeros(0, "<u4")]).astype(np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), self.surfaces.take(pa.array(ids)))
+        out = []
+        for at, said in enumerate(pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()):
+            own = held[at]
+            plain = np.flatnonzero(~self.control[own])
+            if len(plain) and len(plain) != plain[-1] - plain[0] + 1:
+                out.append(self.decode(own.tolist()))  # begin or end marks inside may cut a character
+                continue
+            try:
+                text = said.decode()
+            except UnicodeDecodeError:
+                text = self.decode(own.tolist())
+            else:
+                text = text[1:] if len(plain) and self.marked[own[plain[0]]] else text
+                text = text.replace(MARK, " ")
+            out.append(text)
+        return out
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes that are no character become U+FFFD each, one leading mark of a space is dropped."""
         out: list[str] = []
@@ -205,7 +354,7 @@ class PieceModel:
                 first = False
             elif kind != CONTROL:
                 piece = self.pieces[one]
-                if first and self.dummy_prefix and piece.startswith(MARK):
+                if first and piece.startswith(MARK):
                     piece = piece[1:]
                 first = False
                 out.append(piece)
@@ -214,6 +363,12 @@ class PieceModel:
         return "".join(out).replace(MARK, " ")
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start, so many as counted, one list after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _text(value: bytes | None, default: str) -> str:
     return value.decode() if value else default
 
@@ -242,19 +397,49 @@ def _loaded(model: bytes) -> tuple[PieceModel, sentencepiece.SentencePieceProces
     return PieceModel(model), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def _parts(model: PieceModel, text: str) -> list[str]:
+_CUT = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
+
+
+def _parts(text: str) -> list[str]:
     """text in parts of some PART characters, cut at single spaces (dropped): a part's own prefix stands for the space."""
-    if len(text) <= 2 * PART or not (model.apart and model.dummy_prefix):
+    if len(text) <= 2 * PART:
         return [text]
-    cut = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
     parts, at = [], 0
     while at < len(text):
-        hit = cut.search(text, at + PART)
+        hit = _CUT.search(text, at + PART)
         parts.append(text[at : hit.start() if hit else len(text)])
         at = hit.end() if hit else len(text)
     return parts
 
 
+def _confirmed(library, segments: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> bool:
+    """Whether the library gives these ids for all segments. Words stand behind each other, CHECKED in a text.
+
+    Segments that don't begin with a space, or hold nothing else, are encoded between line ends.
+    """
+    if not len(segments):
+        return True
+    word = pc.and_(pc.starts_with(segments, " "), pc.not_equal(pc.utf8_ltrim(segments, " "), ""))
+    words = segments.filter(word)
+    own = np.flatnonzero(word.to_numpy(zero_copy_only=False))
+    counts = bounds[own + 1] - bounds[own]
+    mine = ids[_spread(bounds[own], counts)]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    places = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2] if len(words) else b""
+    steps = list(range(0, len(words), CHECKED))
+    stops = [min(at + CHECKED, len(words)) for at in steps]
+    said = [data[places[a] + 1 : places[b]].to_pybytes().decode() for a, b in zip(steps, stops)]
+    wanted = [mine[ends[a] : ends[b]] for a, b in zip(steps, stops)]
+    head = library.encode("\n")
+    for at in np.flatnonzero(~word.to_numpy(zero_copy_only=False)).tolist():
+        segment = segments[at].as_py()
+        said.append("\n" + segment + "\n")
+        wanted.append(np.concatenate([head, ids[bounds[at] : bounds[at + 1]], head[-1:]]))
+    theirs = library.encode(said, num_threads=1)
+    return all(len(a) == len(b) and np.array_equal(a, b) for a, b in zip(theirs, wanted))
+
+
 def _in_groups(sizes: list[int]) -> Iterator[slice]:
     """Stretches of rows of some TOGETHER characters in all; a larger row stands alone."""
     start = held = 0
@@ -267,14 +452,18 @@ def _in_groups(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
+) -> DataFrame:
     """Every row's id as doc_id, ids (binary: little-endian unsigned 32-bit numbers, begin and end included), agrees.
 
-    agrees says whether the library gives the same ids; it looks at every text, batch by batch. A null or empty text has
-    begin and end only. Very long texts are encoded in parts of some 2^20 characters, cut at single spaces, where nothing
-    merges; a segment without spaces costs some 100 bytes a character. Equal rows give equal rows, an empty
-    table gives none, and other columns of docs play no part, whatever their names. The model file is read on the driver;
-    its bytes (some hundred KB, a vocabulary's size) travel with the tasks.
+    agrees says whether the library gives the same ids. Batch by batch it encodes every distinct segment; if one differs,
+    it encodes every text of the batch. With whole it encodes every text at once, which takes several times as long.
+
+    A null or empty text has begin and end only. Very long texts are encoded in parts of some 2^20 characters, cut at
+    single spaces, where nothing merges; a segment of more than 32 characters costs some 100 bytes a character. Equal rows
+    give equal rows, an empty table gives none, and other columns of docs play no part, whatever their names. The model
+    file is read on the driver; its bytes (some hundred KB, a vocabulary's size) travel with the tasks.
     """
     with open(model_path, "rb") as file:
         model = file.read()
@@ -285,15 +474,17 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for rows in _in_groups([len(t) for t in texts]):
-                held, agrees = [], []
-                for text in texts[rows]:
-                    parts = _parts(own, text)
-                    ids = np.concatenate([own.encode(part) for part in parts])
-                    theirs = [np.array(part, "<u4") for part in library.encode(parts, num_threads=1)]
-                    agrees.append(bool(np.array_equal(ids, np.concatenate(theirs))))
-                    held.append(np.concatenate([[own.bos], ids, [own.eos]]).astype("<u4").tobytes())
+                parts = [_parts(text) for text in texts[rows]]
+                ids, segments, held, bounds = own.encode([part for one in parts for part in one])
+                same = not whole and _confirmed(library, segments, held, bounds)
+                out, agrees, at = [], [], 0
+                for one in parts:
+                    mine = np.concatenate([[own.bos], *ids[at : at + len(one)], [own.eos]]).astype("<u4")
+                    at += len(one)
+                    out.append(mine.tobytes())
+                    agrees.append(same or mine[1:-1].tolist() == [i for p in library.encode(one, num_threads=1) for i in p])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows.start : rows.stop], pa.array(held, pa.binary()), pa.array(agrees, pa.bool_())],
+                    [batch.column(0)[rows.start : rows.stop], pa.array(out, pa.binary()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "agrees"],
                 )
 
@@ -316,11 +507,11 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             held = batch.column(1).to_pylist()
             for rows in _in_groups([len(b or b"") for b in held]):
-                texts, agrees = [], []
-                for ids, same in zip(held[rows], batch.column(2)[rows.start : rows.stop].to_pylist()):
-                    numbers = np.frombuffer(ids or b"", "<u4").tolist()
-                    texts.append(own.decode(numbers))
-                    agrees.append(bool(same) and texts[-1] == library.decode(numbers))
+                ids = [np.frombuffer(one or b"", "<u4") for one in held[rows]]
+                texts = own.decode_all(ids)
+                theirs = library.decode([one.tolist() for one in ids], num_threads=1)
+                same = batch.column(2)[rows.start : rows.stop].to_pylist()
+                agrees = [bool(s) and mine == other for s, mine, other in zip(same, texts, theirs)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[rows.start : rows.stop],

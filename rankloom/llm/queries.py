@@ -14,6 +14,7 @@ from rankloom.llm.packing import pack_documents
 from rankloom.llm.pieces import decode_pieces, encode_pieces, pieces_digest
 from rankloom.llm.ranking import learn_ranking, ranked
 from rankloom.llm.rules import judged, learn_rules
+from rankloom.llm.runs import find_runs, runs_digest
 from rankloom.llm.secrets import find_secrets, secrets_digest
 from rankloom.llm.sharding import shards_digest, shuffle_shards
 from rankloom.llm.simhash import simhash_digest, simhash_groups
@@ -72,6 +73,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(stats, learn_ranking(stats, table(spark, folder, "labels")))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_digest(find_runs(table(spark, folder, "documents"), planted=True))
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_simhash_near_dedup,
         op10_quality_classifier,
+        op12_periodic_runs,
         op13_sentencepiece,
         pipeline,
     )

@@ -1,7 +1,6 @@
 """Encoding and decoding against the library, and against a plain search for the best pair."""
 
 import hashlib
-import random
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm.pieces import PieceModel, _parts, decode_pieces, encode_pieces, pieces_digest
+from rankloom.llm.pieces import PieceModel, _confirmed, _parts, decode_pieces, encode_pieces, pieces_digest
 from tests.llm.conftest import CLASHES, ODD, prose
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,37 +37,43 @@ def plain_encode(text):
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(ODD_TEXTS, st.text(max_size=60)))
 def test_encoding_is_that_of_the_library_and_of_a_plain_search(text):
-    ids = OWN.encode(text).tolist()
-    assert ids == LIBRARY.encode(text) == plain_encode(text)
-    assert OWN.decode(ids) == LIBRARY.decode(ids) == text.replace("▁", " ")
+    (ids,), segments, held, bounds = OWN.encode([text])
+    assert ids.tolist() == LIBRARY.encode(text) == plain_encode(text)
+    assert OWN.decode_all([ids])[0] == OWN.decode(ids) == LIBRARY.decode(ids.tolist()) == text.replace("▁", " ")
+    assert _confirmed(LIBRARY, segments, held, bounds)
+    if len(held):
+        held[-1] += 1
+        assert not _confirmed(LIBRARY, segments, held, bounds)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abtheing ▁\n", max_size=70), max_size=5))
+def test_matrix_and_heap_agree_on_many_texts(texts):
+    assert [i.tolist() for i in OWN.encode(texts)[0]] == [LIBRARY.encode(t) for t in texts]
+    for text in texts:
+        assert OWN._segment("▁" + text.replace(" ", "▁")) == (LIBRARY.encode(text) if text else [OWN.ids["▁"]])
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=14))
 def test_decoding_any_ids_is_that_of_the_library(ids):
-    assert OWN.decode(ids) == LIBRARY.decode(ids)
-
-
-def test_memory_of_segments_does_not_change_results(monkeypatch):
-    monkeypatch.setattr("rankloom.llm.pieces.REMEMBERED", 3)
-    own, rng = PieceModel(MODEL), random.Random(3)
-    for _ in range(300):
-        text = " ".join(rng.choice(["the", "theatre", "tion", "running", "x1y", "é", "aaaaaaa"]) for _ in range(9))
-        assert own.encode(text).tolist() == LIBRARY.encode(text)
-    assert len(own.recent) <= 3 and len(own.older) <= 3
+    assert OWN.decode(ids) == OWN.decode_all([np.array(ids, "<u4")])[0] == LIBRARY.decode(ids)
 
 
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr("rankloom.llm.pieces.PART", 50)
     text = "a b  c ▁ d\n e " * 40 + "x" * 900 + prose(300)
-    parts = _parts(OWN, text)
+    parts = _parts(text)
     assert len(parts) > 20 and sum(map(len, parts)) + len(parts) - 1 == len(text)
-    assert np.concatenate([OWN.encode(p) for p in parts]).tolist() == LIBRARY.encode(text)
+    assert np.concatenate(OWN.encode(parts)[0]).tolist() == LIBRARY.encode(text)
 
 
 def test_rows_of_any_kind(spark, make):
     rows = [*ODD, (9, "<s> </s> <unk>"), (10, "▁▁a "), (11, " "), (12, "�\x00")]
-    out = pieces_digest(decode_pieces(encode_pieces(make(rows, CLASHES), PATH), PATH))
+    encoded = encode_pieces(make(rows, CLASHES), PATH)
+    whole = encode_pieces(make(rows, CLASHES), PATH, whole=True)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, encoded.collect()))
+    out = pieces_digest(decode_pieces(encoded, PATH))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
 
     def plain(key, text):
