@@ -20,6 +20,7 @@ from rankloom.llm.sharding import shards_digest, shuffle_shards
 from rankloom.llm.simhash import simhash_digest, simhash_groups
 from rankloom.llm.suffixes import remove_repeats, repeats_digest
 from rankloom.llm.text import stored, text_stats
+from rankloom.llm.variants import count_words, spelling_variants
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(stats, learn_ranking(stats, table(spark, folder, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(count_words(table(spark, folder, "documents"), 7, 2, planted=True))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs_digest(find_runs(table(spark, folder, "documents"), planted=True))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_simhash_near_dedup,
         op10_quality_classifier,
+        op11_spelling_variants,
         op12_periodic_runs,
         op13_sentencepiece,
         pipeline,

@@ -93,17 +93,21 @@ def _extended(words: np.ndarray, period: int, start: int, end: int) -> tuple[int
     return start, end
 
 
-def periodic_runs(words: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, period) of all runs of a sequence of whole numbers, by start, then period."""
+def periodic_runs(words: np.ndarray, longest: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, period) of all runs of a sequence of whole numbers, by start, then period.
+
+    longest, if given, says that no run can have more words.
+    """
     n = len(words)
+    most = n if longest is None else min(n, longest)
     found: dict[tuple[int, int], int] = {}
     for period in range(1, BASE):
-        if n < least_length(period):
+        if most < least_length(period):
             break
         starts, ends = _stretches(words[:-period] == words[period:], least_length(period) - period)
         for start, end in zip(starts.tolist(), (ends + period).tolist()):
             found.setdefault((start, end), period)
-    if n < LEAST_PERIODS * BASE:
+    if most < LEAST_PERIODS * BASE:
         return _ordered(found)
     marks = words.astype(np.int64).view(np.uint64)
     marks = _mixed(marks, marks)
@@ -111,15 +115,15 @@ def periodic_runs(words: np.ndarray) -> list[tuple[int, int, int]]:
     while size < BASE:
         marks, size = _longer(marks, size), 2 * size
     low = np.uint64((1 << n.bit_length()) - 1)
-    while n >= LEAST_PERIODS * size:
+    while most >= LEAST_PERIODS * size:
         # Hash above, place below: the leftmost of equal contexts is the least.
         keys = (marks & ~low) | np.arange(len(marks), dtype=np.uint64)
         for (start, end), period in found.items():
             if 4 * period <= size <= end - start:
                 keys[start : end - size + 1] = _NEVER
         wider = _longer(marks, size)
-        least = np.unique(_window_least(keys, size))
-        chosen = (least[least != _NEVER] & low).astype(np.int64)
+        least = _window_least(keys, size)
+        chosen = np.unique((least[least != _NEVER] & low).astype(np.int64))
         chosen = chosen[chosen < len(wider)]
         for period, start in sorted(_proposals(chosen, wider, size)):
             _settle(words, found, period, start, size)
@@ -240,7 +244,7 @@ def _searched(ids: pa.Array, texts: pa.Array, planted: bool) -> pa.RecordBatch:
     sequence[places] = numbers
     heads = bounds[:-1] + np.arange(len(texts))
     sequence[heads] = -1 - np.arange(len(texts))
-    found = periodic_runs(sequence)
+    found = periodic_runs(sequence, int(np.diff(bounds).max(initial=0)))
     keep = np.ones(len(sequence), bool)
     for start, end, period in found:
         keep[start + period : end] = False
