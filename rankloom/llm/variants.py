@@ -3,8 +3,9 @@
 The dictionary holds the frequent grams. From each place of a word a gram reaches as far as what it has so far is frequent:
 rare beginnings give short grams, frequent ones longer grams, up to a longest. A gram depends on its own characters only,
 so one edit changes just the grams that lie over it. The most grams over one character are a word's affected grams, and two
-near words share all but so many grams of each. Hence they share one of the rarest affected + 1 grams of each (the lists
-that are merged), at places that differ by no more than the lengths do. Candidates are verified by edit distance.
+near words share all but so many grams of each. Hence they share one of the rarest affected + 1 grams of each: only these
+lists are merged. The edit lies on one side of the shared gram, so a list is split by what stands before the gram, and once
+more by what stands behind it. Words that meet are verified by edit distance.
 
 A word all of whose grams can be affected at once has no such bound. Those words meet each other once more in a dictionary
 with shorter longest grams, down to grams of one length, where every word of twice that length has a bound.
@@ -15,10 +16,11 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from zlib import crc32
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +29,16 @@ from rankloom.llm.text import stored
 #: Runs of letters that are words, and how they are lower-cased.
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_RUNS = re.compile(LETTERS)
 _GAP = re.compile(r"[^A-Za-zÀ-ÿ]")
 
 #: One occurrence in so many is changed by the contract's rule.
 PLANTED_EVERY = 31
 #: Lengths of grams; a word must have twice the shortest.
-SHORTEST_GRAM, LONGEST_GRAM = 3, 6
+SHORTEST_GRAM, LONGEST_GRAM = 3, 5
 #: A gram is frequent if more words than this hold it, and more than one in LIST_SHARE of all gram places.
 LEAST_LIST, LIST_SHARE = 64, 200_000
-#: Words of one list that a task compares with each other at a time; longer lists are cut.
-SLICE = 256
+#: Words of one list that meet each other in one place; longer lists are cut into slices.
+SLICE = 2000
 #: Characters of a text whose words are counted at a time; counts that a task holds.
 PART, HELD = 1 << 20, 1 << 18
 
@@ -63,6 +64,9 @@ def count_words(
     frequent word costs no more than a rare one.
     """
 
+    # A deletion only shortens, so shorter runs need not be looked at; runs of letters match as a whole.
+    runs = re.compile(f"{LETTERS[:-1]}{{{max(1, least_length)},}}")
+
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
@@ -80,7 +84,7 @@ def count_words(
                 start = crc32(said)
                 for part in _stretches(text.as_py() or ""):
                     own: Counter[str] = Counter()
-                    for run, times in Counter(_RUNS.findall(part)).items():
+                    for run, times in Counter(runs.findall(part)).items():
                         own[run.lower() if run.isascii() else run.translate(_LOWER)] += times
                     for run, times in own.items():
                         if planted:
@@ -98,27 +102,25 @@ def count_words(
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
-def frequent_grams(words: DataFrame, shortest: int, longest: int) -> list[str]:
-    """The grams of shortest to longest - 1 characters that more than LEAST_LIST words and a share of all places hold.
+def frequent_grams(words: DataFrame, shortest: int, longest: int) -> dict[str, int]:
+    """The grams of these lengths that more than LEAST_LIST words and a share of all places hold, and how often they occur.
 
     All places over the number a gram must exceed bounds how many there are: LIST_SHARE for each of the lengths at most.
     """
-    if longest <= shortest:
-        return []
     word = F.col("word")
 
     def of(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - size + 1))
         return F.transform(starts, lambda start: word.substr(start, F.lit(size)))
 
-    grams = F.flatten(F.array(*[of(size) for size in range(shortest, longest)]))
+    grams = F.flatten(F.array(*[of(size) for size in range(shortest, longest + 1)]))
     places = words.agg(F.coalesce(F.sum(F.length("word")), F.lit(0))).first()[0]
     least = max(LEAST_LIST, places // LIST_SHARE)
     counted = words.select(F.explode(grams).alias("gram")).groupBy("gram").count()
-    return [row.gram for row in counted.filter(F.col("count") > least).collect()]
+    return {row[0]: row[1] for row in counted.filter(F.col("count") > least).collect()}
 
 
-def gram_reach(word: str, frequent: frozenset[str], shortest: int, longest: int) -> list[int]:
+def gram_reach(word: str, frequent: Container[str], shortest: int, longest: int) -> list[int]:
     """For each place, where its gram ends: it grows while it is frequent, the word goes on, and it is not the longest."""
     ends, n = [], len(word)
     for at in range(n - shortest + 1):
@@ -141,90 +143,103 @@ def affected_grams(ends: list[int]) -> int:
     return most
 
 
-def decompose(words: DataFrame, frequent: list[str], shortest: int, longest: int) -> DataFrame:
-    """word, n, size, grams (gram and place, from 0), affected."""
-    held = frozenset(frequent)
+def rarest_grams(word: str, frequent: dict[str, int], shortest: int, longest: int) -> tuple[list[tuple[int, int]], bool]:
+    """Starts and ends of the affected + 1 rarest grams, and whether the word has a bound (more grams than affected).
+
+    Grams are ordered by how often they occur, those that are not frequent first, then by text: the same order for all
+    words. Grams of equal text are taken together.
+    """
+    ends = gram_reach(word, frequent, shortest, longest)
+    order = sorted((frequent.get(word[at:end], 0), word[at:end], at, end) for at, end in enumerate(ends))
+    affected = affected_grams(ends)
+    last = order[min(affected, len(order) - 1)][:2]
+    return [(at, end) for count, text, at, end in order if (count, text) <= last], affected < len(order)
+
+
+def marks(word: str) -> int:
+    """A parity for each letter (32 low bits, by hash) and for each pair of neighbours (31 bits above).
+
+    One edit changes 2 letters and 4 pairs at most, so the marks of near words differ in 2 low bits and 4 others at most.
+    """
+    out = 0
+    for at, char in enumerate(word):
+        out ^= 1 << (ord(char) & 31)
+        if at:
+            out ^= 1 << (32 + (ord(word[at - 1]) * 7 + ord(char)) % 31)
+    return out
+
+
+def decompose(words: DataFrame, frequent: dict[str, int], shortest: int, longest: int) -> DataFrame:
+    """word, bound, marks, lists, longer: the lists a word is in, by hash, and those where words one shorter expect it.
+
+    A list holds the words of one size that have a gram and all before it, or a gram and all behind it, in common. That two
+    lists share a hash costs comparisons, not results.
+    """
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("gram", pa.string()), ("place", pa.int32())]))
         for batch in batches:
-            grams, affected = [], []
-            words = batch.column(0).to_pylist()
+            words, bound, lists, longer = batch.column(0).to_pylist(), [], [], []
             for word in words:
-                ends = gram_reach(word, held, shortest, longest)
-                grams.append([{"gram": word[at:end], "place": at} for at, end in enumerate(ends)])
-                affected.append(affected_grams(ends))
+                grams, some = rarest_grams(word, frequent, shortest, longest)
+                parts = {f"<{word[:end]}" for _, end in grams} | {f">{word[at:]}" for at, _ in grams}
+                bound.append(some)
+                lists.append([xxhash.xxh64_intdigest(f"{len(word)}{p}") - (1 << 63) for p in parts])
+                longer.append([xxhash.xxh64_intdigest(f"{len(word) - 1}{p}") - (1 << 63) for p in parts])
+            kind = pa.list_(pa.int64())
+            own = pa.array([marks(word) for word in words], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(w) for w in words], pa.int32()),
-                    pa.array(grams, kind),
-                    pa.array(affected, pa.int32()),
-                ],
-                ["word", "n", "size", "grams", "affected"],
+                [batch.column(0), pa.array(bound, pa.bool_()), own, pa.array(lists, kind), pa.array(longer, kind)],
+                ["word", "bound", "marks", "lists", "longer"],
             )
 
-    schema = "word string, n bigint, size int, grams array<struct<gram:string,place:int>>, affected int"
-    return words.select("word", "n").mapInArrow(split, schema)
-
-
-def _rarest(split: DataFrame) -> DataFrame:
-    """word, n, size, gram, place: of each word the affected + 1 rarest grams, those of equal text together.
-
-    Grams are ordered by the number of words that hold them, then by text: the same order for all words.
-    """
-    grams = split.select("word", "n", "size", "affected", F.explode("grams").alias("g")).select("*", "g.*").drop("g")
-    lists = grams.groupBy("gram").agg(F.count("*").alias("held"))
-    ordered = grams.join(lists, "gram").groupBy("word", "n", "size", "affected")
-    ordered = ordered.agg(F.sort_array(F.collect_list(F.struct("held", "gram", "place"))).alias("order"))
-    last = F.get("order", F.least(F.col("affected"), F.size("order") - 1))
-    kept = ordered.withColumn("last", last).select("word", "n", "size", "last", F.explode("order").alias("g"))
-    kept = kept.filter((F.col("g.held") < F.col("last.held")) | ((F.col("g.held") == F.col("last.held")) & (F.col("g.gram") <= F.col("last.gram"))))
-    return kept.select("word", "n", "size", "g.gram", "g.place")
+    schema = "word string, bound boolean, marks bigint, lists array<bigint>, longer array<bigint>"
+    return words.select("word").mapInArrow(split, schema)
 
 
-def _merged_lists(rarest: DataFrame) -> DataFrame:
-    """(a, na, b, nb): pairs of near words that share a gram of rarest, b as long as a or one longer. Each pair once.
+def _merged_lists(split: DataFrame) -> DataFrame:
+    """(a, b): pairs of near words that share a list, b as long as a or one longer. Each pair once.
 
-    A list holds the words of one gram, place and size. Longer lists are cut into slices that meet each other, so that no
-    task compares more than SLICE words with a list at a time.
+    Lists of more than SLICE words are cut into slices, each of which meets the whole list in a place of its own.
     """
-    lists = rarest.groupBy("gram", "place", "size").agg(F.count("*").alias("words"))
-    lists = lists.select("gram", "place", "size", F.ceil(F.col("words") / SLICE).cast("int").alias("slices"))
-    own = rarest.join(lists, ["gram", "place", "size"])
-    slice_of = F.pmod(F.xxhash64("word"), F.col("slices")).cast("int")
-    left = own.select("gram", "place", "size", F.col("word").alias("a"), F.col("n").alias("na"), slice_of.alias("slice"))
-    # A longer word has the gram at the same place or one later.
-    places = F.when(F.col("place") > 0, F.array(F.col("place"), F.col("place") - 1)).otherwise(F.array("place"))
-    longer = rarest.select("gram", F.explode(places).alias("place"), (F.col("size") - 1).alias("size"), "word", "n")
-    longer = longer.join(lists, ["gram", "place", "size"])
-    right = own.select("gram", "place", "size", "word", "n", "slices").unionByName(longer)
-    right = right.select(
-        "gram",
-        "place",
-        "size",
-        F.col("word").alias("b"),
-        F.col("n").alias("nb"),
-        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-    )
-    pairs = left.join(right, ["gram", "place", "size", "slice"])
-    pairs = pairs.filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
-    return pairs.filter(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
+    own = split.select(F.explode("lists").alias("list"), F.col("word").alias("a"), F.col("marks").alias("ma"))
+    other = own.withColumnsRenamed({"a": "b", "ma": "mb"})
+    longer = split.select(F.explode("longer").alias("list"), F.col("word").alias("b"), F.col("marks").alias("mb"))
+    changed = F.col("ma").bitwiseXOR(F.col("mb"))
+    alike = (F.bit_count(changed.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2) & (F.bit_count(changed) <= 6)
+    hot = own.groupBy("list").agg(F.count("*").alias("words")).filter(F.col("words") > SLICE)
+    hot = stored(hot.select("list", F.ceil(F.col("words") / SLICE).cast("int").alias("slices")))
+
+    def met(left: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+        pairs = left.join(others.hint("merge"), on).filter(alike)
+        pairs = pairs.filter((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+        return pairs.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b")
+
+    if hot.isEmpty():
+        return met(own, other, ["list"]).unionAll(met(own, longer, ["list"])).distinct()
+    light = own.join(hot, "list", "left_anti")
+    slice_of = F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")
+    sliced = own.join(hot, "list").select("list", "a", "ma", slice_of.alias("slice"))
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    found = None
+    for others in (other, longer):
+        copied = others.join(hot, "list").select("list", "b", "mb", every)
+        pairs = met(light, others, ["list"]).unionAll(met(sliced, copied, ["list", "slice"]))
+        found = pairs if found is None else found.unionAll(pairs)
+    return found.distinct()
 
 
 def near_words(words: DataFrame, shortest: int = SHORTEST_GRAM, longest: int = LONGEST_GRAM) -> DataFrame:
-    """(a, na, b, nb): all pairs of words (word, n: distinct words of 2 * shortest characters at least) at one edit."""
-    left = words
+    """(a, b): all pairs of words at one edit, each once; words (word: distinct) have 2 * shortest characters at least."""
+    left = words.select("word")
     found = None
     for most in range(longest, shortest - 1, -1):
         split = stored(decompose(left, frequent_grams(left, shortest, most), shortest, most))
-        pairs = stored(_merged_lists(stored(_rarest(split))))
-        found = pairs if found is None else found.unionByName(pairs)
-        left = split.filter(F.size("grams") <= F.col("affected")).select("word", "n")
+        pairs = stored(_merged_lists(split))
+        found = pairs if found is None else found.unionAll(pairs)
+        left = split.filter("not bound").select("word")
         if left.isEmpty():
             break
-    return found.distinct()
+    return found if most == longest else found.distinct()
 
 
 def spelling_variants(words: DataFrame, factor: int = 10) -> DataFrame:
@@ -236,8 +251,9 @@ def spelling_variants(words: DataFrame, factor: int = 10) -> DataFrame:
     """
     words = stored(words)
     pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("other_n"))
-    both = both.unionAll(pairs.select("b", "a", "na"))
+    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"))
+    both = both.unionAll(pairs.select("b", "a"))
+    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = both.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )

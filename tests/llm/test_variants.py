@@ -15,7 +15,9 @@ from rankloom.llm.variants import (
     count_words,
     frequent_grams,
     gram_reach,
+    marks,
     near_words,
+    rarest_grams,
     spelling_variants,
 )
 from tests.llm.conftest import CLASHES, ODD, prose
@@ -91,7 +93,7 @@ def syllables(rng, n, parts):
     return out
 
 
-@pytest.mark.parametrize("least, slice_size", [(64, 256), (1, 3), (5, 1)])
+@pytest.mark.parametrize("least, slice_size", [(64, 2000), (1, 3), (5, 1)])
 def test_near_words_are_those_of_all_pairs(spark, monkeypatch, least, slice_size):
     monkeypatch.setattr(variants, "LEAST_LIST", least)
     monkeypatch.setattr(variants, "LIST_SHARE", 10**9)
@@ -101,7 +103,6 @@ def test_near_words_are_those_of_all_pairs(spark, monkeypatch, least, slice_size
     found = near_words(frame(spark, words)).collect()
     assert {(r.a, r.b) for r in found} | {(r.b, r.a) for r in found} == plain_near(words)
     assert len(found) * 2 == len(plain_near(words)) > 100
-    assert all((r.na, r.nb) == (words[r.a], words[r.b]) for r in found)
 
 
 def test_words_without_a_bound_meet_in_shorter_grams(spark, monkeypatch):
@@ -109,9 +110,8 @@ def test_words_without_a_bound_meet_in_shorter_grams(spark, monkeypatch):
     monkeypatch.setattr(variants, "LEAST_LIST", 0)
     monkeypatch.setattr(variants, "LIST_SHARE", 10**9)
     words = {f"{a}{b}cdef{c}": 2 for a in "abcx" for b in "bcdx" for c in "ghx"}
-    held = frozenset(frequent_grams(frame(spark, words), 3, 6))
-    weak = [w for w in words if affected_grams(gram_reach(w, held, 3, 6)) == len(w) - 2]
-    assert len(weak) == len(words)
+    held = frequent_grams(frame(spark, words), 3, 5)
+    assert not any(rarest_grams(w, held, 3, 5)[1] for w in words)
     found = near_words(frame(spark, words)).collect()
     assert {(r.a, r.b) for r in found} | {(r.b, r.a) for r in found} == plain_near(words)
 
@@ -126,6 +126,8 @@ def test_an_edit_changes_no_more_than_the_affected_grams(word, data):
     for other in edits(word, "abcd"):
         theirs = [(other[a:e], a) for a, e in enumerate(gram_reach(other, held, 3, 6))]
         shift = len(other) - len(word)
+        changed = marks(word) ^ marks(other)
+        assert (changed & 0xFFFFFFFF).bit_count() <= 2 and changed.bit_count() <= 6
         kept = sum(any(g == x and p in (a, a + shift) for g, p in theirs) for x, a in own)
         assert kept >= len(ends) - most
 
