@@ -158,10 +158,10 @@ def join_query_list(spark, folder):
 
 def chain(source: str, keys: list[str], cap: int = CAP) -> str:
     """The left joins written out: every copy of a listing in a step meets every copy in the next."""
-    on = " AND ".join(f"mo_last.{key} IS NOT DISTINCT FROM {{0}}.{key}" for key in keys)
+    on = " AND ".join(f"mo_last.{key} = {{0}}.{key}" for key in keys)
     joins = " ".join(
         f"LEFT JOIN (SELECT * FROM {source} WHERE step = '{name}' AND rnk <= {cap}) AS {name}"
-        f" ON mo_last.lid = {name}.lid AND {on.format(name)}"
+        f" ON {on.format(name)} AND mo_last.lid = {name}.lid"
         for name in STEP_NAMES[:-1]
     )
     ranks = ", ".join(f"{name}.rnk AS {name}" for name in STEP_NAMES)

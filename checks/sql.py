@@ -192,7 +192,9 @@ def sql(body: str) -> str:
         if more <= wanted:
             break
         wanted |= more
-    parts = [f"{name} AS ({RELATIONS[name]})" for name in _ORDER if name in wanted]
+    # Relations that many joins read are held once.
+    held = {"log_ranks": "MATERIALIZED ", "log_runs": "MATERIALIZED ", "kind_ranks": "MATERIALIZED "}
+    parts = [f"{name} AS {held.get(name, '')}({RELATIONS[name]})" for name in _ORDER if name in wanted]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
-from functools import partial
+from functools import partial, reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +146,7 @@ def running_ranks(
     are summed, never listings counted, first within a part of the scope (a digest prefix, or a
     minute) and then over the parts. So a scope that holds a large part of the log is spread over
     many tasks, and no task sums over more than 4,096 prefixes or the minutes of the days at hand.
+    With a ``cap`` each task sends ``cap`` lists of a scope, step and part at most.
     ``gather`` brings the lists of a key together before they are unnested, for ``pivot_ranks``.
     """
     scopes = [scope] if isinstance(scope, str) else list(scope)
@@ -181,6 +182,11 @@ def running_ranks(
         starts = starts.filter(F.col("_start") < cap)
     ordered = ["query_time", "_content", *keys] if by_time else ["_place", *keys, "query_time", "_content"]
     order = Window.partitionBy(*parts).orderBy(*ordered)
+    if cap is not None:
+        # A list that is not empty moves the rank by one at least, so lists after the first ``cap``
+        # of a part cannot count. Spark drops them in each task, before they travel.
+        nth = F.row_number().over(order)
+        lists = lists.withColumn("_nth", nth).filter(F.col("_nth") <= cap).drop("_nth")
     ahead = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = lists.join(starts, parts).withColumn(
         "_offset", F.col("_start") + F.coalesce(ahead, F.lit(0))
@@ -313,20 +319,51 @@ def ranked_candidates(
     )
 
 
+def stage_ranks_weighted(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The chain of left joins over distinct rows: each with ``copies``, how often it stands there.
+
+    Equal (key, listing, rank) rows of a step are counted before the joins and their counts are
+    multiplied along the chain, so no intermediate holds a row twice. What is summed over the rank
+    table can be summed over these rows times ``copies``. A missing rank counts as one copy.
+    """
+    on = [*keys, "listing_id"]
+    rest = [name for name in ranked.columns if name not in (*on, "step", "rank")]
+
+    def relation(name: str, kept: Sequence[str]) -> DataFrame:
+        mine = ranked.filter(F.col("step") == name)
+        counted = mine.groupBy(*on, *kept, F.col("rank").alias(name))
+        return counted.agg(F.count("*").alias(f"_{name}"))
+
+    wide = relation(FINAL, rest)
+    for name in reversed(STEP_NAMES):
+        if name != FINAL:
+            wide = wide.join(relation(name, []), on, "left")
+    copies = reduce(
+        lambda a, b: a * b, [F.coalesce(F.col(f"_{name}"), F.lit(1)) for name in STEP_NAMES]
+    )
+    return wide.select(*keys, *rest, "listing_id", *STEP_NAMES, copies.alias("copies"))
+
+
+def expand_copies(weighted: DataFrame) -> DataFrame:
+    """Rows once for each copy; beyond 2^20 copies in portions, so that no array grows large."""
+    portion = 1 << 20
+    sizes = F.transform(
+        F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / portion).cast("int")),
+        lambda n: F.least(F.lit(portion).cast("bigint"), F.col("copies") - n * portion),
+    )
+    rest = [name for name in weighted.columns if name != "copies"]
+    parts = weighted.select(*rest, F.explode(sizes).alias("_times"))
+    once = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_once")
+    return parts.select(*rest, once).drop("_once")
+
+
 def stage_ranks_joined(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rank table as a chain of left joins from the final step.
 
     Equal to ``pivot_ranks`` where every step lists a listing once per key. Otherwise each copy in
-    one step meets each copy in the next, so prefer the pivot.
+    one step meets each copy in the next, so prefer the pivot. The joins run over weighted rows.
     """
-    on = [*keys, "listing_id"]
-    wide = ranked.filter(F.col("step") == FINAL).withColumnRenamed("rank", FINAL).drop("step")
-    others = [name for name in reversed(STEP_NAMES) if name != FINAL]
-    for name in others:
-        step = ranked.filter(F.col("step") == name).select(*on, F.col("rank").alias(name))
-        wide = wide.join(step, on, "left")
-    rest = [name for name in wide.columns if name not in STEP_NAMES and name != "listing_id"]
-    return wide.select(*rest, "listing_id", *STEP_NAMES)
+    return expand_copies(stage_ranks_weighted(ranked, keys))
 
 
 def sort_stage_ranks(stage_ranks: DataFrame) -> DataFrame:

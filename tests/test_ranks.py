@@ -295,34 +295,6 @@ def test_a_hot_request_is_unnested_once(spark, tmp_path):
     assert "LeftSemi" in sliced.split("Generate posexplode")[1].split("Relation")[0]
 
 
-def test_semi_join_in_parts(spark, monkeypatch):
-    rows = spark.range(300).selectExpr("string(id % 40) as k", "if(id % 7 = 0, null, id % 3) as n", "id")
-    wanted = spark.range(90).selectExpr("string(id % 25) as k", "if(id % 5 = 0, null, id % 2) as n")
-    expected = as_set(rows.join(wanted, ["k", "n"], "left_semi"))
-    assert as_set(joins.semi_join(rows, wanted, ["k", "n"], 90)) == expected
-    assert as_set(joins.semi_join(rows, wanted, ["k", "n"])) == expected
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 500)
-    assert joins.broadcast_slices(wanted) > 1
-    for bound in (None, 90):
-        assert as_set(joins.semi_join(rows, wanted, ["k", "n"], bound)) == expected
-
-
-def test_spread_join_equals_a_join(spark):
-    chance = random.Random(1)
-    many = [(chance.choice([1, 1, 1, 2, 3, None]), n) for n in range(400)]
-    few = [(1, "a"), (1, "b"), (2, "c"), (4, "d"), (None, "e")]
-    left = spark.createDataFrame(many, "k int, n int")
-    right = spark.createDataFrame(few, "k int, t string")
-    expected = as_set(left.join(right, "k"))
-    for heavy in (1, 7, 100, 1000):
-        assert as_set(joins.spread_join(left, right, ["k"], heavy)) == expected
-
-    def few(only):
-        return right if only is None else right.join(only, ["k"], "left_semi")
-
-    assert as_set(joins.spread_join(left, few, ["k"], 7)) == expected
-
-
 def test_broadcast_needs_a_limit(spark):
     ids = spark.createDataFrame([("a",)], "request_uuid string")
     assert not joins.fits_broadcast(ids, None)
