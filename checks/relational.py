@@ -410,19 +410,23 @@ def sample_random_n(spark, folder):
     return stable_sample(pairs, SAMPLE, "7", ["o_custkey", "o_orderpriority"])
 
 
-@check(doubles(_WIDE))
+_SORTED = ["query", "mo_last", "mo_list", "ranking", "borda", "solr", "nir", "xwalk", "xml"]
+_BY_STEPS = ", ".join(f"{name} NULLS LAST" for name in _SORTED[1:])
+
+
+@check(f"{doubles(_WIDE)} ORDER BY query NULLS FIRST, {_BY_STEPS}", ordered=_SORTED)
 def sort_multi_nulls_last(spark, folder):
     return R.doubles(sort_stage_ranks(rank_rows(spark, folder)))
 
 
-@check("SELECT query_raw AS query, count(*) AS uses FROM sessions GROUP BY 1 ORDER BY uses DESC")
+@check("SELECT query_raw AS query, count(*) AS uses FROM sessions GROUP BY 1 ORDER BY uses DESC", ordered=["uses"])
 def sort_desc(spark, folder):
     sessions = R.query_sessions(spark, folder)
     uses = sessions.groupBy(F.col("query_raw").alias("query")).agg(F.count("*").alias("uses"))
     return uses.orderBy(F.col("uses").desc())
 
 
-@check("SELECT ab_variant, count(*) AS n FROM assigned GROUP BY 1 ORDER BY 1")
+@check("SELECT ab_variant, count(*) AS n FROM assigned GROUP BY 1 ORDER BY 1 NULLS FIRST", ordered=["ab_variant"])
 def sort_by_ordinal_or_alias(spark, folder):
     return spark.sql(
         "SELECT ab_variant, count(*) AS n FROM {tests} GROUP BY ab_variant ORDER BY 1",

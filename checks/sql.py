@@ -159,6 +159,17 @@ RELATIONS |= {
         JOIN (SELECT * FROM assigned WHERE ab_test = '{FLAG}' AND _date IN {IN_DAYS}) AS a
           USING (visit_id)
         JOIN (SELECT * FROM seen WHERE _date IN {IN_DAYS}) AS v USING (visit_id)""",
+    # Log rows serve searches of their own day.
+    "date_wide": pivot(
+        f"""({running(f"(SELECT * FROM kind_ranks WHERE log_date IN {IN_DAYS}) AS k", "request_uuid, log_date")})
+            AS r""",
+        "request_uuid, log_date",
+    ),
+    "date_stage": f"""
+        SELECT _date, s.request_uuid, ab_flag, visit_id, query, listing_id, {_COLUMNS}
+        FROM all_searches AS s JOIN date_wide AS w
+          ON w.request_uuid = s.request_uuid AND w.log_date = s._date""",
+    "date_base": "",
     "day_wide": pivot("day_runs", "request_uuid"),
     "day_stage": f"""
         SELECT query, {_COLUMNS}
@@ -171,10 +182,12 @@ RELATIONS |= {
                           WHERE _date >= DATE '{AS_OF}' - 7) AS pct_of_visits_covered
               FROM sessions WHERE _date >= DATE '{AS_OF}' - 7 GROUP BY 1) AS used""",
 }
+RELATIONS["date_base"] = RELATIONS["base"].replace("stage", "date_stage")
 _ORDER = [
     "steps", "cand", "ranked", "vdays", "logs", "log_ranks", "log_runs", "kind_ranks",
     "kind_runs", "day_runs", "beacon", "sent", "assigned", "seen", "sessions", "all_sample", "day_sample",
-    "all_searches", "day_searches", "request_wide", "stage", "base", "day_wide",
+    "all_searches", "day_searches", "request_wide", "stage", "base", "date_wide",
+    "date_stage", "date_base", "day_wide",
     "day_stage", "popular",
 ]
 
@@ -224,8 +237,8 @@ def first_page(source: str, by: str = "") -> str:
     return f"SELECT {by + ', ' if by else ''}{shares}, {means} FROM {source}{grouped}"
 
 
-def report(shares: dict[str, int], suffix: str = "") -> str:
-    """The report over ``base``: one row for each block and variant."""
+def report(shares: dict[str, int], suffix: str = "", source: str = "base") -> str:
+    """The report over ``source``: one row for each block and variant."""
     mask = " + ".join(
         f"(CASE WHEN {source} IS NULL THEN 0 ELSE {bit} END)"
         for source, bit in (("solr", 1), ("nir", 2), ("xwalk", 4), ("xml", 8))
@@ -241,6 +254,6 @@ def report(shares: dict[str, int], suffix: str = "") -> str:
     return f"""
         SELECT metric, ab_variant, count(DISTINCT visit_id) AS visit_count,
                count(DISTINCT request_uuid) AS request_count, count(*) AS listing_count, {columns}
-        FROM (SELECT base.*, metric, {mask} AS mask, CASE metric {scope} END AS hit
-              FROM base, (VALUES ('First Page'), ('Three Pages'), ('1K')) AS b(metric)) AS rows
+        FROM (SELECT {source}.*, metric, {mask} AS mask, CASE metric {scope} END AS hit
+              FROM {source}, (VALUES ('First Page'), ('Three Pages'), ('1K')) AS b(metric)) AS rows
         GROUP BY metric, ab_variant"""

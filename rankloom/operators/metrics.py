@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import page_flag, ratio, source_mask
+from rankloom.operators.distinct import SKETCH_POWER
 from rankloom.operators.joins import spread_join
 from rankloom.params import PAGE_SIZES, QUICKLOOK_PAGE_SIZE, RANK_CAP, REPORT_PAGES
 from rankloom.sources import on_dates
@@ -131,19 +132,28 @@ def platform_counts(
     return counts.select(*keys, "mask", "listing_count", "k1", F.inline(F.array(*kinds)))
 
 
-def variant_totals(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def variant_totals(counts: DataFrame, pairs: DataFrame, approximate: bool = False) -> DataFrame:
     """``counts`` added up by variant, with the distinct visits and requests of ``pairs``.
 
     Sums are taken by combination, which leaves 16 rows for a variant. Distinct counts run over
-    bare ids, so no wide row is multiplied for them. Both are then laid side by side.
+    bare ids, so no wide row is multiplied for them. Both are then laid side by side. With
+    ``approximate`` the ids go into sketches in each task, and no id is shuffled.
     """
     added = ["listing_count", *BLOCKS.values()]
     sums = counts.groupBy("ab_variant", "mask").agg(*[F.sum(name).alias(name) for name in added])
-    ids = pairs.select("ab_variant", "visit_id", "request_uuid").distinct()
-    distinct = ids.groupBy("ab_variant").agg(
-        F.countDistinct("visit_id").alias("visit_count"),
-        F.countDistinct("request_uuid").alias("request_count"),
-    )
+    if approximate:
+        distinct = pairs.groupBy("ab_variant").agg(
+            *[
+                F.hll_sketch_estimate(F.hll_sketch_agg(column, SKETCH_POWER)).alias(name)
+                for column, name in (("visit_id", "visit_count"), ("request_uuid", "request_count"))
+            ]
+        )
+    else:
+        ids = pairs.select("ab_variant", "visit_id", "request_uuid").distinct()
+        distinct = ids.groupBy("ab_variant").agg(
+            F.countDistinct("visit_id").alias("visit_count"),
+            F.countDistinct("request_uuid").alias("request_count"),
+        )
     both = sums.unionByName(distinct, allowMissingColumns=True)
     shares = [
         F.expr(f"coalesce(sum({block}) FILTER (WHERE mask = {mask}), 0) AS {block}_{share}")
@@ -170,18 +180,21 @@ def report_blocks(totals: DataFrame, strict: bool = False) -> DataFrame:
     return stacked.select("metric", "ab_variant", *counts, *shares)
 
 
-def retrieval_report(base: DataFrame, top: int = RANK_CAP, strict: bool = False) -> DataFrame:
+def retrieval_report(
+    base: DataFrame, top: int = RANK_CAP, strict: bool = False, approximate: bool = False
+) -> DataFrame:
     """Three blocks for each variant: first page, first three pages, top 1000.
 
     Shares are of the rows in scope of the block; the three counts are of all rows of the variant
     and so alike in its blocks. All blocks come from one pass: rows are first counted for each
-    visit, request and source combination, and everything else is taken from those few.
+    visit, request and source combination, and everything else is taken from those few. With
+    ``approximate`` visits and requests are estimated by sketches; off by default.
     """
     counts = block_counts(base, ["ab_variant", "visit_id", "request_uuid"], top)
     # True for every row. It keeps the counters in the plan of the ids, so that Spark sees one
     # exchange for both and reads the table once.
     pairs = counts.filter(" + ".join(["listing_count", *BLOCKS.values()]) + " > 0")
-    return report_blocks(variant_totals(counts, pairs), strict)
+    return report_blocks(variant_totals(counts, pairs, approximate), strict)
 
 
 def short_report(report: DataFrame) -> DataFrame:
@@ -216,13 +229,30 @@ def retrieval_report_by_request(
     and platform before the two meet: a request or visit that holds a large part of the searches
     is cut into slices or counted beforehand.
     """
+    counts = platform_counts(ranks, list(keys), page_sizes, pages, top)
+    return report_from_counts(counts, ranked, searches, facts, keys, page_sizes, strict)
+
+
+def report_from_counts(
+    counts: DataFrame,
+    ranked: DataFrame,
+    searches: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str] = ("request_uuid",),
+    page_sizes: dict[str, int] = PAGE_SIZES,
+    strict: bool = False,
+) -> DataFrame:
+    """The report over ``platform_counts`` of requests, which may have been stored by date.
+
+    ``counts`` holds each request (and date, if that is a key) once for each platform and source
+    combination; counts of other dates are added by a union.
+    """
     keys = list(keys)
     # Platforms without known pages are alike: the empty text stands for them.
     known = F.when(F.col("platform").isin(list(page_sizes)), F.col("platform"))
     seen = spread_join(searches, facts, ["visit_id"], HEAVY_SEARCHES)
     seen = seen.withColumn("platform", F.coalesce(known, F.lit("")))
     asked = seen.groupBy(*keys, "ab_variant", "platform").agg(F.count("*").alias("_times"))
-    counts = platform_counts(ranks, keys, page_sizes, pages, top)
     added = ["listing_count", *BLOCKS.values()]
     met = asked.join(counts, [*keys, "platform"]).select(
         "ab_variant", "mask", *[(F.col(name) * F.col("_times")).alias(name) for name in added]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankloom.functions import ratio
+from rankloom.operators.distinct import count_distinct
 from rankloom.sources import since_date
 
 
@@ -29,13 +30,18 @@ def rank_by_count(rows: DataFrame, count: str, name: str = "rank") -> DataFrame:
     return rows.join(F.broadcast(levels), count).select(*rows.columns, name)
 
 
-def top_queries(query_sessions: DataFrame, as_of: date, days: int = 7) -> DataFrame:
-    """Queries of the last days by visits that used them, with their share of all visits."""
+def top_queries(
+    query_sessions: DataFrame, as_of: date, days: int = 7, approximate: bool = False
+) -> DataFrame:
+    """Queries of the last days by visits that used them, with their share of all visits.
+
+    With ``approximate`` visits are estimated by sketches (see ``distinct.SKETCH_POWER``), and so
+    the ranks of queries with nearly as many visits may be exchanged. Off by default.
+    """
     recent = since_date(query_sessions, as_of - timedelta(days=days), "_date")
-    used = recent.groupBy(F.col("query_raw").alias("query")).agg(
-        F.countDistinct("visit_id").alias("visits_that_used_query")
-    )
-    visits = recent.agg(F.countDistinct("visit_id").alias("visits"))
+    recent = recent.withColumnRenamed("query_raw", "query")
+    used = count_distinct(recent, ["query"], "visit_id", "visits_that_used_query", approximate)
+    visits = count_distinct(recent, [], "visit_id", "visits", approximate)
     covered = used.withColumn(
         "pct_of_visits_covered", ratio(F.col("visits_that_used_query"), visits.scalar())
     )

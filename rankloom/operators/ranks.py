@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from rankloom.operators.joins import spread_join
 from rankloom.operators.logs import HEAVY_LOGS, sampled_logs
-from rankloom.params import ALL, RANK_CAP, RANK_SCOPES, REPEATS, require_one_of
+from rankloom.params import ALL, MIXED, QUICKLOOK_SCOPES, RANK_CAP, REPEATS, require_one_of
 
 
 class Step(NamedTuple):
@@ -105,11 +105,17 @@ def step_ids(entries: str | Column, step: Step, cap: int | None = None) -> Colum
     return ids if cap is None else F.slice(ids, 1, cap)
 
 
-def step_lists(logs: DataFrame, keep: Sequence[str], cap: int | None = None) -> DataFrame:
+def step_lists(
+    logs: DataFrame,
+    keep: Sequence[str],
+    cap: int | None = None,
+    steps: Sequence[str] = STEP_NAMES,
+) -> DataFrame:
     """One row for each log row and step: ``step`` and its ``ids``, cut to ``cap``."""
     lists = [
         F.struct(F.lit(s.name).alias("step"), step_ids("candidateSources", s, cap).alias("ids"))
         for s in STEPS
+        if s.name in steps
     ]
     kept = [F.col(name) for name in keep]
     exploded = logs.select(*kept, F.explode(F.array(*lists)).alias("list"))
@@ -138,6 +144,7 @@ def running_ranks(
     cap: int | None = RANK_CAP,
     by_time: bool = False,
     gather: bool = False,
+    steps: Sequence[str] = STEP_NAMES,
 ) -> DataFrame:
     """Ranks that run on over all log rows with the same ``scope`` value.
 
@@ -163,7 +170,7 @@ def running_ranks(
     )
     # A struct with a NULL field equals another such struct, so a NULL scope joins with itself.
     lists = (
-        step_lists(placed_logs, [*columns, "_place", "_prefix", "_content", "query_time"], cap)
+        step_lists(placed_logs, [*columns, "_place", "_prefix", "_content", "query_time"], cap, steps)
         .withColumn("_n", F.size("ids").cast("bigint"))
         .filter("_n > 0")
         .withColumn("_scope", F.struct(*scopes))
@@ -206,6 +213,14 @@ def running_ranks(
     )
 
 
+def mixed_ranks(logs: DataFrame, keys: Sequence[str], cap: int | None = RANK_CAP) -> DataFrame:
+    """Ranks of the first step within each of ``keys``, of all other steps within ``query``."""
+    first, others = STEP_NAMES[:1], STEP_NAMES[1:]
+    own = running_ranks(logs, keys, keys, cap, by_time=True, steps=first)
+    shared = running_ranks(logs, "query", keys, cap, steps=others)
+    return own.unionByName(shared.select(*own.columns))
+
+
 def pivot_ranks(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each listing of the final step, with its rank at every step.
 
@@ -270,11 +285,12 @@ def stage_ranks_pivot(
 
     Ranks are built for each request before searches are joined, so two visits of one request
     have two rows for a listing, both with its true rank. With the rank scope ``query`` ranks run
-    on over the requests of a query and are no longer places on a page. With ``all`` repeats every
+    on over the requests of a query and are no longer places on a page; with ``mixed`` those of the
+    first step stay within the request. With ``all`` repeats every
     log row and every search beacon counts; with ``first`` the earliest log row of a request and
     distinct searches. Another scope or kind of repeats is an error.
     """
-    require_one_of("rank_scope", rank_scope, RANK_SCOPES)
+    require_one_of("rank_scope", rank_scope, QUICKLOOK_SCOPES)
     require_one_of("repeats", repeats, REPEATS)
     keys = ["request_uuid", "_date"] if match_date else ["request_uuid"]
     rows = sampled_candidates(
@@ -282,11 +298,15 @@ def stage_ranks_pivot(
     )
     columns = ["_date", "request_uuid", "ab_flag", "visit_id", "query", "listing_id", *STEP_NAMES]
     seen = search_rows(searches, repeats)
-    if rank_scope == "query":
+    if rank_scope != "request":
         asked = searches.select(*keys, "query").distinct()
         rows = spread_join(rows, asked, keys, HEAVY_LOGS)
         keys = [*keys, "query"]
-        ranks = pivot_ranks(running_ranks(rows, "query", keys, cap, gather=True), keys)
+        if rank_scope == MIXED:
+            ranked = mixed_ranks(rows, keys, cap)
+        else:
+            ranked = running_ranks(rows, "query", keys, cap, gather=True)
+        ranks = pivot_ranks(ranked, keys)
         return spread_join(seen, ranks, keys, HEAVY_SEARCHES).select(*columns)
 
     def ranks_of(only: DataFrame | None) -> DataFrame:

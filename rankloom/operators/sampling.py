@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +90,16 @@ def experiment_sample(
     return stable_sample(
         eligible.distinct(), n, seed, ["request_uuid", "ab_flag", "ab_flag_variant"]
     )
+
+
+def merge_samples(
+    states: Sequence[DataFrame], n: int | None, seed: str, keys: Sequence[str]
+) -> DataFrame:
+    """The sample of all rows behind ``states``, which are samples of ``n`` or more of their rows.
+
+    Equal to ``stable_sample`` over all rows: one of the ``n`` smallest digests of all is one of the
+    ``n`` smallest wherever it stands. So the sample of further dates follows from a stored sample
+    of each date, and merging may go on in any order.
+    """
+    rows = reduce(DataFrame.unionByName, states)
+    return stable_sample(rows.distinct(), n, seed, keys)

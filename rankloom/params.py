@@ -17,6 +17,10 @@ ANY = "ANY"
 
 # What ranks are counted within.
 RANK_SCOPES = ("request", "query")
+# The quick look also knows ranks within the request for the first step and within the query for
+# all others.
+MIXED = "mixed"
+QUICKLOOK_SCOPES = (*RANK_SCOPES, MIXED)
 # Whether every log row and search beacon of a request counts, or its earliest row and each
 # distinct beacon only.
 ALL, FIRST = REPEATS = ("all", "first")
@@ -43,7 +47,8 @@ class ExperimentParams:
     cap: int = RANK_CAP
     # True: a log row serves only searches of its own day. False: of any listed day.
     match_date: bool = False
-    # "request", or "query" for ranks that run on over the requests of a query (rank table only).
+    # "request", or "query" for ranks that run on over the requests of a query, or "mixed" for
+    # those with the first step's ranks within the request (rank table only).
     rank_scope: str = "request"
     repeats: str = ALL
     page_sizes: dict[str, int] = field(default_factory=lambda: dict(PAGE_SIZES))
@@ -52,7 +57,7 @@ class ExperimentParams:
     strict: bool = False
 
     def __post_init__(self) -> None:
-        require_one_of("rank_scope", self.rank_scope, RANK_SCOPES)
+        require_one_of("rank_scope", self.rank_scope, QUICKLOOK_SCOPES)
         require_one_of("repeats", self.repeats, REPEATS)
 
     @classmethod

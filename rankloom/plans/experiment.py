@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -10,6 +11,8 @@ from rankloom.operators.metrics import (
     first_page_by_query,
     first_page_overall,
     flag_pages,
+    platform_counts,
+    report_from_counts,
     retrieval_report,
     retrieval_report_by_request,
     visit_facts,
@@ -135,6 +138,43 @@ def experiment_report(
     )
 
 
+def experiment_report_by_date(
+    sources: Sources, params: ExperimentParams, store: TableStore
+) -> DataFrame:
+    """The report over counts that are stored for each date, so that a further date reads its own logs only.
+
+    For each date there are three tables: its searches, the requests that have ranks, and their
+    listings counted by platform and source combination, which add up. Dates whose tables are in
+    the store are not read again; visits and assignments of all dates are. Log rows must serve
+    searches of their own day (``match_date``) and every request must be taken (no sample size), for
+    otherwise a further date changes the counts of earlier ones. A request is sampled by the beacons
+    of the date it is searched on.
+    """
+    if params.rank_scope != "request" or not params.match_date or params.sample_size is not None:
+        raise ValueError("counts by date need ranks within a request, match_date and no sample size")
+    require_utc(sources.rpc_logs.sparkSession)
+    keys = ["request_uuid", "_date"]
+    tables = []
+    for day in params.dates:
+        names = [f"{name}_{day:%Y%m%d}" for name in ("searches", "ranked", "counts")]
+        if not store.has(names[-1]):
+            one = replace(params, dates=(day,))
+            searches = store.replace(names[0], experiment_searches(sources, one))
+            rows = sampled_candidates(
+                searches, sources.rpc_logs, one.dates, one.placement, one.cap, True, None, one.repeats
+            )
+            store.replace(names[1], ranked_requests(rows, keys))
+            ranks = request_ranks(rows, keys, one.cap, one.repeats)
+            counts = platform_counts(ranks, keys, one.page_sizes, one.pages, one.cap)
+            # The table that says that the date is complete comes last.
+            store.replace(names[2], counts)
+        tables.append([store.table(name) for name in names])
+    searches, ranked, counts = (reduce(DataFrame.unionByName, part) for part in zip(*tables))
+    facts = visit_facts(sources.ab_tests, sources.visits, params.flag, params.dates)
+    seen = search_rows(searches, params.repeats)
+    return report_from_counts(counts, ranked, seen, facts, keys, params.page_sizes, params.strict)
+
+
 def experiment_quicklook(
     sources: Sources, params: ExperimentParams, store: TableStore | None = None
 ) -> tuple[DataFrame, DataFrame]:

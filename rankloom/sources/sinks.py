@@ -6,7 +6,8 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -17,7 +18,8 @@ class TableStore:
     new version, so a query that reads the table may write it, and readers of the former version
     are not disturbed. Versions before that one are removed. Another store on the same folder, in
     this session or a later one, finds the same tables; a store on another folder never does.
-    One writer at a time may replace a table.
+    One writer at a time may replace a table. Files are handled through the session's JVM, so a
+    Spark Connect session cannot have a store.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,6 +50,10 @@ class TableStore:
             if self._files.exists(self._path(self._schema_file(name, version)))
         ]
 
+    def has(self, name: str) -> bool:
+        """Whether there is a complete table of this name."""
+        return bool(self._complete(name))
+
     def replace(self, name: str, rows: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write ``rows`` as table ``name`` and return the stored table.
 
@@ -71,6 +77,27 @@ class TableStore:
                 self._files.delete(self._path(self._folder(name, old)), True)
         return self.table(name)
 
+    def replace_sorted(self, name: str, rows: DataFrame, *order: str | Column) -> DataFrame:
+        """Write ``rows`` as table ``name`` in the given order and return the stored table.
+
+        Each file holds one range of the order, sorted, and the numbers of the files follow it. A
+        reader of the files one after the other has the whole order; ``sorted_table`` restores it.
+        """
+        return self.replace(name, rows.orderBy(*order))
+
+    def sorted_table(self, name: str) -> DataFrame:
+        """The newest version of a table that ``replace_sorted`` wrote, in the order it was written.
+
+        Rows are put in order by the number of their file and their place in it, without a look at
+        the columns that they were sorted by.
+        """
+        rows = self.table(name)
+        number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
+        placed = rows.select(
+            "*", number.alias("_file"), F.col("_metadata.row_index").alias("_place")
+        )
+        return placed.orderBy("_file", "_place").select(*rows.columns)
+
     def table(self, name: str) -> DataFrame:
         """The newest complete version of table ``name``, its columns in the order they had."""
         complete = self._complete(name)
