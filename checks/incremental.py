@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import relations as R
@@ -19,8 +21,10 @@ from rankloom.operators.distinct import (
     estimate_sketches,
     merge_sketches,
 )
+from rankloom.operators.popular import top_queries_bounded
 from rankloom.operators.ranks import SORT_STEPS, stage_ranks_weighted
 from rankloom.operators.sampling import experiment_sample, merge_samples
+from rankloom.operators.visit_sets import number_visits, top_queries_of_sets, visit_sets
 from rankloom.plans import experiment_quicklook, experiment_report_by_date
 from rankloom.sources import on_dates, read_prefixed
 
@@ -144,3 +148,37 @@ def scan_wildcard_dates(spark, folder):
         F.col("beacon.event_name").alias("event_name"),
         F.col("dt").cast("string").alias("day"),
     )
+
+
+@check("""SELECT query, visits_that_used_query, pct_of_visits_covered, rank FROM popular
+          WHERE rank <= 10""", name="top_queries_bounded")
+def top_bounded(spark, folder):
+    """The most used queries with the visits of those only that can be among them."""
+    return top_queries_bounded(R.query_sessions(spark, folder), R.AS_OF, 10)
+
+
+STARTS = [R.AS_OF - timedelta(days=n) for n in range(0, 21, 3)]
+
+
+@check(f"""SELECT CAST(as_of AS VARCHAR) AS as_of, query, visits_that_used_query,
+                  visits_that_used_query / visits AS pct_of_visits_covered,
+                  rank() OVER (PARTITION BY as_of ORDER BY visits_that_used_query DESC) AS rank
+           FROM (SELECT as_of, query_raw AS query, count(DISTINCT visit_id) AS visits_that_used_query
+                 FROM sessions, (VALUES {", ".join(f"(DATE '{day}')" for day in STARTS)}) AS d(as_of)
+                 WHERE _date >= as_of - 7 GROUP BY 1, 2) AS u
+           JOIN (SELECT as_of, count(DISTINCT visit_id) AS visits
+                 FROM sessions, (VALUES {", ".join(f"(DATE '{day}')" for day in STARTS)}) AS d(as_of)
+                 WHERE _date >= as_of - 7 GROUP BY 1) AS w USING (as_of)""")
+def top_queries_rolling(spark, folder):
+    """Popular queries as of several days, from exact sets of visits stored for each day."""
+    store = new_store(spark)
+    sessions = R.query_sessions(spark, folder).withColumnRenamed("query_raw", "query")
+    half = R.AS_OF - timedelta(days=10)
+    first = store.replace("numbers", number_visits(sessions.filter(F.col("_date") < half)))
+    later = store.replace("later", number_visits(sessions.filter(F.col("_date") >= half), first))
+    numbers = first.unionByName(later)
+    sets = store.replace("visit_sets", visit_sets(sessions, numbers, ["query", "_date"]), "_date")
+    found = [
+        top_queries_of_sets(sets, day).select(F.lit(str(day)).alias("as_of"), "*") for day in STARTS
+    ]
+    return reduce(DataFrame.unionByName, found)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import kv_lookup
-from rankloom.operators.joins import fits_broadcast, semi_join, spread_join
+from rankloom.operators.joins import BROADCAST_BYTES, fits_broadcast, held_size, semi_join, spread_join
 from rankloom.sources import on_dates, since_date
 
 # Beacons of one request that a task joins with the request's sample rows.
@@ -44,7 +44,8 @@ def sample_searches(
     events = search_events(on_dates(visit_beacons, dates), event_name, strict)
     events = events.filter(F.col("query").isNotNull())
     wanted = sample.select("request_uuid", "ab_flag")
-    if fits_broadcast(wanted, max_sample):
+    # The limit says whether counting is worth it; the bytes that are counted decide.
+    if fits_broadcast(wanted, max_sample) and held_size(wanted)[1] <= BROADCAST_BYTES:
         found = events.join(F.broadcast(wanted), "request_uuid")
     else:
         found = spread_join(events, wanted, ["request_uuid"], HEAVY_BEACONS)

@@ -9,6 +9,7 @@ from rankloom.sources.tables import (
     read_table,
     since_date,
     since_timestamp_date,
+    table_date,
 )
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "read_table",
     "since_date",
     "since_timestamp_date",
+    "table_date",
 ]
