@@ -183,7 +183,7 @@ def find_leaks(
     least_item: int = LEAST_ITEM,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(doc_id, item_id, item_chars, distance, first, last): each item that a document holds within its error budget.
+    """(doc_id, item_id, item_chars, distance, first, last, exact_short): each item that a document holds within its error budget.
 
     The budget is the whole part of error_rate times the item's length; distances count edits between normal forms (see
     normal), and first and last (exclusive) are places in the document's. One row for each row of docs and item, the
@@ -191,7 +191,7 @@ def find_leaks(
     block_chars characters, one pass over the documents for each block, so a task never holds all of a large benchmark.
 
     Items under least_item characters in normal form are searched without errors, at word bounds: neither end may lie
-    within a run of letters and digits. Null and empty texts and items match nothing. Items without id are
+    within a run of letters and digits; exact_short marks them, as a single word of a document may be such an item. Null and empty texts and items match nothing. Items without id are
     reported with a null item_id; items that repeat an id and a text are one, before anything reaches the driver. Repeated rows and null ids of docs are reported like others; other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text")).filter(F.col("text") != "")
@@ -210,4 +210,4 @@ def find_leaks(
         held = sorted({(i, t, 0 if short else int(len(t) * error_rate), short) for i, t, short in sized}, key=str)
         found = rows.mapInArrow(_searched(held), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumn("exact_short", F.col("item_chars") < least_item)

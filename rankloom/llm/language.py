@@ -134,6 +134,10 @@ def _with_likelihood(rows: DataFrame, table: np.ndarray, name: str, last: bool)
     return rows.mapInArrow(_scored(table, name, last), ", ".join([*kinds, f"{name} array<double>"]))
 
 
+#: Second labels that country registries use as part of the suffix.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+
+
 def visible_text(html: Column) -> Column:
     """The text between tags; scripts, styles, comments and character references go."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
@@ -146,10 +150,13 @@ def page_fields(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
     labels = F.split(host, r"\.")
+    # Under some country suffixes names are registered one label further down.
+    below = (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND_LABELS)
+    parts = F.when((F.size(labels) > 2) & below, F.lit(3)).otherwise(F.lit(2))
     return {
         "declared": declared,
         "host": host,
-        "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."),
+        "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) + 1 - parts, F.lit(1)), parts), "."),
         "suffix": F.element_at(labels, -1),
         "text": visible_text(html),
     }
@@ -166,10 +173,11 @@ def page_languages(
 ) -> DataFrame:
     """page_id, lang, posterior, text_lang, declared and host for each row of pages.
 
-    The posterior is proportional to the likelihood of the text, that of the declared language, that of the address
-    suffix, and the prior of the host. The likelihoods of declaration and suffix are counted against the languages that
-    the texts alone give. A host's prior is its pages' counts, smoothed by its domain's, these by its suffix's, these by
-    all pages'; a page's own vote is left out at every level. All counts are grouped aggregates, joined back by key.
+    The posterior is proportional to the likelihood of the text, that of the declared language, and the prior of the
+    host. The likelihood of a declaration is counted against the languages that the texts alone give. A host's prior is
+    its pages' counts, smoothed by its domain's, these by its address suffix's, these by all pages'; so the suffix counts
+    once, and most where host and domain say little. A page's own vote is left out at every level. All counts are grouped
+    aggregates, joined back by key. The posterior is rounded to 12 places: sums differ in the last.
 
     A null or empty page has no text evidence: its text_lang is null and it casts no vote, and its host decides. A
     missing address or declaration is a value of its own. Repeated rows each count. An empty table gives no rows. Without
@@ -240,13 +248,12 @@ def page_languages(
         levels.append(
             lambda i, c=c, above=above: (F.get(c, i) + F.lit(smoothing) * above(i)) / (F.col(f"n_{c}") + F.lit(smoothing))
         )
-    suffix = lambda i: (F.get("by_suffix", i) + 1.0) / (F.get("all", i) + 1.0 + float(n))
     declared = lambda i: (F.get("by_declared", i) - own(i) + 1.0) / (F.get("all", i) + 1.0 + float(n))
     logs = sizes.select(
         "page_id", "declared", "host", "vote",
         F.transform(
             every,
-            lambda i: F.get("likelihood", i) + F.log(declared(i)) + F.log(suffix(i)) + F.log(levels[-1](i)),
+            lambda i: F.get("likelihood", i) + F.log(declared(i)) + F.log(levels[-1](i)),
         ).alias("logs"),
     )
     top = F.array_max("logs")
@@ -255,7 +262,7 @@ def page_languages(
     return logs.select(
         "page_id",
         F.get(names, F.array_position("logs", top).cast("int") - 1).alias("lang"),
-        (1.0 / share).alias("posterior"),
+        F.round(1.0 / share, 12).alias("posterior"),
         F.get(names, F.col("vote")).alias("text_lang"),
         F.nullif("declared", F.lit("")).alias("declared"),
         F.nullif("host", F.lit("")).alias("host"),

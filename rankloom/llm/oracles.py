@@ -31,9 +31,16 @@ def _spans(kind: int, pattern: str, value: str) -> str:
                             unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i, text FROM d)"""
 
 
-_allowed = " OR ".join(f"regexp_matches(value, '{p}')" for p in ALLOWED if "\\1" not in p)
+_whole = [p for p in ALLOWED if p.startswith("^")]
+_cut = "|".join(f"({p})" for p in ALLOWED if not p.startswith("^"))
+
+
+def _allowed(value: str) -> str:
+    return " OR ".join(f"regexp_matches({value}, '{p}')" for p in _whole)
+
+
 _class = " ".join(
-    f"WHEN regexp_full_match(value, '[{c.characters}]+') THEN {most_units(c.bits, WINDOW)}" for c in CLASSES
+    f"WHEN regexp_full_match(piece, '[{c.characters}]+') THEN {most_units(c.bits, WINDOW)}" for c in CLASSES
 )
 
 SECRETS = f"""
@@ -45,14 +52,14 @@ raw AS ({_spans(0, _ASSIGN, f"regexp_extract_all(text, '{_ASSIGN}', 2)[i]")}
 placed AS (SELECT row_number() OVER () AS span, doc_id, kind, value, coalesce(hits, 0) + gap AS first,
                   coalesce(hits, 0) + gap + length(hit) AS last FROM raw
            WHERE length(value) >= CASE kind WHEN 0 THEN 12 WHEN 1 THEN 18 WHEN 2 THEN 16 ELSE {WINDOW} END),
-unsure AS (SELECT span, value, CASE {_class} ELSE -1 END AS most FROM placed
-           WHERE kind = 3 AND NOT ({_allowed})
-             AND NOT list_bool_or(list_transform(range(1, length(value) - 4),
-                                                 lambda i: value[i:i + 5] = repeat(value[i:i], 6)))),
-windows AS (SELECT span, most, value, unnest(range(1, length(value) - {WINDOW - 2})) AS i FROM unsure),
-chars AS (SELECT span, most, i, substring(value, i + j, 1) AS c FROM windows, range({WINDOW}) AS t(j)),
-counts AS (SELECT span, most, i, c, count(*) AS n FROM chars GROUP BY ALL),
-sums AS (SELECT span, most, i, sum(CAST(round(n * log2(n) * {SCALE}) AS BIGINT)) AS units FROM counts GROUP BY ALL),
+pieces AS (SELECT span, unnest(string_split_regex(value, '{_cut}')) AS piece FROM placed
+           WHERE kind = 3 AND NOT ({_allowed("value")})),
+unsure AS (SELECT row_number() OVER () AS place, span, piece AS value, CASE {_class} ELSE -1 END AS most FROM pieces
+           WHERE length(piece) >= {WINDOW} AND NOT ({_allowed("piece")})),
+windows AS (SELECT place, span, most, value, unnest(range(1, length(value) - {WINDOW - 2})) AS i FROM unsure),
+chars AS (SELECT place, span, most, i, substring(value, i + j, 1) AS c FROM windows, range({WINDOW}) AS t(j)),
+counts AS (SELECT place, span, most, i, c, count(*) AS n FROM chars GROUP BY ALL),
+sums AS (SELECT place, span, most, i, sum(CAST(round(n * log2(n) * {SCALE}) AS BIGINT)) AS units FROM counts GROUP BY ALL),
 found AS (SELECT DISTINCT span FROM sums WHERE units <= most),
 final AS (SELECT doc_id, kind, first, last,
                  ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || first || ':' || last AS said

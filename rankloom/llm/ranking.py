@@ -107,10 +107,12 @@ def learn_ranking(
     model = Model(out, 0.0, 1.0)
     raw = train.select(model.raw({n: F.col(n) for n in values}).alias("raw"))
     share0 = seen["n0"] / (seen["n0"] + seen["n1"])
-    low, mid, cut, high = raw.agg(
-        F.percentile_approx("raw", [0.5 * share0, share0, min(1.0, share0 + 0.02), (1 + share0) / 2], 10000)
+    low, at, high = raw.agg(
+        F.percentile_approx("raw", [0.5 * share0, share0, (1 + share0) / 2], 10000)
     ).first()[0]
-    return Model(out, (mid + cut) / 2, max(1e-6, (high - low) / 8))
+    # Between the quantile and the next score, so that the rows above it are just the share of label 1.
+    above = raw.filter(F.col("raw") > at).agg(F.min("raw")).first()[0]
+    return Model(out, at if above is None else (at + above) / 2, max(1e-6, (high - low) / 8))
 
 
 def ranked(stats: DataFrame, model: Model) -> DataFrame:

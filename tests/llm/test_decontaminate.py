@@ -68,6 +68,14 @@ def test_short_items_are_found_at_word_bounds(spark, make):
     assert sorted((r["doc_id"], r["item_id"], r["distance"], r["first"], r["last"]) for r in got) == [
         (1, 1, 0, 12, 21), (3, 1, 0, 2, 11), (4, 1, 0, 13, 22), (6, 2, 0, 25, 26), (6, 3, 0, 4, 26), (7, 2, 0, 21, 22)
     ]
+    assert all(r["exact_short"] for r in got)
+
+
+def test_a_letter_as_item_is_marked(spark, make):
+    items = spark.createDataFrame([(1, "A"), (2, "yes"), (3, prose(30, 4))], "item_id long, text string")
+    got = find_leaks(make([(1, "a cat sat on a mat"), (2, "yes it is"), (3, prose(30, 4))]), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["exact_short"]) for r in got if r["doc_id"] < 3) == [(1, 1, True), (2, 2, True)]
+    assert (3, 3, False) in [(r["doc_id"], r["item_id"], r["exact_short"]) for r in got]
 
 
 def test_empty_tables(spark, make):

@@ -60,12 +60,52 @@ def test_a_page_does_not_vote_for_itself(spark, model):
     assert got[2]["lang"] == "fr" and got[2]["posterior"] > 0.9
 
 
+def plain_posteriors(rows, langs, votes):
+    """Posteriors of pages without text by hand: rows are (id, suffix, domain, host), votes the text languages."""
+
+    def share(lang, level, key, me):
+        mine = [votes[r[0]] for r in rows if r[level] == key and r[0] != me and votes[r[0]]]
+        return mine.count(lang), len(mine)
+
+    out = {}
+    for me, suffix, domain, host in rows:
+        if votes[me]:
+            continue
+        scores = []
+        for lang in langs:
+            others = [votes[r[0]] for r in rows if votes[r[0]]]
+            p = (others.count(lang) + 1) / (len(others) + len(langs))
+            for level, key in ((1, suffix), (2, domain), (3, host)):
+                n, whole = share(lang, level, key, me)
+                p = (n + language.SMOOTHING * p) / (whole + language.SMOOTHING)
+            # No page declares a language, so the missing declaration is as likely as the pages' votes say.
+            n = others.count(lang)
+            scores.append(p * (n + 1) / (n + 1 + len(langs)))
+        out[me] = max(scores) / sum(scores)
+    return out
+
+
+def test_posteriors_are_those_of_plain_counts(spark, model):
+    """Pages without text: only the chain of host, domain, suffix and all decides, and the suffix counts once."""
+    rows = [(i, "fr", f"a{i}.fr", f"a{i}.fr", FR) for i in range(20)]
+    rows += [(100 + i, "com", f"b{i}.com", f"b{i}.com", EN) for i in range(15)]
+    rows += [(200 + i, "uk", f"c{i % 2}.co.uk", f"w{i}.c{i % 2}.co.uk", EN if i % 3 else FR) for i in range(9)]
+    rows += [(300, "fr", "new.fr", "new.fr", ""), (301, "com", "b1.com", "b1.com", ""), (302, "uk", "c1.co.uk", "w1.c1.co.uk", "")]
+    rows += [(303, "uk", "c0.co.uk", "x.c0.co.uk", ""), (304, "org", "z.org", "z.org", "")]
+    got = judged(spark, model, [(r[0], f"https://{r[3]}/p", r[4]) for r in rows])
+    votes = {r[0]: got[r[0]]["text_lang"] for r in rows}
+    assert all(votes[r[0]] == {FR: "fr", EN: "en", "": None}[r[4]] for r in rows)
+    expected = plain_posteriors([r[:4] for r in rows], model[0], votes)
+    assert {i: got[i]["posterior"] for i in expected} == pytest.approx(expected)
+    assert got[300]["lang"] == "fr" and got[302]["lang"] == "en"
+
+
 def test_fields(spark):
     row = spark.createDataFrame(
         [("https://u@M.Example.co.uk:80/p?q", '<HTML class=a LANG="pt-BR"><b>a&amp;b</b>')], "url string, html string"
     )
     got = row.select(*[c.alias(k) for k, c in page_fields(row).items()]).first()
-    assert tuple(got) == ("pt", "m.example.co.uk", "co.uk", "uk", "a b")
+    assert tuple(got) == ("pt", "m.example.co.uk", "example.co.uk", "uk", "a b")
 
 
 def test_empty_pages(spark, model):
