@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir). All but the last return the columns of documents,
 and the last returns the packed pieces. run() writes the result of each stage to the shared folder and reads it again.
+
+All stages take null texts and ids, texts of any length, repeated rows and further columns of any name (which are left
+out). Without documents they return none. Without labels only the base rules judge; without benchmark nothing is dropped.
 """
 
 from __future__ import annotations
@@ -60,15 +63,20 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("key"))
     first = stored(first.agg(F.count("*").alias("rows")))
     kept = keyed.join(first.select("key"), "key", "left_semi")
-    if not first.filter("rows > 1").isEmpty():  # rows that repeat an id and a text
-        kept = kept.dropDuplicates(["key"])
+    if not first.filter("rows > 1").isEmpty():  # rows that repeat an id and a text: the least by their other columns
+        others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        least = kept.groupBy("key", "doc_id", "text").agg(F.min(F.struct(*others)).alias("least"))
+        kept = least.select("doc_id", "text", *[F.col(f"least.{c}").alias(c) for c in others])
     return kept.select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Items under 24 characters don't decide: a word or a letter may be such an item, and any document may hold it.
+    """
     keyed = _keyed(docs)
-    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), "key")
+    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark"), "key").filter("not exact_short")
     return _without(keyed, leaks.select(F.col("doc_id").alias("key")).distinct())
 
 
