@@ -163,7 +163,24 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_folder()
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Folders that this process has named.
+_MADE: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Remove the intermediate tables of all operators that ran in this process; how many there were.
+
+    A result may still read them, so write or collect it first.
+    """
+    dropped = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
 
 
 def stored(df: DataFrame) -> DataFrame:
