@@ -25,7 +25,7 @@ from rankloom.operators.popular import top_queries_bounded
 from rankloom.operators.ranks import SORT_STEPS, stage_ranks_weighted
 from rankloom.operators.sampling import experiment_sample, merge_samples
 from rankloom.operators.visit_sets import number_visits, top_queries_of_sets, visit_sets
-from rankloom.plans import experiment_quicklook, experiment_report_by_date
+from rankloom.plans import experiment_quicklook, experiment_report_by_date, store_sorted_ranks
 from rankloom.sources import on_dates, read_prefixed
 
 SAMPLE = 50
@@ -122,13 +122,7 @@ _BY_STEPS = ", ".join(f"{name} NULLS LAST" for name in (*SORT_STEPS, "request_uu
 )
 def sorted_rank_table(spark, folder):
     """The rank table stored in its order and read back in it, without another look at the ranks."""
-    steps = [F.col(name).asc_nulls_last() for name in SORT_STEPS]
-    store = new_store(spark)
-    rows = R.doubles(rank_rows(spark, folder))
-    store.replace_sorted(
-        "stage_ranks", rows, F.col("query").asc_nulls_first(), *steps, "request_uuid", "listing_id"
-    )
-    return store.sorted_table("stage_ranks")
+    return store_sorted_ranks(R.doubles(rank_rows(spark, folder)), new_store(spark))
 
 
 @check(f"""SELECT visit_id, event_type AS event_name, CAST(dt AS VARCHAR) AS day FROM sent

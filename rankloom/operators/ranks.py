@@ -386,7 +386,12 @@ def stage_ranks_joined(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return expand_copies(stage_ranks_weighted(ranked, keys))
 
 
-def sort_stage_ranks(stage_ranks: DataFrame) -> DataFrame:
+def rank_order() -> list[Column]:
     """By query (NULLs first), then by the steps from last to first, missing ranks last."""
     steps = [F.col(name).asc_nulls_last() for name in SORT_STEPS]
-    return stage_ranks.orderBy(F.col("query").asc_nulls_first(), *steps)
+    return [F.col("query").asc_nulls_first(), *steps]
+
+
+def sort_stage_ranks(stage_ranks: DataFrame) -> DataFrame:
+    """The rank table in its order (see ``rank_order``)."""
+    return stage_ranks.orderBy(*rank_order())

@@ -6,6 +6,7 @@ from rankloom.plans.experiment import (
     experiment_report,
     experiment_report_by_date,
     rank_table,
+    store_sorted_ranks,
 )
 from rankloom.plans.top_queries import popular_rank_table, top_query_report
 
@@ -16,5 +17,6 @@ __all__ = [
     "experiment_report_by_date",
     "popular_rank_table",
     "rank_table",
+    "store_sorted_ranks",
     "top_query_report",
 ]

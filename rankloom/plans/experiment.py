@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -18,6 +19,7 @@ from rankloom.operators.metrics import (
     visit_facts,
 )
 from rankloom.operators.ranks import (
+    rank_order,
     ranked_requests,
     request_ranks,
     sampled_candidates,
@@ -93,6 +95,19 @@ def rank_table(
     return ranks if store is None else store.replace("stage_ranks", ranks, "_date")
 
 
+def store_sorted_ranks(
+    ranks: DataFrame, store: TableStore, then: Sequence[str] = ("request_uuid", "listing_id")
+) -> DataFrame:
+    """Write a rank table as ``stage_ranks_sorted``, by query and then by the steps from last to first.
+
+    Rows of equal ranks are in the order of ``then``, as far as the table has these columns. The
+    result is the stored table in its order; ``TableStore.sorted_table`` gives it again later.
+    """
+    ties = [name for name in then if name in ranks.columns]
+    store.replace_sorted("stage_ranks_sorted", ranks, *rank_order(), *ties)
+    return store.sorted_table("stage_ranks_sorted")
+
+
 def experiment_report(
     sources: Sources, params: ExperimentParams, store: TableStore | None = None
 ) -> DataFrame:
