@@ -32,7 +32,7 @@ MODEL_TYPE_BPE = 2
 #: Characters of a segment whose agenda is a row of a matrix; rows of a matrix.
 WIDTHS, ROWS = (8, 16, 32), 1 << 14
 #: Characters of a part of a long text, and of the texts that are worked on together.
-PART, TOGETHER = 1 << 20, 1 << 22
+PART, TOGETHER = 1 << 20, 1 << 21
 #: Segments in a text that the library encodes to check them.
 CHECKED = 64
 _NONE = np.int64(1) << 40
@@ -452,79 +452,97 @@ def _in_groups(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode_pieces(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
-) -> DataFrame:
-    """Every row's id as doc_id, ids (binary: little-endian unsigned 32-bit numbers, begin and end included), agrees.
-
-    agrees says whether the library gives the same ids. Batch by batch it encodes every distinct segment; if one differs,
-    it encodes every text of the batch. With whole it encodes every text at once, which takes several times as long.
-
-    A null or empty text has begin and end only. Very long texts are encoded in parts of some 2^20 characters, cut at
-    single spaces, where nothing merges; a segment of more than 32 characters costs some 100 bytes a character. Equal rows
-    give equal rows, an empty table gives none, and other columns of docs play no part, whatever their names. The model
-    file is read on the driver; its bytes (some hundred KB, a vocabulary's size) travel with the tasks.
-    """
-    with open(model_path, "rb") as file:
-        model = file.read()
-    PieceModel(model)
-
+def _encoder(model: bytes, whole: bool):
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, library = _loaded(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for rows in _in_groups([len(t) for t in texts]):
-                parts = [_parts(text) for text in texts[rows]]
-                ids, segments, held, bounds = own.encode([part for one in parts for part in one])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for rows in _in_groups(sizes):
+                ids, texts = (c[rows.start : rows.stop] for c in batch.columns)
+                parts = [_parts(text or "") for text in texts.to_pylist()]
+                found, segments, held, bounds = own.encode([part for one in parts for part in one])
                 same = not whole and _confirmed(library, segments, held, bounds)
                 out, agrees, at = [], [], 0
                 for one in parts:
-                    mine = np.concatenate([[own.bos], *ids[at : at + len(one)], [own.eos]]).astype("<u4")
+                    mine = np.concatenate([[own.bos], *found[at : at + len(one)], [own.eos]]).astype("<u4")
                     at += len(one)
                     out.append(mine.tobytes())
                     agrees.append(same or mine[1:-1].tolist() == [i for p in library.encode(one, num_threads=1) for i in p])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows.start : rows.stop], pa.array(out, pa.binary()), pa.array(agrees, pa.bool_())],
-                    ["doc_id", "ids", "agrees"],
+                    [ids, pa.array(out, pa.binary()), pa.array(agrees, pa.bool_())], ["doc_id", "ids", "agrees"]
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encoded, f"doc_id {kind}, ids binary, agrees boolean")
-
+    return encoded
 
-def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """The rows of encode_pieces with decoded, the text of ids; agrees also says whether the library decodes alike.
-
-    Ids of begin and end have no text. Null ids count as none. The decoded text is that which was encoded, with the mark
-    U+2581 as a space.
-    """
-    with open(model_path, "rb") as file:
-        model = file.read()
 
+def _decoder(model: bytes):
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, library = _loaded(model)
         for batch in batches:
-            held = batch.column(1).to_pylist()
-            for rows in _in_groups([len(b or b"") for b in held]):
-                ids = [np.frombuffer(one or b"", "<u4") for one in held[rows]]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for rows in _in_groups(sizes):
+                names, held, same = (c[rows.start : rows.stop] for c in batch.columns)
+                ids = [np.frombuffer(one or b"", "<u4") for one in held.to_pylist()]
                 texts = own.decode_all(ids)
                 theirs = library.decode([one.tolist() for one in ids], num_threads=1)
-                same = batch.column(2)[rows.start : rows.stop].to_pylist()
-                agrees = [bool(s) and mine == other for s, mine, other in zip(same, texts, theirs)]
+                agrees = [bool(s) and mine == other for s, mine, other in zip(same.to_pylist(), texts, theirs)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[rows.start : rows.stop],
-                        batch.column(1)[rows.start : rows.stop],
-                        pa.array(agrees, pa.bool_()),
-                        pa.array(texts, pa.string()),
-                    ],
+                    [names, held, pa.array(agrees, pa.bool_()), pa.array(texts, pa.string())],
                     ["doc_id", "ids", "agrees", "decoded"],
                 )
 
+    return decoded
+
+
+def _model_bytes(model_path: str) -> bytes:
+    with open(model_path, "rb") as file:
+        model = file.read()
+    PieceModel(model)
+    return model
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, agrees boolean"
+
+
+def encode_pieces(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
+) -> DataFrame:
+    """Every row's id as doc_id, ids (binary: little-endian unsigned 32-bit numbers, begin and end included), agrees.
+
+    agrees says whether the library gives the same ids. Batch by batch it encodes every distinct segment; if one differs,
+    it encodes every text of the batch. With whole it encodes every text at once, which takes several times as long.
+
+    A null or empty text has begin and end only. Very long texts are encoded in parts of some 2^20 characters, cut at
+    single spaces, where nothing merges; a segment of more than 32 characters costs some 100 bytes a character. Equal rows
+    give equal rows, an empty table gives none, and other columns of docs play no part, whatever their names. The model
+    file is read on the driver; its bytes (some hundred KB, a vocabulary's size) travel with the tasks.
+    """
+    rows, schema = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoder(_model_bytes(model_path), whole), schema)
+
+
+def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
+    """The rows of encode_pieces with decoded, the text of ids; agrees also says whether the library decodes alike.
+
+    Ids of begin and end have no text. Null ids count as none. The decoded text is that which was encoded, with the mark
+    U+2581 as a space.
+    """
     kind = encoded.schema["doc_id"].dataType.simpleString()
     rows = encoded.select("doc_id", "ids", "agrees")
-    return rows.mapInArrow(decoded, f"doc_id {kind}, ids binary, agrees boolean, decoded string")
+    schema = f"doc_id {kind}, ids binary, agrees boolean, decoded string"
+    return rows.mapInArrow(_decoder(_model_bytes(model_path)), schema)
+
+
+def encode_and_decode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """decode_pieces of encode_pieces, both in one worker: ids go from one to the other as Arrow batches."""
+    rows, schema = _rows(docs, id_col, text_col)
+    model = _model_bytes(model_path)
+    encoder, decoder = _encoder(model, False), _decoder(model)
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), f"{schema}, decoded string")
 
 
 def pieces_digest(decoded: DataFrame) -> DataFrame:

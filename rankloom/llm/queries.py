@@ -11,7 +11,7 @@ from rankloom.llm.decontaminate import find_leaks
 from rankloom.llm.language import learn_any_languages, page_languages
 from rankloom.llm.lines import apply_line_bitmaps, line_keep_bitmaps, lines_digest
 from rankloom.llm.packing import pack_documents
-from rankloom.llm.pieces import decode_pieces, encode_pieces, pieces_digest
+from rankloom.llm.pieces import encode_and_decode, pieces_digest
 from rankloom.llm.ranking import learn_ranking, ranked
 from rankloom.llm.rules import judged, learn_rules
 from rankloom.llm.runs import find_runs, runs_digest
@@ -86,7 +86,7 @@ def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces_digest(decode_pieces(encode_pieces(table(spark, folder, "documents"), model), model))
+    return pieces_digest(encode_and_decode(table(spark, folder, "documents"), model))
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm.pieces import PieceModel, _confirmed, _parts, decode_pieces, encode_pieces, pieces_digest
+from rankloom.llm.pieces import PieceModel, _confirmed, _parts, decode_pieces, encode_and_decode, encode_pieces, pieces_digest
 from tests.llm.conftest import CLASHES, ODD, prose
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -73,6 +73,8 @@ def test_rows_of_any_kind(spark, make):
     encoded = encode_pieces(make(rows, CLASHES), PATH)
     whole = encode_pieces(make(rows, CLASHES), PATH, whole=True)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, encoded.collect()))
+    together = encode_and_decode(make(rows, CLASHES), PATH)
+    assert sorted(map(repr, together.collect())) == sorted(map(repr, decode_pieces(encoded, PATH).collect()))
     out = pieces_digest(decode_pieces(encoded, PATH))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
 
