@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.text import stored, whole
-from rankloom.llm.windows import bucket_ids, first_least, pair_ids
+from rankloom.llm.windows import bucket_ids, first_least, pair_ids, prefix_marks
 
 LENGTH = 200
 #: A task sorts this many entries at a time before it sends them on.
@@ -133,9 +133,10 @@ def _packs(e: Entries, kind: int, buckets: int) -> pa.RecordBatch:
     )
 
 
-def _sort_out(entries: Entries, last: bool) -> tuple[Entries, Entries, Entries]:
+def _sort_out(entries: Entries, last: bool, refine: bool = True) -> tuple[Entries, Entries, Entries]:
     """Entries that are decided (their identifier is found twice), open ones (their key holds several identifiers) and,
-    unless last, those that other tasks have to see: one for each identifier, two for each key at most."""
+    unless last, those that other tasks have to see: one for each identifier. Where a key's open entries are looked at
+    again (refine), two identifiers for each key show that it is open, so no more are sent."""
     order = np.lexsort((entries["id"], entries["key"]))
     e = _take(entries, order)
     n = len(order)
@@ -156,11 +157,11 @@ def _sort_out(entries: Entries, last: bool) -> tuple[Entries, Entries, Entries]:
     if last:
         return decided, _take(e, mixed & ~reported), {}
     place = group - group[np.flatnonzero(new_key)][of_key]
-    return decided, _take(e, mixed & new_id), _take(e, new_id & (place < 2))
+    return decided, _take(e, mixed & new_id), _take(e, new_id & (place < 2) if refine else new_id)
 
 
 def _flushed(parts: list[Entries], buckets: int, refine: bool) -> Iterator[pa.RecordBatch]:
-    decided, still_open, send = _sort_out(_join(parts), last=False)
+    decided, still_open, send = _sort_out(_join(parts), False, refine)
     yield _packs(_merged(decided), _DECIDED, buckets)
     if refine:
         yield _packs(still_open, _OPEN, buckets)
@@ -218,7 +219,8 @@ def _run_batches(buckets: int, length: int):
 
 
 def _window_batches(buckets: int, length: int):
-    """Each window of the open runs of a text: its key is its full-length bucket within its pointer's; id is the same for all."""
+    """Each window of the open runs of a text: its key is its full-length bucket within its pointer's, its id a second
+    identifier made from the bytes alone, so that two strings with one key are still told apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -229,12 +231,14 @@ def _window_batches(buckets: int, length: int):
                 chunk = first // CHUNK
                 for c in np.unique(chunk):
                     here, start = chunk == c, int(c) * CHUNK
-                    full = bucket_ids(_chunk(data, start, CHUNK, length), (length,))[length]
+                    bytes_here = _chunk(data, start, CHUNK, length)
+                    full = bucket_ids(bytes_here, (length,))[length]
+                    marks = prefix_marks(bytes_here, length)
                     sizes = (last[here] - first[here] + 1).astype(np.int64)
                     at = np.arange(sizes.sum()) + (first[here] - start - (np.cumsum(sizes) - sizes)).repeat(sizes)
                     found = pair_ids(full[at], key[here].view(np.uint64).repeat(sizes))
                     none = np.zeros(len(at))
-                    parts.append(_entries(found, np.zeros_like(found), doc.as_py(), of.as_py(), at + start, none))
+                    parts.append(_entries(found, marks[at], doc.as_py(), of.as_py(), at + start, none))
                     held += len(at)
                     if held >= FLUSH:
                         yield from _flushed(parts, buckets, False)
@@ -293,7 +297,7 @@ def repeated_windows(
     variant is a hash of the text which tells rows of one doc_id apart. Spans of a text may touch or overlap. Texts are
     UTF-8 bytes; null counts as empty; texts shorter than length, and texts with nothing repeated, give no row. Every row
     of docs counts as a text of its own, so an equal text under the same or a null id is a repetition. Ids are whole
-    numbers of up to 64 bits. Strings are compared by 64-bit identifiers within buckets of 64-bit identifiers.
+    numbers of up to 64 bits. Strings are compared by a 64-bit bucket identifier and a second, independent one of 24 bits.
 
     A text is read in chunks of windows, so a very long one costs its bytes and one chunk's buckets.
 

@@ -6,6 +6,8 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(29), np.uint64(32)
+_BASE = 0xD1342543DE82EF95
+_MARK = np.uint64(40)
 
 
 def pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -45,6 +47,29 @@ def bucket_ids(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarr
     return out
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+def prefix_marks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each start, 24 bits of the string of this length: those of a polynomial in its bytes, from sums over prefixes.
+
+    It shares nothing with bucket_ids, so strings that one of the two takes for equal are told apart by the other.
+    """
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    x = (sums[length:] - sums[:-length]) * _powers(pow(_BASE, -1, 1 << 64), n)
+    x ^= x >> _S2
+    x *= _M2
+    return x >> _MARK
+
+
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of this many values, the place of its least value, the first of equals."""
     n = len(values) - width + 1

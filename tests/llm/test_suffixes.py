@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from rankloom.llm import suffixes
 from rankloom.llm.suffixes import remove_repeats, repeats_digest
-from rankloom.llm.windows import bucket_ids, first_least
+from rankloom.llm.windows import bucket_ids, first_least, pair_ids, prefix_marks
 from tests.llm.conftest import CLASHES, ODD, prose
 
 
@@ -60,6 +60,14 @@ def test_chunks_of_a_text_give_the_same(make, monkeypatch):
     assert found(make(pairs).repartition(5), 64) == plain(pairs, 64)
 
 
+def test_forced_collisions_remove_nothing(make, monkeypatch):
+    monkeypatch.setattr(suffixes, "FLUSH", 300)
+    monkeypatch.setattr(suffixes, "pair_ids", lambda a, b: pair_ids(a, b) & np.uint64(15))
+    pairs = [(i, f"{prose(9, i)} {prose(40, i % 4)} {prose(9, i + 50)}") for i in range(40)]
+    pairs += [(100 + i, prose(90, 500 + i)) for i in range(10)]
+    assert found(make(pairs).repartition(6), 64) == plain(pairs, 64)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab", min_size=0, max_size=90), min_size=1, max_size=12))
 def test_any_text(make, texts):
@@ -80,6 +88,16 @@ def test_buckets_tell_strings_apart():
         assert len(set(ids.tolist())) == len(set(strings)) == len(set(zip(ids.tolist(), strings, strict=True)))
 
 
+def test_marks_follow_the_bytes():
+    data = np.frombuffer((prose(300, 3) * 2).encode(), np.uint8)
+    marks = prefix_marks(data, 50).tolist()
+    strings = [data[i : i + 50].tobytes() for i in range(len(data) - 49)]
+    assert len(marks) == len(strings) and max(marks) < 1 << 24
+    assert len(set(strings)) == len(set(zip(marks, strings, strict=True)))
+    assert len(set(marks)) >= 0.99 * len(set(strings))
+    assert prefix_marks(data[:49], 50).tolist() == []
+
+
 def test_first_least():
     values = np.array([5, 3, 3, 9, 1, 7, 1, 1], np.uint64)
     for width in range(1, 9):
