@@ -27,6 +27,38 @@ def test_best_fit_holds_every_piece(lengths):
         assert final[b] == min(c for c in (16, 32, 64) if c >= at)
 
 
+def plain_best_fit(lengths, sizes):
+    """Every open bin is looked at for every piece; of bins with equal room the one changed last is taken."""
+    best = None
+    for limit in range(1, len(sizes) + 1):
+        order = sorted(sizes[:limit], key=lambda c: (sequence_cost(c) / c, -c)) + list(sizes[limit:])
+        open_bins, placed = [], []
+        for step, length in enumerate(lengths):
+            fitting = [b for b in open_bins if b["size"] - b["used"] >= length]
+            if fitting:
+                to = min(fitting, key=lambda b: (b["size"] - b["used"], -b["step"]))
+            else:
+                to = {"number": len(open_bins), "size": next(c for c in order if c >= length), "used": 0}
+                open_bins.append(to)
+            placed.append((to["number"], to["used"]))
+            to["used"] += length
+            to["step"] = step
+        final = [min(c for c in sizes if c >= b["used"]) for b in open_bins]
+        cost = sum(map(sequence_cost, final))
+        if best is None or cost < best[0]:
+            best = (cost, placed, final)
+    return best[1:]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 8192), min_size=1, max_size=90))
+def test_best_fit_is_that_of_a_plain_search(lengths):
+    lengths = sorted(lengths, reverse=True)
+    bins, offsets, final = best_fit(lengths)
+    placed, wanted = plain_best_fit(lengths, CAPACITIES)
+    assert list(zip(bins, offsets, strict=True)) == placed and final == wanted
+
+
 def test_joint_choice_is_no_dearer_than_one_size():
     lengths = sorted([900, 900, 700, 300, 300, 100, 100, 90, 40] * 30, reverse=True)
     cost = sum(map(sequence_cost, best_fit(lengths)[2]))

@@ -1,9 +1,11 @@
 """Shards: every record once, gapless slots, the same again, and a further shard takes rows only into itself."""
 
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rankloom.llm.sharding import bucketed, shards_digest, shuffle_shards, write_shards
@@ -27,6 +29,27 @@ def test_law_and_slots(make):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def plain_shard(key, shards, seed=20240):
+    """The shard with the largest hash of seed, key and shard number; each value's hash seeds that of the next."""
+
+    def ticket(shard):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        if key is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        return (h - (1 << 64) if h >> 63 else h, shard)
+
+    return max(map(ticket, range(shards)))[1]
+
+
+def test_shards_are_those_of_plain_hashes(make):
+    pairs = [(i * 7 - 500, prose(3 + i % 9, i)) for i in range(400)] + ODD
+    rows = shards_digest(shuffle_shards(make(pairs), bucket_bytes=4000)).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(r["doc_id"], 16), plain_shard(r["doc_id"], 17))
+
+
 def test_a_bucket_is_shuffled_not_sorted(make):
     rows = shards_digest(shuffle_shards(make([(i, "x") for i in range(2000)]), shards=1)).orderBy("slot").collect()
     ids = [r["doc_id"] for r in rows]
