@@ -64,11 +64,15 @@ def experiment_sample_by_dates(spark, folder):
 
 @check(report(SHARES, source="date_base"))
 def experiment_report_by_dates(spark, folder):
-    """A report over all dates that reads only the last date's logs, after one over the others."""
+    """A report over all dates that reads only the last date's logs, after one over the others.
+
+    The logs are derived once and stored, as the dates are read one by one.
+    """
     params = replace(EXPERIMENT, match_date=True, sample_size=None)
     store = new_store(spark)
-    experiment_report_by_date(sources(spark, folder), replace(params, dates=R.DAYS[:-1]), store)
     found = sources(spark, folder)
+    found = replace(found, rpc_logs=store.replace("rpc_logs", found.rpc_logs))
+    experiment_report_by_date(found, replace(params, dates=R.DAYS[:-1]), store)
     last = on_dates(found.rpc_logs.withColumn("dt", F.to_date("queryTime")), R.DAYS[-1:], "dt")
     return experiment_report_by_date(replace(found, rpc_logs=last.drop("dt")), params, store)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import relations as R
 from checks.analyses import EXPERIMENT, QUICKLOOK, sources
 from checks.compare import order_difference
+from checks.incremental import experiment_report_by_dates
 from checks.registry import ORDERED
 from checks.stores import new_store
 from rankloom.operators import visit_sets as V
@@ -26,7 +27,7 @@ from rankloom.operators.ranks import mixed_ranks, running_ranks
 from rankloom.operators.sampling import merge_samples, stable_sample
 from rankloom.params import ExperimentParams, RequestFilters, TopQueryParams
 from rankloom.plans import experiment_report, experiment_report_by_date
-from rankloom.sources import read_prefixed, table_date
+from rankloom.sources import TableStore, read_prefixed, table_date
 from tests.fixtures import as_list, as_set, entry, flat_logs, log
 
 FOLDER = "/root/testdata/sf0.001"
@@ -280,3 +281,22 @@ def test_dates_choose_tables_of_a_database(spark):
         assert [r.d for r in read_prefixed(spark, "days", "rpc_", since=date(2024, 5, 2)).collect()] == [1, 1]
     finally:
         spark.sql("DROP DATABASE days CASCADE")
+
+
+# Logs read by date
+
+
+def test_report_by_dates_derives_and_reads_its_logs_once(spark, monkeypatch):
+    """Of all tables written one is made of the line items, and one for each date of the logs."""
+    written, replace_table = {}, TableStore.replace
+
+    def recorded(self, name, rows, partition_by=None):
+        written[name] = rows.inputFiles()
+        return replace_table(self, name, rows, partition_by)
+
+    monkeypatch.setattr(TableStore, "replace", recorded)
+    experiment_report_by_dates(spark, FOLDER)
+    of_items = [name for name, files in written.items() if any("lineitem" in file for file in files)]
+    assert of_items == ["rpc_logs"]
+    of_logs = {name for name, files in written.items() if any("/rpc_logs/" in file for file in files)}
+    assert of_logs == {f"log_rows_{day:%Y%m%d}" for day in R.DAYS}
