@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import joins, ranks
 from rankloom.operators.ranks import (
     STEP_NAMES,
+    STEPS,
     candidate_entries,
     listing_ranks,
     pivot_ranks,
@@ -316,3 +317,49 @@ def test_ranks_are_dense(spark):
     bad = groups.agg(F.max("rank").alias("m"), F.countDistinct("rank").alias("n")).filter("m <> n")
     assert bad.count() == 0
     assert moment(MONDAY, 1) > moment(MONDAY)
+
+
+def test_entries_are_limited_before_they_are_unnested(spark):
+    plan = ranked_candidates(flat_logs(spark, random_logs(1)), KEYS, order=["query_time"], cap=3)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    unnested = text.index("posexplode(")
+    # A plan begins with what is done last: the limit within each task is below the unnesting.
+    assert text.index("Partial", unnested) < text.index("Scan ExistingRDD")
+    assert "Partial" not in text[:unnested]
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 7, 50])
+@pytest.mark.parametrize("seed", range(3))
+def test_window_ranks_of_tied_log_rows(spark, seed, cap):
+    """Log rows of few minutes and queries, so that entries of many log rows share a place."""
+    chance = random.Random(seed)
+    rows = [
+        log(
+            f"u{n}",
+            [
+                entry(
+                    chance.choice(STEP_NAMES[:2]),
+                    chance.choice([None, [chance.randrange(9) for _ in range(chance.randrange(5))]]),
+                )
+                for _ in range(4)
+            ],
+            minute=chance.randrange(3),
+            query=chance.choice(["ring", None]),
+        )
+        for n in range(40)
+    ]
+    logs = flat_logs(spark, rows)
+    found = ranked_candidates(logs, ["query", "query_time"], "query", ["query_time"], cap)
+    groups = {}
+    for row in logs.collect():
+        for place, (stage, source, _, ids) in enumerate(row.candidateSources):
+            name = next(s.name for s in STEPS if (s.stage, s.source) == (stage, source))
+            for pos, listing in enumerate(ids or []):
+                place_of = (row.query_time, place, pos, listing)
+                groups.setdefault((row.query, name), []).append(place_of)
+    expected = {
+        (query, time, name, listing, rank)
+        for (query, name), places in groups.items()
+        for rank, (time, _, _, listing) in enumerate(sorted(places)[:cap], 1)
+    }
+    assert as_set(found, "query", "query_time", "step", "listing_id", "rank") == expected
