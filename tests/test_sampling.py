@@ -4,8 +4,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from checks.analyses import request_to_visit_
 from rankloom.operators.sampling import experiment_sample, flagged_requests, stable_sample
 from rankloom.operators.searches import request_to_visit, sample_searches
+from rankloom.sources import TableStore
 from tests.fixtures import (
     BEACON,
     FLAG,
@@ -108,3 +110,17 @@ def test_visits_of_requests(spark):
     ranks = spark.createDataFrame([("u1",), ("u1",), ("u2",)], "uuid string")
     assert as_set(request_to_visit(ranks, beacons, MONDAY)) == {("u1", "v1"), ("u1", "v2")}
     assert as_set(request_to_visit(ranks, beacons, TUESDAY)) == {("u1", "v2")}
+
+
+def test_visits_of_requests_in_a_stored_table(spark, tmp_path):
+    rows = [visit_beacon("v1", "u1", "ring"), visit_beacon("v2", None, "mug"), visit_beacon("v3", "u9", "ring")]
+    beacons = spark.createDataFrame(rows, VISIT_BEACON)
+    ranks = spark.createDataFrame([("u1",), ("u1",), (None,), ("u2",)], "uuid string")
+    store = TableStore(spark, str(tmp_path))
+    assert as_set(request_to_visit(ranks, beacons, MONDAY, store=store)) == {("u1", "v1")}
+    assert as_set(store.table("requests")) == {("u1",), ("u2",)}
+
+
+def test_the_rank_table_is_not_worked_out_again_for_its_visits(spark):
+    found = request_to_visit_(spark, "/root/testdata/sf0.001")
+    assert not [file for file in found.inputFiles() if "lineitem" in file]
