@@ -175,7 +175,9 @@ def fingerprint_links(prints: DataFrame, most_bits: int = MOST_BITS, part: int =
         ).alias("anchor"),
     )
     members = cells.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cells.join(members, "anchor").withColumn("parts", F.ceil(F.col("members") / part).cast("int"))
+    # Spark sizes the cells as it sizes prints, 34 times too low, and would broadcast either side. Neither may go through
+    # the driver, so the kind of join is stated.
+    shared = cells.join(members.hint("merge"), "anchor").withColumn("parts", F.ceil(F.col("members") / part).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     spread = shared.withColumn("own", own).select(
         "anchor",
@@ -212,7 +214,9 @@ def simhash_groups(
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(classes, most_bits))
+    # Stored, so that Spark knows their size: by its estimate they are as few as the classes.
+    links = stored(fingerprint_links(classes, most_bits).distinct())
+    roots = components(links)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

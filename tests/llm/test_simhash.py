@@ -85,6 +85,13 @@ def test_links_join_what_all_pairs_join(spark):
         assert roots(range(len(prints)), links) == wanted
 
 
+def test_cells_are_not_broadcast(spark):
+    """34 cells for each fingerprint are more than Spark takes them for, however few the fingerprints seem to be."""
+    links = fingerprint_links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(400)]
