@@ -61,3 +61,16 @@ def test_stages_on_odd_rows(spark, make):
                 assert len(ids) == len(set(ids)) and 40 in ids and 41 not in ids
                 assert sum(r["doc_id"] is None for r in got) == 2
         assert bool(got) == bool(rows)
+
+
+def test_stages_broadcast_no_more_than_they_are_sized_at(spark, make):
+    """Ten thousand documents have 340,000 SimHash cells, which must not go through the driver."""
+    docs = make([(100_000 + i, prose(60, 100 + i)) for i in range(10_000)])
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "20m")  # the least that a table with a key of several fields takes is 16 MB
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, FOLDER)
+        assert docs.select("doc_id").distinct().count() > 9000
+    finally:
+        spark.conf.unset(limit)
