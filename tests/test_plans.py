@@ -179,3 +179,21 @@ def test_popular_ranks(spark, sessions, tmp_path, scope, ranks, stored):
     assert [row.query for row in by_query.collect()] == ["ring"]
     wider = top_query_report(sessions, frame, replace(params, extra_queries=("cap",)))[1]
     assert {row.query for row in wider.collect()} == {"ring", "cap"}
+
+
+@pytest.fixture(scope="module")
+def many_logs(spark):
+    """12,000 requests of one query with a listing each, which a third of them found in the first source."""
+    one = spark.createDataFrame([log("a", [entry("mo_last", [1])]), log("b", [entry("solr", [1]), entry("mo_last", [1])])], LOG)
+    ids = spark.range(12_000).withColumn("_found", F.col("id") % 3 == 0)
+    copied = one.join(ids, F.col("_found") == (F.col("RequestIdentifiers.requestUUID") == "b"))
+    uuid = F.struct(F.concat(F.lit("r"), "id").alias("requestUUID"))
+    return copied.withColumn("RequestIdentifiers", uuid).drop("id", "_found")
+
+
+POPULAR = TopQueryParams(AS_OF, RequestFilters("web", query_type=None, cache_bucket="live", organic_only=True), top=1)
+
+
+def test_report_by_query_counts_every_request(sessions, many_logs):
+    rows = top_query_report(sessions, many_logs, POPULAR)[1].collect()
+    assert [(row.query, row.solr_first_page_share) for row in rows] == [("ring", pytest.approx(1 / 3, abs=1e-12))]
