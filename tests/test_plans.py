@@ -1,5 +1,6 @@
 from dataclasses import replace
 from datetime import date
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,11 @@ POPULAR = TopQueryParams(AS_OF, RequestFilters("web", query_type=None, cache_buc
 def test_report_by_query_counts_every_request(sessions, many_logs):
     rows = top_query_report(sessions, many_logs, POPULAR)[1].collect()
     assert [(row.query, row.solr_first_page_share) for row in rows] == [("ring", pytest.approx(1 / 3, abs=1e-12))]
+
+
+def test_query_ranks_run_on_over_every_request(sessions, many_logs):
+    """Requests follow each other by digest, and the first page is the first of them all."""
+    rows = top_query_report(sessions, many_logs, replace(POPULAR, rank_scope="query"))[1].collect()
+    order = sorted(range(12_000), key=lambda n: md5(f"r{n}|ring".encode()).hexdigest())
+    found = sum(n % 3 == 0 for n in order[: POPULAR.first_page]) / POPULAR.first_page
+    assert [(row.query, row.solr_first_page_share) for row in rows] == [("ring", found)]
